@@ -4,14 +4,9 @@ from costweave.registry.entries import Entries
 
 
 def all_entries() -> Entries:
-    from costweave.registry import analysis
-    modules = [analysis]
-    for name in ("blocks", "quality", "storage", "texts"):
-        try:
-            modules.append(__import__(f"costweave.registry.{name}", fromlist=["register"]))
-        except ModuleNotFoundError:
-            pass
+    from costweave.registry import analysis, blocks, quality, storage, texts
+
     entries = Entries()
-    for module in modules:
+    for module in (analysis, blocks, quality, storage, texts):
         module.register(entries)
     return entries
