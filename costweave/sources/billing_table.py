@@ -56,9 +56,9 @@ def conform(df: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     named in ``extra``.
     """
     have = set(df.columns)
-    cols = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in CONTRACT]
-    return df.select(*cols, *[F.col(c) for c in extra])
+    return df.selectExpr(
+        *[f.name if f.name in have else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+          for f in CONTRACT], *extra)
 
 
 def flatten_map(df: DataFrame, map_column: str, keys: Iterable[str], prefix: str) -> DataFrame:
