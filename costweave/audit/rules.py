@@ -26,7 +26,9 @@ STAR = rf"(?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*){QUALIFIER}*\*"
 WHERE_PART = (r"(?s)\bwhere\b(.*?)"
               r"(?:\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bunion\b|;|\z)")
 COMPARED = r"\b{0}\b(?:\s+as\s+[a-z]+)?[\s)]*(?:=|<|>|!=|\bnot\s+in\b|\bin\b|\bbetween\b|\blike\b)"
+FIRST_OF_MANY = rf"\b{WORD}\s*\(\s*{QUALIFIER}*{{0}}\s*,"
 WRAPPED = rf"\b({WORD})\s*\(\s*{QUALIFIER}*(?:{{0}})\b"
+INSIDE = rf"\b({WORD})\s*\([^()]*\b(?:{{0}})\b"
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
 PLACEHOLDER = r"<[A-Z_]{2,}>|REPLACE_ME_[A-Z_-]+|'<[A-Z][A-Z0-9:-]+"
@@ -78,6 +80,11 @@ def table_reference(table: str) -> str:
     return rf"\b(?:from|join)\s+{QUALIFIER}*{re.escape(table.lower())}\b"
 
 
+def predicate(column: str) -> str:
+    """A comparison of a partition column, bare or inside a function."""
+    return COMPARED.format(column) + "|" + FIRST_OF_MANY.format(column)
+
+
 def readable(queries: DataFrame, text: str) -> DataFrame:
     """Adds ``_raw`` (NULL when not UTF-8) and ``_bare`` (lower case, comments blanked)."""
     value = F.col(text)
@@ -103,13 +110,13 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         for section, spellings in HEADER_SECTIONS.items()]))
     return {
         "_reads": _times(bare, table_reference(table)),
-        "_by_year": _times(bare, COMPARED.format("year")),
-        "_by_month": _times(bare, COMPARED.format("month")),
+        "_by_year": _times(bare, predicate("year")),
+        "_by_month": _times(bare, predicate("month")),
         "_stars": _times(bare, STAR),
         "_wrapped": F.array_except(
             _words(F.col("_where"), WRAPPED.format("|".join(PARTITION_COLUMNS))), clause_words),
         "_timed": F.array_except(
-            _words(F.col("_where"), WRAPPED.format("|".join(TIME_COLUMNS))), clause_words),
+            _words(F.col("_where"), INSIDE.format("|".join(TIME_COLUMNS))), clause_words),
         "_strange": F.array_sort(F.array_except(words, named)),
         "_absent": absent,
         "_headless": ~F.ltrim("_raw").startswith("--"),

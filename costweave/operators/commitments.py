@@ -10,7 +10,7 @@ from costweave import schema as S
 from costweave.functions import cost as C
 from costweave.operators.breakdown import ACCOUNT, PRODUCT
 from costweave.operators.trend import USAGE_TYPE
-from costweave.plans.totals import totals_struct
+from costweave.plans.totals import pack
 from costweave.sources.period import Period
 
 RI_ARN = "reservation_reservation_a_r_n"
@@ -115,15 +115,18 @@ def _utilisation(frame: DataFrame, by: Sequence[str], committed: Column, used: C
 
 def utilisation_of(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Utilisation report of commitment groups; see ``commitment_utilisation``."""
-    totals = totals_struct(groups, MEASURES)
+    packed = pack(groups, MEASURES)
+    m = F.col("measures")
+    totals = packed.agg(F.struct(*[
+        F.sum(m[n]).alias(n) for n in ("ri_effective", "ri_list", "sp_effective", "sp_list")])
+        ).scalar()
     ri = F.col("commitment_type") == "ReservedInstance"
-    held = groups.where(F.col("fee_rows") > 0)
     return _utilisation(
-        held, by,
-        committed=F.when(ri, F.col("ri_committed")).otherwise(F.col("sp_committed")),
-        used=F.when(ri, F.col("ri_used")).otherwise(F.col("sp_used")),
-        unused=F.when(ri, F.col("ri_unused")).otherwise(F.col("sp_committed") - F.col("sp_used")),
-        hours=F.when(ri, F.col("ri_hours")),
+        packed.where(m["fee_rows"] > 0), by,
+        committed=F.when(ri, m["ri_committed"]).otherwise(m["sp_committed"]),
+        used=F.when(ri, m["ri_used"]).otherwise(m["sp_used"]),
+        unused=F.when(ri, m["ri_unused"]).otherwise(m["sp_committed"] - m["sp_used"]),
+        hours=F.when(ri, m["ri_hours"]),
         effective=F.when(ri, totals["ri_effective"]).otherwise(totals["sp_effective"]),
         listed=F.when(ri, totals["ri_list"]).otherwise(totals["sp_list"]))
 

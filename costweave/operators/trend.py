@@ -138,23 +138,21 @@ def driver_report(pairs: DataFrame, min_abs_delta: float | None = None,
         .alias("pct_of_total_change"),
         direction.alias("direction"), C.money(total).alias("period_total_change"))
     if total_row:
-        detail = detail.unionByName(_total_row(deltas))
+        detail = detail.unionByName(_total_row(pairs.sparkSession.range(1), total))
     return detail.orderBy(F.abs("delta").desc_nulls_last(), F.asc_nulls_last("usage_account_id"),
                           F.asc_nulls_last("service"), F.asc_nulls_last("usage_type"))
 
 
-def _total_row(deltas: DataFrame) -> DataFrame:
-    sums = deltas.agg(F.sum("prev_cost").alias("p"), F.sum("curr_cost").alias("c"),
-                      F.sum("delta").alias("change"))
+def _total_row(one_row: DataFrame, change: Column) -> DataFrame:
     nothing = F.lit(None).cast("double")
-    return sums.select(
+    return one_row.select(
         F.lit("(all accounts)").alias("usage_account_id"),
         F.lit("(TOTAL CHANGE)").alias("service"),
         F.lit("(all usage types)").alias("usage_type"),
         nothing.alias("prev_cost"), nothing.alias("curr_cost"),
-        C.money(F.col("change")).alias("delta"), F.lit(100.0).alias("pct_of_total_change"),
-        F.when(F.col("change") > 0, "UP").otherwise("DOWN").alias("direction"),
-        C.money(F.col("change")).alias("period_total_change"))
+        C.money(change).alias("delta"), F.lit(100.0).alias("pct_of_total_change"),
+        F.when(change > 0, "UP").otherwise("DOWN").alias("direction"),
+        C.money(change).alias("period_total_change"))
 
 
 def top_drivers(df: DataFrame, prev: Month, curr: Month, null_safe: bool = True,

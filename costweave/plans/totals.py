@@ -23,3 +23,15 @@ def with_share(grouped: DataFrame, part: str, measures: list[str], share: str,
     total = totals_struct(grouped, measures)[part]
     return grouped.withColumn(
         share, F.round(100.0 * F.col(part) / F.nullif(total, F.lit(0.0)), digits))
+
+
+def pack(grouped: DataFrame, measures: list[str], into: str = "measures") -> DataFrame:
+    """All ``measures`` as one map column of doubles, the other columns unchanged.
+
+    For reports whose rows and totals use different measures: reading one entry of the map
+    keeps all of them alive, so rows and totals still share one aggregation and one scan.
+    """
+    keys = [c for c in grouped.columns if c not in measures]
+    values = F.array(*[F.col(m).cast("double") for m in measures])
+    return grouped.select(*keys, F.map_from_arrays(
+        F.array(*[F.lit(m) for m in measures]), values).alias(into))

@@ -40,8 +40,8 @@ texts AS (SELECT query_id, sql_text AS raw,
  FROM log),
 q AS (SELECT *, array_to_string({_words('bare', A.WHERE_PART)}, ' ') AS cond,
  {_times('bare', A.table_reference('billing'))} AS reads,
- {_times('bare', A.COMPARED.format('year'))} AS by_year,
- {_times('bare', A.COMPARED.format('month'))} AS by_month FROM texts),
+ {_times('bare', A.predicate('year'))} AS by_year,
+ {_times('bare', A.predicate('month'))} AS by_month FROM texts),
 """
 
 
@@ -54,7 +54,8 @@ def _measure(rule: str) -> tuple[str, str, str, str]:
                 "'table reads ' || reads || ', year ' || by_year || ', month ' || by_month")
     if rule in ("wrapped_partition", "timestamp_filter"):
         names = ("year", "month") if rule == "wrapped_partition" else A.TIME_COLUMNS
-        found = _without(_words("cond", A.WRAPPED.format("|".join(names))), _list(A.CLAUSE_WORDS))
+        shape = A.WRAPPED if rule == "wrapped_partition" else A.INSIDE
+        found = _without(_words("cond", shape.format("|".join(names))), _list(A.CLAUSE_WORDS))
         return f"m AS (SELECT *, {found} AS l FROM q)", "len(l) > 0", "len(l)", _joined("l")
     if rule == "unknown_column":
         w, qual = A.WORD, A.QUALIFIER
