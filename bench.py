@@ -19,6 +19,7 @@ from costweave.operators import breakdown as B, commitments as K, reconcile as R
 from costweave.registry import all_entries
 from costweave.registry.sqlbase import FULL, MONTH, TWO_MONTHS
 from costweave.registry.storage import lake, whole
+from costweave.session import with_settings
 
 HEADLINE = """
 month_probe cost_by_service cost_by_account mom_trend top_drivers top_drivers_onepass
@@ -41,12 +42,11 @@ LAKE = {
 
 def session() -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("costweave-bench")
+    spark = (with_settings(SparkSession.builder).master(f"local[{cpus}]")
+             .appName("costweave-bench")
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "16g")
              .config("spark.sql.shuffle.partitions", cpus)
-             .config("spark.sql.adaptive.enabled", "true")
-             .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

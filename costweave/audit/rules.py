@@ -29,6 +29,11 @@ COMPARED = r"\b{0}\b(?:\s+as\s+[a-z]+)?[\s)]*(?:=|<|>|!=|\bnot\s+in\b|\bin\b|\bb
 FIRST_OF_MANY = rf"\b{WORD}\s*\(\s*{QUALIFIER}*{{0}}\s*,"
 WRAPPED = rf"\b({WORD})\s*\(\s*{QUALIFIER}*(?:{{0}})\b"
 INSIDE = rf"\b({WORD})\s*\([^()]*\b(?:{{0}})\b"
+# Words that name functions, qualifiers, tables or table aliases by where they stand.
+NO_COLUMN = (rf"\b{WORD}\s*[(.]|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
+             rf"(?:\s+(?:as\s+)?{WORD})?")
+# Names a text introduces itself: aliases and common table expressions.
+INTRODUCED = (rf"\bas\s+({WORD})\b", rf"\b({WORD})\s+as\s*\(")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
 PLACEHOLDER = r"<[A-Z_]{2,}>|REPLACE_ME_[A-Z_-]+|'<[A-Z][A-Z0-9:-]+"
@@ -73,7 +78,7 @@ def _times(text: Column, pattern: str) -> Column:
 
 
 def _literals(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
 
 
 def table_reference(table: str) -> str:
@@ -99,12 +104,20 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
     """What the rules look at, one named column each, so that it is worked out once."""
     bare = F.col("_bare")
     clause_words = _literals(CLAUSE_WORDS)
-    words = F.array_except(_words(bare, rf"\b({WORD})\b"), _literals([*SQL_WORDS, *allowed]))
-    named = F.flatten(F.array(
-        _words(bare, rf"\b({WORD})\s*\("), _words(bare, rf"\b({WORD})\s*\."),
-        _words(bare, rf"\bas\s+({WORD})\b"), _words(bare, rf"\b({WORD})\s+as\s*\("),
-        _words(bare, rf"\b(?:from|join)\s+{QUALIFIER}*({WORD})\b"),
-        _words(bare, rf"\b(?:from|join)\s+{QUALIFIER}*{WORD}\s+(?:as\s+)?({WORD})\b")))
+    nothing = F.expr("array()").cast("array<string>")
+    # A constant IN list is one hash set for all rows; array_except would build it per row.
+    known = ", ".join(f"'{w}'" for w in [*SQL_WORDS, *allowed])
+    words = F.expr(f"filter(_distinct_words, w -> w NOT IN ({known}))")
+
+    def if_any(text: Column, parts: Iterable[str], then: Column, otherwise: Column) -> Column:
+        """Skips a regular expression where a plain substring test already rules it out."""
+        return F.when(_contains_any(text, tuple(parts)), then).otherwise(otherwise)
+
+    where = F.col("_where")
+    wrapped = F.array_except(_words(where, WRAPPED.format("|".join(PARTITION_COLUMNS))),
+                             clause_words)
+    timed = F.array_except(_words(where, INSIDE.format("|".join(TIME_COLUMNS))), clause_words)
+    left = F.array_sort(F.array_distinct(_words(F.col("_raw"), PLACEHOLDER, 0)))
     absent = F.array_compact(F.array(*[
         F.when(~_contains_any(F.col("_raw"), spellings), F.lit(section))
         for section, spellings in HEADER_SECTIONS.items()]))
@@ -112,15 +125,14 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         "_reads": _times(bare, table_reference(table)),
         "_by_year": _times(bare, predicate("year")),
         "_by_month": _times(bare, predicate("month")),
-        "_stars": _times(bare, STAR),
-        "_wrapped": F.array_except(
-            _words(F.col("_where"), WRAPPED.format("|".join(PARTITION_COLUMNS))), clause_words),
-        "_timed": F.array_except(
-            _words(F.col("_where"), INSIDE.format("|".join(TIME_COLUMNS))), clause_words),
-        "_strange": F.array_sort(F.array_except(words, named)),
+        "_stars": if_any(bare, "*", _times(bare, STAR), F.lit(0)),
+        "_wrapped": if_any(where, PARTITION_COLUMNS, wrapped, nothing),
+        "_timed": if_any(where, TIME_COLUMNS, timed, nothing),
+        "_words": words,
         "_absent": absent,
         "_headless": ~F.ltrim("_raw").startswith("--"),
-        "_left": F.array_sort(F.array_distinct(_words(F.col("_raw"), PLACEHOLDER, 0))),
+        "_left": if_any(F.col("_raw"), ("<", "REPLACE_ME_"), left, nothing),
+        "_introduced": F.flatten(F.array(*[_words(bare, p) for p in INTRODUCED])),
         "_size": F.coalesce(F.octet_length("_raw"), F.lit(0)),
         "_unreadable": F.col("_raw").isNull(),
         "_warned": F.contains("_raw", F.lit("BYTES SCANNED")),
@@ -186,9 +198,13 @@ def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text"
             hit.alias("hit"), observed.cast("bigint").alias("observed"),
             F.when(hit, detail).alias("detail")))
     texts = (readable(queries, text)
-             .withColumn("_where", F.concat_ws(" ", _words(F.col("_bare"), WHERE_PART)))
+             .withColumns({
+                 "_where": F.concat_ws(" ", _words(F.col("_bare"), WHERE_PART)),
+                 "_distinct_words": F.array_distinct(_words(
+                     F.regexp_replace("_bare", NO_COLUMN, " "), rf"\b({WORD})\b"))})
              .select(F.col(query_id).alias("query_id"),
-                     *[c.alias(n) for n, c in _measures(table, allowed).items()]))
+                     *[c.alias(n) for n, c in _measures(table, allowed).items()])
+             .withColumn("_strange", F.array_sort(F.array_except("_words", "_introduced"))))
     # A literal array under inline() keeps Spark from adding a filter that would work the
     # whole array out a second time.
     return (texts.select("query_id", F.inline(F.array(*cells))).where("hit")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from costweave.checks.findings import finding, spread
 from costweave.schema import CONTRACT
 
 _STAMPS = (T.TimestampType, T.TimestampNTZType)
@@ -32,13 +31,21 @@ def column_states(df: DataFrame) -> dict[str, tuple[str, str, str]]:
     return states
 
 
+def _texts(values: list[str]) -> str:
+    return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
+
+
+def _fills(columns: list[str]) -> str:
+    """Filled values of each column as one array; an empty name stands for an absent column."""
+    return "array(" + ", ".join(f"count(`{c}`)" if c else "0L" for c in columns) + ")"
+
+
 def contract_profile(df: DataFrame) -> DataFrame:
     """Filled values per month and column, from one pass over all columns."""
     counts = df.groupBy("year", "month").agg(
-        F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in df.columns])
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("filled"))
-                      for c in df.columns])
-    return (counts.select("year", "month", "rows", F.inline(cells))
+        F.count("*").alias("rows"), F.expr(_fills(df.columns)).alias("filled"))
+    return (counts.withColumn("column_name", F.expr(_texts(df.columns)))
+            .selectExpr("year", "month", "rows", "inline(arrays_zip(column_name, filled))")
             .withColumn("fill_rate", F.round(F.col("filled") / F.col("rows"), 4)))
 
 
@@ -49,22 +56,23 @@ def check_contract(df: DataFrame) -> DataFrame:
     is what a misspelt tag name looks like.
     """
     states = column_states(df)
-    present = [c for c in states if states[c][0] != "missing"]
-    counts = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in present])
-    out = []
-    for name, (state, want, have) in states.items():
-        if state == "missing":
-            out.append(finding("contract", "error", F.lit(False), F.lit(name), F.lit(0.0),
-                               F.lit(f"missing, declared {want}")))
-            continue
-        filled = F.col(f"n_{name}")
-        rate = F.round(F.coalesce(filled / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0)), 4)
-        severity = {"unknown": "info", "wrong type": "error", "declared": "warning"}[state]
-        text = {"unknown": f"not in the contract, {have}",
-                "wrong type": f"declared {want}, found {have}", "declared": "declared"}[state]
-        empty = filled == 0
-        fine = F.lit(False) if state == "wrong type" else ~empty
-        out.append(finding("contract", severity, fine, F.lit(name), rate,
-                           F.when(empty, F.lit(text + ", NULL everywhere"))
-                           .otherwise(F.lit(text))))
-    return spread(counts, out)
+    severity = {"missing": "error", "wrong type": "error", "declared": "warning",
+                "unknown": "info"}
+    text = {"missing": "missing, declared {0}", "wrong type": "declared {0}, found {1}",
+            "declared": "declared", "unknown": "not in the contract, {1}"}
+    counts = df.agg(
+        F.count("*").alias("rows"),
+        F.expr(_fills([n if s[0] != "missing" else "" for n, s in states.items()]))
+        .alias("filled"))
+    rows = counts.withColumns({
+        "subject": F.expr(_texts(list(states))),
+        "state": F.expr(_texts([s for s, _, _ in states.values()])),
+        "severity": F.expr(_texts([severity[s] for s, _, _ in states.values()])),
+        "text": F.expr(_texts([text[s].format(w, h) for s, w, h in states.values()])),
+    }).selectExpr("rows", "inline(arrays_zip(subject, state, severity, text, filled))")
+    return rows.selectExpr(
+        "'contract' AS check_id", "severity",
+        "state IN ('declared', 'unknown') AND filled > 0 AS ok", "subject",
+        "round(coalesce(filled / nullif(rows, 0), 0D), 4) AS observed",
+        "CASE WHEN filled = 0 AND state <> 'missing' THEN text || ', NULL everywhere'"
+        " ELSE text END AS detail")

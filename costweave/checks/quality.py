@@ -82,8 +82,8 @@ def savings_plan_balance(df: DataFrame, period: Period | None = None) -> DataFra
     rows = rows.where(F.col(C.TYPE).isin(S.SP_COVERED, S.SP_NEGATION))
     return (rows.groupBy(usage_date().alias("usage_date"),
                          C.label_null(SP_ARN, NO_ARN).alias("commitment_id"))
-            .agg(F.coalesce(C.sum_for(C.cash(), S.SP_COVERED), F.lit(0.0)).alias("covered"),
-                 F.coalesce(C.sum_for(C.cash(), S.SP_NEGATION), F.lit(0.0)).alias("negated"))
+            .agg(F.coalesce(C.sum_for(C.CASH, S.SP_COVERED), F.lit(0.0)).alias("covered"),
+                 F.coalesce(C.sum_for(C.CASH, S.SP_NEGATION), F.lit(0.0)).alias("negated"))
             .withColumn("residual", F.round(F.col("covered") + F.col("negated"), 2)))
 
 
@@ -104,12 +104,13 @@ def check_population(df: DataFrame) -> DataFrame:
     rules = S.POPULATED_ON
     by_type = df.groupBy(C.TYPE).agg(*[F.count(c).alias(c) for c in rules])
     wrong = by_type.agg(*[
-        F.sum(F.when(F.col(C.TYPE).eqNullSafe(F.lit(t)), 0).otherwise(F.col(c))).alias(c)
-        for c, t in rules.items()])
-    return spread(wrong, [
-        finding("population", "warning", F.coalesce(F.col(c), F.lit(0)) == 0, F.lit(c),
-                F.coalesce(F.col(c), F.lit(0)), F.lit(f"belongs on {t}"))
+        F.expr(f"coalesce(sum(CASE WHEN {C.TYPE} <=> '{t}' THEN 0 ELSE {c} END), 0) AS {c}")
         for c, t in rules.items()])
+    cells = ", ".join(f"struct('{c}' AS subject, {c} AS wrong, '{t}' AS home)"
+                      for c, t in rules.items())
+    return per_row(wrong.selectExpr(f"inline(array({cells}))"), "population", "warning",
+                   F.col("wrong") == 0, F.col("subject"), F.col("wrong"),
+                   F.expr("'belongs on ' || home"))
 
 
 def check_currency(df: DataFrame, expected: str = "USD") -> DataFrame:
@@ -199,9 +200,8 @@ def health_report(df: DataFrame, expected_currency: str = "USD", max_pct: float
                   F.sum(cost).alias("cost"), F.sum(F.when(blank(RESOURCE), cost)).alias("bare"),
                   F.sum(F.when(blank(tag), cost)).alias("untagged"),
                   *[F.count(c).alias(c) for c in rules]))
-    wrong = F.lit(0)
-    for c, t in rules.items():
-        wrong = wrong + F.when(F.col(C.TYPE).eqNullSafe(F.lit(t)), 0).otherwise(F.col(c))
+    wrong = F.expr(" + ".join(f"CASE WHEN {C.TYPE} <=> '{t}' THEN 0 ELSE {c} END"
+                              for c, t in rules.items()))
     known = F.coalesce(F.col(C.TYPE).isin(*S.LINE_ITEM_TYPES), F.lit(False))
     usd = F.coalesce(F.col(CURRENCY) == expected_currency, F.lit(False))
     stray = ~F.col("used").eqNullSafe(_partition_date())

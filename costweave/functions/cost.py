@@ -1,4 +1,7 @@
-"""Column builders for the cost model. All of them stay inside whole-stage codegen."""
+"""The cost model as column expressions. All of them stay inside whole-stage codegen.
+
+Expressions are kept as SQL text, so each builder hands Spark one parsed expression.
+"""
 
 from __future__ import annotations
 
@@ -7,105 +10,105 @@ from pyspark.sql import Column, functions as F
 from costweave import schema as S
 
 TYPE = "line_item_line_item_type"
+CASH = "line_item_unblended_cost"
+LIST = "pricing_public_on_demand_cost"
+
+
+def zero(name: str) -> str:
+    """The column with NULL read as 0."""
+    return f"coalesce({name}, 0D)"
+
+
+def added(*names: str) -> str:
+    """Sum of columns within a row, NULL read as 0."""
+    return "(" + " + ".join(zero(n) for n in names) + ")"
+
+
+# Cash plus the reservation money that belongs to the period. A common idiom, unvalidated for
+# any one bill: recurring reservation money can count twice and Savings Plan upfront fees are
+# not spread. ACCRUAL avoids both.
+AMORTIZED = added(CASH, "reservation_amortized_upfront_fee_for_billing_period",
+                  "reservation_recurring_fee_for_usage")
+
+SP_PERIOD = added("savings_plan_amortized_upfront_commitment_for_billing_period",
+                  "savings_plan_recurring_commitment_for_billing_period")
+RI_UNUSED = added("reservation_unused_amortized_upfront_fee_for_billing_period",
+                  "reservation_unused_recurring_fee")
+
+# Accrual cost per line item type, each commitment dollar counted once: covered usage carries
+# its effective cost, fee rows only what was not used, negations and upfront fees nothing
+# because their money is already spread.
+ACCRUAL = f"""CASE
+ WHEN {TYPE} = '{S.DISCOUNTED_USAGE}' THEN {zero("reservation_effective_cost")}
+ WHEN {TYPE} = '{S.RI_FEE}' THEN {RI_UNUSED}
+ WHEN {TYPE} = '{S.SP_COVERED}' THEN {zero("savings_plan_savings_plan_effective_cost")}
+ WHEN {TYPE} = '{S.SP_RECURRING}' THEN {SP_PERIOD} - {zero("savings_plan_used_commitment")}
+ WHEN {TYPE} IN ('{S.SP_NEGATION}', '{S.SP_UPFRONT}') THEN 0D
+ WHEN {TYPE} = '{S.FEE}' AND reservation_reservation_a_r_n IS NOT NULL THEN 0D
+ ELSE {zero(CASH)} END"""
+
+# What usage really cost: commitment effective cost, else cash on plain usage. Plain usage adds
+# 0 on other rows, so that covered rows keep their effective cost.
+EFFECTIVE = (added("reservation_effective_cost", "savings_plan_savings_plan_effective_cost")
+             + f" + CASE WHEN {TYPE} = '{S.USAGE}' THEN {zero(CASH)} ELSE 0D END")
+
+BASES = {
+    "amortized": AMORTIZED,
+    "cash": CASH,  # what the account was charged; 0 on usage covered by a reservation
+    "blended": "line_item_blended_cost",  # organisation-wide allocation, blank on discounts
+    "list": LIST,  # public list price, only one side of a discount ratio
+    "net": "line_item_net_unblended_cost",  # after discounts, an optional column
+    "accrual": ACCRUAL,
+}
 
 
-def zero(name: str) -> Column:
-    """The column, with NULL read as 0.0."""
-    return F.coalesce(F.col(name), F.lit(0.0))
+def basis(name: str) -> Column:
+    """A cost basis by name."""
+    if name not in BASES:
+        raise ValueError(f"unknown cost basis {name!r}; one of {sorted(BASES)}")
+    return F.expr(BASES[name])
 
 
 def cash() -> Column:
-    """What the account was charged (0 on usage covered by a reservation)."""
-    return F.col("line_item_unblended_cost")
-
-
-def blended() -> Column:
-    """The organisation-wide allocation figure; blank on discount rows."""
-    return F.col("line_item_blended_cost")
+    return F.col(CASH)
 
 
 def list_cost() -> Column:
-    """Public list price; only meaningful as one side of a discount ratio."""
-    return F.col("pricing_public_on_demand_cost")
-
-
-def net() -> Column:
-    """After-discount cash; needs the optional ``net`` column group."""
-    return F.col("line_item_net_unblended_cost")
+    return F.col(LIST)
 
 
 def amortized() -> Column:
-    """Cash plus the reservation money that belongs to the period.
-
-    The common idiom, unvalidated for any one bill: recurring reservation money can count
-    twice and Savings Plan upfront fees are not spread. ``accrual`` avoids both.
-    """
-    return (zero("line_item_unblended_cost")
-            + zero("reservation_amortized_upfront_fee_for_billing_period")
-            + zero("reservation_recurring_fee_for_usage"))
-
-
-def accrual() -> Column:
-    """Accrual cost built per line item type, each commitment dollar counted once.
-
-    Covered usage carries its effective cost, fee rows carry only what was not used, and
-    negations and upfront fees carry nothing because their money is already spread.
-    """
-    sp_period = (zero("savings_plan_amortized_upfront_commitment_for_billing_period")
-                 + zero("savings_plan_recurring_commitment_for_billing_period"))
-    ri_unused = (zero("reservation_unused_amortized_upfront_fee_for_billing_period")
-                 + zero("reservation_unused_recurring_fee"))
-    ri_upfront = (F.col(TYPE) == S.FEE) & F.col("reservation_reservation_a_r_n").isNotNull()
-    return (F.when(F.col(TYPE) == S.DISCOUNTED_USAGE, zero("reservation_effective_cost"))
-            .when(F.col(TYPE) == S.RI_FEE, ri_unused)
-            .when(F.col(TYPE) == S.SP_COVERED, zero("savings_plan_savings_plan_effective_cost"))
-            .when(F.col(TYPE) == S.SP_RECURRING, sp_period - zero("savings_plan_used_commitment"))
-            .when(F.col(TYPE).isin(S.SP_NEGATION, S.SP_UPFRONT) | ri_upfront, F.lit(0.0))
-            .otherwise(zero("line_item_unblended_cost")))
+    return F.expr(AMORTIZED)
 
 
 def effective() -> Column:
-    """What usage really cost: commitment effective cost, else cash on plain usage.
-
-    Plain usage adds 0 on other rows, so covered rows keep their effective cost.
-    """
-    return (zero("reservation_effective_cost")
-            + zero("savings_plan_savings_plan_effective_cost")
-            + F.when(F.col(TYPE) == S.USAGE, zero("line_item_unblended_cost"))
-            .otherwise(F.lit(0.0)))
-
-
-BASES = {"amortized": amortized, "cash": cash, "blended": blended, "list": list_cost,
-         "net": net, "accrual": accrual}
+    return F.expr(EFFECTIVE)
 
 
-def basis(name: str) -> Column:
-    """A cost basis by name."""
-    if name not in BASES:
-        raise ValueError(f"unknown cost basis {name!r}; one of {sorted(BASES)}")
-    return BASES[name]()
+def quoted(words) -> str:
+    """Words as a SQL list body."""
+    return ", ".join("'" + w + "'" for w in words)
 
 
-def sum_for(value: Column, *types: str) -> Column:
+def sum_for(value: str, *types: str) -> Column:
     """Sum of ``value`` over the given line item types; NULL when none occurs."""
-    hit = F.col(TYPE) == types[0] if len(types) == 1 else F.col(TYPE).isin(*types)
-    return F.sum(F.when(hit, value))
+    return F.expr(f"sum({value}) FILTER (WHERE {TYPE} IN ({quoted(types)}))")
 
 
-def sum_except(value: Column, *types: str) -> Column:
+def sum_except(value: str, *types: str) -> Column:
     """Sum of ``value`` outside the given types; rows of NULL type are left out."""
-    return F.sum(F.when(~F.col(TYPE).isin(*types), value))
+    return F.expr(f"sum({value}) FILTER (WHERE {TYPE} NOT IN ({quoted(types)}))")
 
 
 def label_null(name: str, label: str) -> Column:
     """NULL becomes ``label``."""
-    return F.coalesce(F.col(name), F.lit(label))
+    return F.expr(f"coalesce({name}, '{label}')")
 
 
 def label_blank(name: str, label: str, fold_case: bool = False) -> Column:
     """NULL and the empty string both become ``label``."""
-    value = F.nullif(F.col(name), F.lit(""))
-    return F.coalesce(F.lower(value) if fold_case else value, F.lit(label))
+    value = f"lower({name})" if fold_case else name
+    return F.expr(f"coalesce(nullif({value}, ''), '{label}')")
 
 
 def money(value: Column) -> Column:

@@ -75,7 +75,7 @@ def cost_by_account(df: DataFrame, period: Period, basis: str = "amortized") ->
                .groupBy(C.label_null(ACCOUNT, "(blank)").alias("usage_account_id"),
                         F.col(C.TYPE))
                .agg(F.sum(C.cash()).alias("cash"), F.sum(C.basis(basis)).alias("accrued")))
-    cash = F.col("cash")
+    cash = "cash"
     split = {
         "usage_on_demand": C.sum_for(cash, S.USAGE),
         "ri_discounted_usage": C.sum_for(cash, S.DISCOUNTED_USAGE),

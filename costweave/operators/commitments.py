@@ -28,16 +28,16 @@ def commitment_coverage(df: DataFrame, period: Period,
     scoped = period.scope(df)
     if product is not None:
         scoped = scoped.where(F.col(PRODUCT) == product)
-    cash = C.cash()
+    cash = C.CASH
     groups = (scoped.groupBy(F.col(USAGE_TYPE).alias("usage_type"),
                              C.label_null(ACCOUNT, "(blank)").alias("usage_account_id"))
               .agg(C.sum_for(cash, S.USAGE).alias("on_demand_cost"),
                    C.sum_for(cash, S.DISCOUNTED_USAGE).alias("discounted_usage_cost"),
                    C.sum_for(cash, S.SP_COVERED).alias("sp_covered_usage"),
                    C.sum_for(cash, S.SP_NEGATION).alias("sp_negation"),
-                   C.sum_for(F.col("reservation_effective_cost"), S.DISCOUNTED_USAGE)
+                   C.sum_for("reservation_effective_cost", S.DISCOUNTED_USAGE)
                    .alias("ri_effective_cost"),
-                   C.sum_for(F.col("savings_plan_savings_plan_effective_cost"), S.SP_COVERED)
+                   C.sum_for("savings_plan_savings_plan_effective_cost", S.SP_COVERED)
                    .alias("sp_effective_cost"),
                    F.sum(C.list_cost()).alias("public_on_demand_cost"),
                    F.sum(C.effective()).alias("effective_cost"))
@@ -64,39 +64,32 @@ def commitment_groups(df: DataFrame, period: Period | None, by: Sequence[str] =
     commitment id, so one aggregation over the four types replaces a scan per type.
     """
     scoped = df if period is None else period.scope(df)
-    kind = F.col(C.TYPE)
-    wanted = scoped.where(kind.isin(S.RI_FEE, S.DISCOUNTED_USAGE, S.SP_RECURRING, S.SP_COVERED))
-    is_ri = kind.isin(S.RI_FEE, S.DISCOUNTED_USAGE)
-
-    def on(line_type: str, value: Column) -> Column:
-        return F.sum(F.when(kind == line_type, value))
-
-    ri_unused = (C.zero("reservation_unused_recurring_fee")
-                 + C.zero("reservation_unused_amortized_upfront_fee_for_billing_period"))
-    ri_paid = (C.zero("reservation_amortized_upfront_fee_for_billing_period")
-               + C.zero("reservation_recurring_fee_for_usage"))
-    sp_paid = (C.zero("savings_plan_amortized_upfront_commitment_for_billing_period")
-               + C.zero("savings_plan_recurring_commitment_for_billing_period"))
-    return (wanted.groupBy(
-        F.when(is_ri, "ReservedInstance").otherwise("SavingsPlan").alias("commitment_type"),
-        F.coalesce(F.when(is_ri, F.col(RI_ARN)).otherwise(F.col(SP_ARN)), F.lit(NO_ARN))
-        .alias("commitment_id"), *[F.col(c) for c in by])
-        .agg(F.count_if(kind.isin(S.RI_FEE, S.SP_RECURRING)).alias("fee_rows"),
-             on(S.RI_FEE, ri_paid + ri_unused).alias("ri_committed"),
-             on(S.RI_FEE, C.zero("reservation_recurring_fee_for_usage")).alias("ri_used"),
-             on(S.RI_FEE, ri_unused).alias("ri_unused"),
-             on(S.RI_FEE, F.col("reservation_unused_quantity")).alias("ri_hours"),
-             on(S.SP_RECURRING, sp_paid).alias("sp_committed"),
-             on(S.SP_RECURRING, C.zero("savings_plan_used_commitment")).alias("sp_used"),
-             on(S.DISCOUNTED_USAGE, F.col("reservation_effective_cost")).alias("ri_effective"),
-             on(S.DISCOUNTED_USAGE, C.list_cost()).alias("ri_list"),
-             on(S.SP_COVERED, F.col("savings_plan_savings_plan_effective_cost"))
-             .alias("sp_effective"),
-             on(S.SP_COVERED, C.list_cost()).alias("sp_list"),
-             on(S.DISCOUNTED_USAGE, C.zero("reservation_recurring_fee_for_usage"))
-             .alias("ri_recurring_used"),
-             on(S.DISCOUNTED_USAGE, C.zero("reservation_amortized_upfront_cost_for_usage"))
-             .alias("ri_upfront_used")))
+    fees, usage = (S.RI_FEE, S.SP_RECURRING), (S.DISCOUNTED_USAGE, S.SP_COVERED)
+    is_ri = f"{C.TYPE} IN ({C.quoted((S.RI_FEE, S.DISCOUNTED_USAGE))})"
+    ri_paid = C.added("reservation_amortized_upfront_fee_for_billing_period",
+                      "reservation_recurring_fee_for_usage")
+    measures = {
+        "ri_committed": (S.RI_FEE, f"{ri_paid} + {C.RI_UNUSED}"),
+        "ri_used": (S.RI_FEE, C.zero("reservation_recurring_fee_for_usage")),
+        "ri_unused": (S.RI_FEE, C.RI_UNUSED),
+        "ri_hours": (S.RI_FEE, "reservation_unused_quantity"),
+        "sp_committed": (S.SP_RECURRING, C.SP_PERIOD),
+        "sp_used": (S.SP_RECURRING, C.zero("savings_plan_used_commitment")),
+        "ri_effective": (S.DISCOUNTED_USAGE, "reservation_effective_cost"),
+        "ri_list": (S.DISCOUNTED_USAGE, C.LIST),
+        "sp_effective": (S.SP_COVERED, "savings_plan_savings_plan_effective_cost"),
+        "sp_list": (S.SP_COVERED, C.LIST),
+        "ri_recurring_used": (S.DISCOUNTED_USAGE, C.zero("reservation_recurring_fee_for_usage")),
+        "ri_upfront_used": (S.DISCOUNTED_USAGE,
+                            C.zero("reservation_amortized_upfront_cost_for_usage")),
+    }
+    return (scoped.where(F.col(C.TYPE).isin(*fees, *usage)).groupBy(
+        F.expr(f"CASE WHEN {is_ri} THEN 'ReservedInstance' ELSE 'SavingsPlan' END")
+        .alias("commitment_type"),
+        F.expr(f"coalesce(CASE WHEN {is_ri} THEN {RI_ARN} ELSE {SP_ARN} END, '{NO_ARN}')")
+        .alias("commitment_id"), *by)
+        .agg(F.expr(f"count_if({C.TYPE} IN ({C.quoted(fees)})) AS fee_rows"),
+             *[C.sum_for(value, kind).alias(name) for name, (kind, value) in measures.items()]))
 
 
 def _utilisation(frame: DataFrame, by: Sequence[str], committed: Column, used: Column,

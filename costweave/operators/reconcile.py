@@ -17,12 +17,11 @@ def reconcile(df: DataFrame, period: Period) -> DataFrame:
     Rows are summed per (month, product, account) first. The two distinct counts then run
     on those groups, where expanding rows for them costs nothing.
     """
-    cash, accrued = C.cash(), C.amortized()
     groups = (period.scope(df)
               .groupBy(month_start().alias("month_date"), F.col(PRODUCT), F.col(ACCOUNT))
-              .agg(F.sum(cash).alias("cash"), F.sum(accrued).alias("accrued"),
-                   C.sum_except(accrued, *S.NON_CONSUMPTION).alias("consumed"),
-                   C.sum_for(cash, *S.GROSS_USAGE).alias("gross"), F.count("*").alias("n")))
+              .agg(F.sum(C.CASH).alias("cash"), F.sum(C.amortized()).alias("accrued"),
+                   C.sum_except(C.AMORTIZED, *S.NON_CONSUMPTION).alias("consumed"),
+                   C.sum_for(C.CASH, *S.GROSS_USAGE).alias("gross"), F.count("*").alias("n")))
     return (groups.groupBy("month_date")
             .agg(C.money(F.sum("cash")).alias("unblended_all_types"),
                  C.money(F.sum("accrued")).alias("amortized_all_types"),

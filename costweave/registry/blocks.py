@@ -64,9 +64,9 @@ def conditional_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Sums under a condition; NULL where nothing matches."""
     return (FULL.scope(lineitem_billing(spark, sf))
             .groupBy(F.col(T.USAGE_TYPE).alias("usage_type"), F.col(B.PRODUCT).alias("service"))
-            .agg(C.money(C.sum_for(C.cash(), S.TAX)).alias("tax"),
-                 C.money(C.sum_for(C.cash(), S.CREDIT, S.REFUND)).alias("given_back"),
-                 C.money(C.sum_except(C.cash(), *S.NON_CONSUMPTION)).alias("consumed")))
+            .agg(C.money(C.sum_for(C.CASH, S.TAX)).alias("tax"),
+                 C.money(C.sum_for(C.CASH, S.CREDIT, S.REFUND)).alias("given_back"),
+                 C.money(C.sum_except(C.CASH, *S.NON_CONSUMPTION)).alias("consumed")))
 
 
 def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:

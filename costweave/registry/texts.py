@@ -58,13 +58,10 @@ def _measure(rule: str) -> tuple[str, str, str, str]:
         found = _without(_words("cond", shape.format("|".join(names))), _list(A.CLAUSE_WORDS))
         return f"m AS (SELECT *, {found} AS l FROM q)", "len(l) > 0", "len(l)", _joined("l")
     if rule == "unknown_column":
-        w, qual = A.WORD, A.QUALIFIER
-        named = " || ".join(_words("bare", p) for p in (
-            rf"\b({w})\s*\(", rf"\b({w})\s*\.", rf"\bas\s+({w})\b", rf"\b({w})\s+as\s*\(",
-            rf"\b(?:from|join)\s+{qual}*({w})\b",
-            rf"\b(?:from|join)\s+{qual}*{w}\s+(?:as\s+)?({w})\b"))
+        named = " || ".join(_words("bare", p) for p in A.INTRODUCED)
         known = _list([*A.SQL_WORDS, *CONTRACT.names])
-        words = _words("bare", rf"\b({w})\b")
+        words = _words(f"regexp_replace(bare, {_lit(A.NO_COLUMN)}, ' ', 'g')",
+                       rf"\b({A.WORD})\b")
         return (f"n AS (SELECT *, {named} AS named, {words} AS words FROM q),\n"
                 f"m AS (SELECT *, {_without(_without('words', known), 'named')} AS l FROM n)",
                 "len(l) > 0", "len(l)", _joined("l"))

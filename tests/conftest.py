@@ -12,11 +12,12 @@ for path in (ROOT, os.path.join(ROOT, "tests")):
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[8]").appName("costweave-tests")
+    from costweave.session import with_settings
+
+    session = (with_settings(SparkSession.builder).master("local[8]").appName("costweave-tests")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
                .config("spark.sql.shuffle.partitions", "8")
-               .config("spark.sql.session.timeZone", "UTC")
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     return session
