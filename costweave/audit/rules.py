@@ -26,14 +26,15 @@ STAR = rf"(?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*){QUALIFIER}*\*"
 WHERE_PART = (r"(?s)\bwhere\b(.*?)"
               r"(?:\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bunion\b|;|\z)")
 COMPARED = r"\b{0}\b(?:\s+as\s+[a-z]+)?[\s)]*(?:=|<|>|!=|\bnot\s+in\b|\bin\b|\bbetween\b|\blike\b)"
-FIRST_OF_MANY = rf"\b{WORD}\s*\(\s*{QUALIFIER}*{{0}}\s*,"
+FIRST_OF_MANY = rf"\(\s*{QUALIFIER}*{{0}}\s*,"
 WRAPPED = rf"\b({WORD})\s*\(\s*{QUALIFIER}*(?:{{0}})\b"
 INSIDE = rf"\b({WORD})\s*\([^()]*\b(?:{{0}})\b"
 # Words that name functions, qualifiers, tables or table aliases by where they stand.
 NO_COLUMN = (rf"\b{WORD}\s*[(.]|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
              rf"(?:\s+(?:as\s+)?{WORD})?")
-# Names a text introduces itself: aliases and common table expressions.
-INTRODUCED = (rf"\bas\s+({WORD})\b", rf"\b({WORD})\s+as\s*\(")
+# Names a text introduces itself: aliases, common table expressions and named windows.
+INTRODUCED = (rf"\bas\s+({WORD})\b",
+              rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
 PLACEHOLDER = r"<[A-Z_]{2,}>|REPLACE_ME_[A-Z_-]+|'<[A-Z][A-Z0-9:-]+"

@@ -90,6 +90,12 @@ def test_cte_names_aliases_and_quotes(spark):
     assert only(spark, text) == {}
 
 
+def test_named_windows_are_introduced(spark):
+    text = GOOD.replace("COUNT(*) AS n", "avg(line_item_usage_amount) OVER w AS n").replace(
+        "ORDER BY", "WINDOW w AS (PARTITION BY line_item_usage_type)\nORDER BY")
+    assert only(spark, text) == {}
+
+
 def test_extra_columns_extend_the_contract(spark):
     text = GOOD.replace("line_item_unblended_cost", "cost_category_team")
     assert only(spark, text)["unknown_column"].detail == "cost_category_team"
