@@ -37,6 +37,7 @@ INTRODUCED = (rf"\bas\s+({WORD})\b",
               rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
+# What counts as a left-over placeholder, and below how many bytes a text is tiny.
 PLACEHOLDER = r"<[A-Z_]{2,}>|REPLACE_ME_[A-Z_-]+|'<[A-Z][A-Z0-9:-]+"
 MIN_BYTES = 200
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from costweave.operators import breakdown as B, commitments as K, reconcile as R
 from costweave.operators import trend as T, usage as U
 from costweave.registry.entries import Entries
-from costweave.registry.sqlbase import (FULL, MONTH, STRADDLE, TWO_MONTHS, event_rows, rows,
-                                        within)
+from costweave.registry.sqlbase import FULL, MONTH, STRADDLE, TWO_MONTHS, event_rows, rows
 from costweave.sources.period import Period
 from costweave.sources.sample import event_billing, lineitem_billing
 
@@ -384,6 +383,3 @@ def register(e: Entries) -> None:
                         ("list", "listed"), ("accrual", ACCRUAL_SQL)]:
         e.add(f"cost_by_service_{basis}_basis", on(B.cost_by_service, FULL, basis),
               _service_basis_sql(FULL, expr))
-
-
-__all__ = ["register", "utilisation_sql", "within"]

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costweave import schema as S
 from costweave.checks import compare, contract, quality as Q
-from costweave.operators import breakdown as B, trend as T
+from costweave.operators import trend as T
 from costweave.registry.entries import Entries
 from costweave.registry.sqlbase import FULL, rows
+from costweave.sources.period import Period
 from costweave.sources.sample import LINEITEM_MAP, lineitem_billing, lineitem_rows
 
+YEAR = Period.span((1998, 1), (1998, 12))
 MAPPED = [name for name, _ in LINEITEM_MAP]
 
 
@@ -65,6 +67,13 @@ def trusted_figures(spark: SparkSession, sf: str) -> DataFrame:
                     .alias("figure")))
 
 
+def late_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows filed under their billing period, which lags usage by three days."""
+    period = F.col("bill_billing_period_start_date")
+    return lineitem_billing(spark, sf).withColumns(
+        {"year": F.date_format(period, "yyyy"), "month": F.date_format(period, "MM")})
+
+
 _HEALTH_WRONG = " + ".join(
     f"count({c}) FILTER (WHERE kind IS DISTINCT FROM '{k}')"
     for c, k in S.POPULATED_ON.items() if c in MAPPED)
@@ -166,6 +175,24 @@ k AS (SELECT *, CASE WHEN a IS NULL THEN 'no rows for this month' WHEN z IS NULL
     e.add("check_pruning", on(compare.check_pruning, FULL, T.monthly_cost), _finding(
         "pruning", "error", "count(*) = 0", "'result rows'", "count(*)",
         "'rows that differ without pruning'") + " FROM lineitem WHERE l_shipdate IS NULL")
+    filed = """, f AS (SELECT mon, svc, accrued,
+ strftime(bill_billing_period_start_date, '%Y-%m') AS filed FROM b) """
+    e.add("check_partition_dates_late",
+          lambda s, sf: Q.check_partition_dates(late_partitions(s, sf)),
+          rows() + filed + _finding(
+              "partition_dates", "warning", "count(*) FILTER (WHERE mon <> filed) = 0", "filed",
+              "count(*) FILTER (WHERE mon <> filed)", "'of rows ' || CAST(count(*) AS VARCHAR)")
+          + " FROM f GROUP BY filed")
+    e.add("check_pruning_late",
+          lambda s, sf: compare.check_pruning(late_partitions(s, sf), YEAR, T.monthly_cost),
+          rows(YEAR) + filed + """,
+p AS (SELECT mon, svc, sum(accrued) AS v FROM f WHERE filed BETWEEN '1998-01' AND '1998-12'
+ GROUP BY 1, 2),
+u AS (SELECT mon, svc, sum(accrued) AS v FROM f GROUP BY 1, 2),
+d AS ((SELECT * FROM p EXCEPT ALL SELECT * FROM u) UNION ALL
+ (SELECT * FROM u EXCEPT ALL SELECT * FROM p)) """ + _finding(
+              "pruning", "error", "count(*) = 0", "'result rows'", "count(*)",
+              "'rows that differ without pruning'") + " FROM d")
     duplicates = """, d AS (SELECT identity_line_item_id AS line_item_id, count(*) AS copies,
  round(sum(cash), 2) AS unblended_cost FROM b WHERE identity_line_item_id IS NOT NULL GROUP BY 1
  HAVING count(*) > 1) """
@@ -175,6 +202,3 @@ k AS (SELECT *, CASE WHEN a IS NULL THEN 'no rows for this month' WHEN z IS NULL
         "duplicates", "error", "count(*) = 0", "'identity_line_item_id'", "count(*)",
         "'surplus rows ' || CAST(coalesce(sum(copies - 1), 0) AS VARCHAR)") + " FROM d")
     e.add("health_report", on(Q.health_report), _health_sql())
-
-
-__all__ = ["register", "B"]

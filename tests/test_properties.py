@@ -51,6 +51,17 @@ def test_breakdowns_agree_on_the_total(df):
     assert by_service == by_account == by_resource
 
 
+@pytest.mark.parametrize("make", [
+    lambda d: B.cost_by_service(d, FULL), lambda d: T.mom_trend(d, FULL),
+    lambda d: T.daily_series(d, FULL, "AmazonEC2"), lambda d: reconcile(d, FULL),
+    lambda d: T.top_drivers(d, (1998, 2), (1998, 3))])
+def test_zoned_timestamps_give_the_same_rows(df, make):
+    zoned = df.withColumn("line_item_usage_start_date",
+                          F.col("line_item_usage_start_date").cast("timestamp"))
+    assert zoned.schema["line_item_usage_start_date"].dataType.simpleString() == "timestamp"
+    assert dicts(make(zoned)) == dicts(make(df))
+
+
 def test_hot_keys_lose_nothing(df):
     """Half of all rows on one resource, account and service: results stay whole."""
     hot = F.col("line_item_usage_amount") > 25
