@@ -33,7 +33,7 @@ class Packing:
     sentence: int = 2
     word: int = 12
     inside: int = 64
-    grid: int = 16
+    grid: int = 32
     block: int = 2_000_000
 
 

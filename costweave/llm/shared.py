@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from costweave.sources.scratch import scratch_path
 
 #: Text is handled in slices of about so many bytes, which bounds what a Python task holds.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 #: A-Z to a-z and nothing else; str.lower would also change other letters.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -68,7 +68,7 @@ def remainder_of_crc(column: Column, modulus: int) -> Column:
 
 #: A space where a text may be cut: something visible on both sides. All of Python's white space
 #: counts, which is more than any tokenizer's, so a cut never falls inside a run of white space.
-UNSAFE_SPACE = re.compile(r"\s | (?:\s|\Z)|\A ")
+UNSAFE_SPACE = re.compile(r" (?:(?<=\s )|\s|\Z|(?<=\A ))")
 
 
 def chunks(text: str) -> list[str]:

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from costweave.llm.shared import chunks
 
-#: Chunks kept between batches, and the longest one kept; both bound a worker's memory.
-KEPT, LONGEST = 400_000, 48
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
+
+#: Chunks of a generation and the longest one kept; they bound a worker's memory.
+KEPT, LONGEST = 250_000, 48
 
 
 class ChunkEncoder:
     """Gives the little-endian 32-bit ids of texts by the library's own encoder.
 
     A text is cut where a piece of the pre-tokenizer must begin (see ``chunks``); the library
-    encodes each distinct chunk. The memory of chunks is bounded and starts anew when full.
+    encodes each distinct chunk. Chunks are kept in two generations: a full one gets old, and
+    what is not asked for again until the next is full is forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -26,14 +30,14 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, need: list[str], prefix: str, into: dict[str, bytes]) -> None:
         for start in range(0, len(need), 20_000):
             part = need[start:start + 20_000]
             coded = self.tokenizer.encode_batch_fast([prefix + c for c in part],
                                                      add_special_tokens=False)
-            for chunk, e in zip(part, coded):
-                into[chunk] = np.asarray(e.ids, "<u4").tobytes()
+            into.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [chunks(t) if t else None for t in texts]
@@ -44,11 +48,14 @@ class ChunkEncoder:
                 need.update(c[1:])
                 first[c[0]] = b""
         if len(self.known) > KEPT:
-            self.known = {}
-        need.difference_update(self.known)
-        self._learn(list(need), " ", self.known)
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        need.difference_update(known)
+        again = need & old.keys()
+        known.update(zip(again, map(old.__getitem__, again)))
+        need -= again
+        self._learn(list(need), " ", known)
         self._learn(list(first), "", first)
-        known = self.known
         out = [first[c[0]] + b"".join(map(known.__getitem__, c[1:])) if c else b"" for c in cut]
         for c in need:
             if len(c) > LONGEST:
