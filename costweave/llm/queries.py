@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costweave.llm import id_store, packing
-from costweave.llm.shared import read
+from costweave.llm import id_store, language, nearest, packing, pseudonyms, simhash, toxicity
+from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
 from costweave.sources.scratch import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: A sample key; whoever runs this on data of their own sets one that only they know.
+KEY_SETTING, SAMPLE_KEY = "costweave.pseudonym.key", "sample key"
 
 
 def op3_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +22,41 @@ def op3_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_ids(spark, root).drop("file")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, "score").select(
+        "doc_id", (remainder_of_crc(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= model.settings.threshold).cast("int").alias("predicted"))
+
+
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    spark.conf.get(KEY_SETTING, SAMPLE_KEY), "n_replaced")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.learn(docs)).withColumn(
+        "held_out", remainder_of_crc(F.col("doc_id"), 4) == 2)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_id_store, op9_packing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_id_store, op5_nearest, op6_toxicity, op7_pseudonyms,
+                                   op8_language, op9_packing, op10_simhash)}
 
 
 def register(entries: Entries) -> None:
     for name, query in QUERIES.items():
-        entries.add(name, query)
+        entries.add(name, shipped(query))
