@@ -76,9 +76,14 @@ def _keys(bucket: Column, fp: Column, masks: list[int]) -> Column:
                      for t, m in enumerate(masks)])
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; numpy counts those of the absolute value unless the type is unsigned."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links (indices) that join all of ``fps`` that are within ``radius``, directly or in steps."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    near = differing(fps[:, None], fps[None, :]) <= radius
     left = np.ones(len(fps), bool)
     out = []
     for root in range(len(fps)):
@@ -115,7 +120,7 @@ def _scan(radius: int):
             cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
             size, links, hot = np.diff(cut), [], []
             two = cut[:-1][size == 2]
-            near = two[np.bitwise_count(x[two] ^ x[two + 1]) <= radius]
+            near = two[differing(x[two], x[two + 1]) <= radius]
             links.append((x[near], x[near + 1]))
             for i in np.flatnonzero(size > 2).tolist():
                 part = x[cut[i]:cut[i + 1]]
