@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costweave.llm import id_store, language, nearest, packing, pseudonyms, simhash, toxicity
+from costweave.llm import decontamination, id_store, language, nearest, packing, prefix_counts, pseudonyms, simhash, toxicity
 from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
 from costweave.sources.scratch import scratch_path
@@ -15,6 +15,16 @@ BYTE_BPE = "byte_bpe_50k.json"
 KEY_SETTING, SAMPLE_KEY = "costweave.pseudonym.key", "sample key"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = prefix_counts.prefix_counts(read(spark, sf_dir, "documents"),
+                                         public_tokenizers.path(BYTE_BPE), budget=512)
+    return counts.withColumn("over_limit", F.col("fits_bytes") < F.col("n_bytes"))
+
+
 def op3_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "ids")
     id_store.write_ids(read(spark, sf_dir, "documents"), root,
@@ -53,8 +63,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_id_store, op5_nearest, op6_toxicity, op7_pseudonyms,
-                                   op8_language, op9_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (
+    op1_decontamination, op2_prefix_counts, op3_id_store, op5_nearest, op6_toxicity, op7_pseudonyms,
+    op8_language, op9_packing, op10_simhash)}
 
 
 def register(entries: Entries) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from array import array
@@ -40,6 +41,15 @@ class ChunkEncoder:
             into.update(zip(part, [array("I", e.ids).tobytes() for e in coded]))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()          # strings and bytes have no cycles to look for
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [chunks(t) if t else None for t in texts]
         need: set[str] = set()
         first: dict[str, bytes] = {}
