@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costweave.llm import decontamination, id_store, language, nearest, packing, prefix_counts, pseudonyms, simhash, toxicity
+from costweave.llm import (decontamination, id_store, language, nearest, packing, pitman_yor,
+                           prefix_counts, pseudonyms, simhash, toxicity)
 from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
 from costweave.sources.scratch import scratch_path
@@ -32,6 +33,13 @@ def op3_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_ids(spark, root).drop("file")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", (remainder_of_crc(F.col("doc_id"), 7) != 2).alias("train"))
+    return pitman_yor.score(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
+                                         "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"), k=20)
 
@@ -64,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_prefix_counts, op3_id_store, op5_nearest, op6_toxicity, op7_pseudonyms,
+    op1_decontamination, op2_prefix_counts, op3_id_store, op4_pitman_yor, op5_nearest, op6_toxicity, op7_pseudonyms,
     op8_language, op9_packing, op10_simhash)}
 
 
