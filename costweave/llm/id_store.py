@@ -153,7 +153,7 @@ MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, first_key l
 
 
 def write_ids(docs: DataFrame, root: str, tokenizer: str, end_id: int, width: int = 2,
-              shard_ids: int = 4_000_000) -> None:
+              shard_ids: int = 2_000_000) -> None:
     """Encodes every whole text and writes shard files and their manifest under ``root``.
 
     ``root`` is a folder all executors reach, as a path or URI that pyarrow opens. Ranges of

@@ -37,16 +37,19 @@ class Packing:
     block: int = 2_000_000
 
 
-def cut_points(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray,
-               starts_word: np.ndarray, p: Packing) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a window may end, and each one's kind (0 a document's end, 3 inside)."""
+def cut_points(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, p: Packing) -> tuple[np.ndarray, np.ndarray]:
+    """Positions where a window may end, and each one's kind (0 a document's end, 3 inside).
+
+    ``marks`` has for each id 1 if it ends a sentence, plus 2 if it begins a word.
+    """
     n = len(ids)
     kind = np.full(n + 1, 4, np.uint8)
-    w = np.flatnonzero(starts_word[ids])
+    mark = marks[ids]
+    w = np.flatnonzero(mark & 2)
     if len(w):
         slot = w // p.grid
         kind[w[np.r_[True, slot[1:] != slot[:-1]]]] = 2
-    kind[np.flatnonzero(ends_sentence[ids]) + 1] = 1
+    kind[np.flatnonzero(mark & 1) + 1] = 1
     kind[ends] = 0
     kind[0] = kind[n] = 0
     at = np.flatnonzero(kind < 4)
@@ -90,9 +93,8 @@ def powers_of_two(length: int) -> list[int]:
 
 
 class _Packer:
-    def __init__(self, p: Packing, ends_sentence: np.ndarray, starts_word: np.ndarray,
-                 first_sequence: int) -> None:
-        self.p, self.ends_sentence, self.starts_word = p, ends_sentence, starts_word
+    def __init__(self, p: Packing, marks: np.ndarray, first_sequence: int) -> None:
+        self.p, self.marks = p, marks
         self.sequence = first_sequence
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple] = []       # doc_id, tokens of it packed before, its tokens
@@ -110,7 +112,7 @@ class _Packer:
         p = self.p
         ids = np.concatenate(self.ids)
         ends = np.cumsum([len(x) for x in self.ids])
-        at, kind = cut_points(ids, ends, self.ends_sentence, self.starts_word, p)
+        at, kind = cut_points(ids, ends, self.marks, p)
         cost = np.array([0, p.sentence, p.word, p.inside])[kind]
         chosen = best_cuts(at, cost, p.window)
         cuts, kinds = at[chosen].tolist(), kind[chosen].tolist()
@@ -178,15 +180,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, packing: Packing = Packin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(tokenizer)
-        size = max(len(known), end_id + 1)
-        ends_sentence = np.zeros(size, bool)
-        starts_word = np.zeros(size, bool)
+        marks = np.zeros(max(len(known), end_id + 1), np.uint8)
         for i, b in enumerate(known):
-            ends_sentence[i] = b.endswith((b".", b"!", b"?", b"\n"))
-            starts_word[i] = b.startswith(b" ")
+            marks[i] = b.endswith((b".", b"!", b"?", b"\n")) + 2 * b.startswith(b" ")
         code = encoder(tokenizer)
-        packer = _Packer(packing, ends_sentence, starts_word,
-                         TaskContext.get().partitionId() << 40)
+        packer = _Packer(packing, marks, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4")
         for batch in slices(batches):
             coded = code.encode(batch.column("text").to_pylist())
