@@ -22,7 +22,7 @@ from costweave.registry.storage import lake, whole
 from costweave.session import with_settings
 
 HEADLINE = """
-month_probe cost_by_service cost_by_account mom_trend top_drivers top_drivers_onepass
+month_probe cost_by_service cost_by_account mom_trend top_drivers top_drivers_joined
 cost_by_resource cost_by_tag cost_by_team_env daily_series anomalies commitment_coverage
 commitment_utilisation data_transfer s3_categories cost_by_service_pruned reconcile
 type_contribution health_report check_duplicates check_savings_plan_balance check_contract

@@ -3,8 +3,9 @@
 Input is any frame with a query id and a text, e.g. an exported query history; output is one
 finding per (query, rule). The rules are LEXICAL: comments and string literals are blanked
 and tokens are tested with regular expressions, entirely in JVM-side column expressions and
-without a shuffle. They do not resolve names or scopes. Known limits: predicates are counted
-per text, not per sub-select; a select alias without AS counts as an unknown column.
+without a shuffle. They do not resolve names or scopes. Texts are cut at each SELECT, and a
+read of the table is held against the WHERE of its own part. Known limits: what follows a
+subquery counts to its part; a select alias without AS counts as an unknown column.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from costweave.schema import CONTRACT, PARTITION_COLUMNS
 # both read correctly. A literal becomes ' ', a comment a blank.
 BLANK_OUT = r"(?s)(')[^']*'|--[^\n]*|/\*.*?\*/"
 
+# A quoted name with anything but word characters in it.
+QUOTED = r"\"[^\"]*[^a-z0-9_\"][^\"]*\"|`[^`]*[^a-z0-9_`][^`]*`"
 WORD = r"[a-z_][a-z0-9_]*"
 QUALIFIER = rf"(?:{WORD}\s*\.\s*)"
 STAR = rf"(?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*){QUALIFIER}*\*"
@@ -33,7 +36,7 @@ INSIDE = rf"\b({WORD})\s*\([^()]*\b(?:{{0}})\b"
 NO_COLUMN = (rf"\b{WORD}\s*[(.]|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
              rf"(?:\s+(?:as\s+)?{WORD})?")
 # Names a text introduces itself: aliases, common table expressions and named windows.
-INTRODUCED = (rf"\bas\s+({WORD})\b",
+INTRODUCED = (rf"\bas\s+({WORD})\b", rf"\)\s*({WORD})\b",
               rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
@@ -54,16 +57,23 @@ HEADER_SECTIONS = {
 CLAUSE_WORDS = ("and", "or", "not", "where", "in", "on", "when", "then", "else", "having", "by",
                 "select", "from", "exists", "any", "all", "case", "between", "as")
 
-# Words of SQL that are not column names.
-SQL_WORDS = """
-all and any as asc between by case cast create cross current current_date date day desc
-distinct double else end except exists external false filter first following from full group
-grouping having if in inner int integer intersect interval is join last lateral left like
-limit month not null nulls offset on or order outer over partition preceding range right row
-rows select sets string table then timestamp true unbounded union unnest using values
-varchar when where window with year bigint boolean decimal float real hour minute second
-natural escape at time zone
+# The reserved words of Spark SQL, as sql_keywords() lists them under
+# spark.sql.ansi.enforceReservedKeywords.
+RESERVED_WORDS = """
+all and any as authorization both call case cast check collate collation column constraint create
+cross current_date current_time current_timestamp current_user distinct else end escape except
+execute false fetch filter for foreign from full grant group having in inner intersect into is join
+lateral leading left natural not null offset on only or order outer overlaps primary recursive
+references right select session_user some sql table then time to trailing union unique unknown user
+using when where with within
 """.split()
+# Words that Spark does not reserve but that these rules meet in clauses, frames and casts.
+OPEN_WORDS = ("asc between by cube current day desc exists first following grouping hour if ilike "
+              "interval last like limit minute month next nulls over partition percent preceding qualify "
+              "range rlike rollup row rows second sets tablesample ties true unbounded unnest values window "
+              "year zone at "
+              "bigint boolean date decimal double float int integer real smallint string timestamp varchar").split()
+SQL_WORDS = tuple(dict.fromkeys([*RESERVED_WORDS, *OPEN_WORDS]))
 
 SEVERITY = {"star": "high", "partition_filter": "high", "wrapped_partition": "low",
             "unknown_column": "high", "timestamp_filter": "high", "header": "low",
@@ -84,7 +94,9 @@ def _literals(words: Iterable[str]) -> Column:
 
 
 def table_reference(table: str) -> str:
-    return rf"\b(?:from|join)\s+{QUALIFIER}*{re.escape(table.lower())}\b"
+    """The table after FROM or JOIN, or after a comma with an alias or clause behind it."""
+    name = rf"{QUALIFIER}*{re.escape(table.lower())}"
+    return rf"\b(?:from|join)\s+{name}\b|,\s*{name}\s+(?:as\s+)?{WORD}"
 
 
 def predicate(column: str) -> str:
@@ -93,15 +105,30 @@ def predicate(column: str) -> str:
 
 
 def readable(queries: DataFrame, text: str) -> DataFrame:
-    """Adds ``_raw`` (NULL when not UTF-8) and ``_bare`` (lower case, comments blanked)."""
-    value = F.col(text)
-    if isinstance(queries.schema[text].dataType, T.BinaryType):
-        value = F.when(F.is_valid_utf8(value.cast("string")), value.cast("string"))
-    raw = F.when(~F.contains(value, F.lit("�")), value)
-    bare = F.translate(F.lower(F.regexp_replace("_raw", BLANK_OUT, "$1 $1")), '"`', "")
+    """Adds ``_raw`` (NULL when not UTF-8) and ``_bare``: lower case, comments, literals and
+    quoted names that are no plain words blanked."""
+    value = F.col(text).cast("string")
+    raw = F.when(F.is_valid_utf8(value), value)
+    bare = F.lower(F.regexp_replace("_raw", BLANK_OUT, "$1 $1"))
+    bare = F.translate(F.regexp_replace(bare, QUOTED, " "), '"`', "")
     return queries.withColumn("_raw", raw).withColumn("_bare", bare)
 
 
+PARTS = "array<struct<reads: int, years: int, months: int>>"
+
+
+def parts_of(bare: Column, table: str) -> Column:
+    """For each part of a text from one SELECT to the next: how often it reads the table, and how
+    often its WHERE compares year and month."""
+    def one(part: Column) -> Column:
+        where = F.concat_ws(" ", _words(part, WHERE_PART))
+        reads = _times(part, table_reference(table))
+        count = lambda column: F.when(reads > 0, _times(where, predicate(column))).otherwise(0)
+        return F.struct(reads.alias("reads"), count("year").alias("years"), count("month").alias("months"))
+
+    return F.transform(F.split(bare, r"\bselect\b"), one)
+
+
 def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
     """What the rules look at, one named column each, so that it is worked out once."""
     bare = F.col("_bare")
@@ -124,9 +151,11 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         F.when(~_contains_any(F.col("_raw"), spellings), F.lit(section))
         for section, spellings in HEADER_SECTIONS.items()]))
     return {
-        "_reads": _times(bare, table_reference(table)),
-        "_by_year": _times(bare, predicate("year")),
-        "_by_month": _times(bare, predicate("month")),
+        "_reads": F.expr("aggregate(_parts, 0, (n, p) -> n + p.reads)"),
+        "_by_year": F.expr("aggregate(_parts, 0, (n, p) -> n + p.years)"),
+        "_by_month": F.expr("aggregate(_parts, 0, (n, p) -> n + p.months)"),
+        "_lacking": F.expr("aggregate(_parts, 0, (n, p) ->"
+                           " n + greatest(p.reads - least(p.years, p.months), 0))"),
         "_stars": if_any(bare, "*", _times(bare, STAR), F.lit(0)),
         "_wrapped": if_any(where, PARTITION_COLUMNS, wrapped, nothing),
         "_timed": if_any(where, TIME_COLUMNS, timed, nothing),
@@ -141,23 +170,24 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
     }
 
 
-def _rules() -> dict[str, tuple[Column, Column, Column]]:
+def _rules(readers_only: bool) -> dict[str, tuple[Column, Column, Column]]:
     """Rule -> (hit, observed, detail) over the measures."""
-    lacking = F.col("_reads") - F.least("_by_year", "_by_month")
+    lacking = F.col("_lacking")
     none = F.lit("")
+    reader = (F.col("_reads") > 0) if readers_only else F.lit(True)
 
     def listed(name: str, detail: Column | None = None) -> tuple[Column, Column, Column]:
         return (F.size(name) > 0, F.size(name),
                 F.concat_ws(", ", name) if detail is None else detail)
 
     return {
-        "star": (F.col("_stars") > 0, F.col("_stars"), none),
+        "star": (reader & (F.col("_stars") > 0), F.col("_stars"), none),
         "partition_filter": (lacking > 0, lacking,
                              F.concat(F.lit("table reads "), F.col("_reads").cast("string"),
                                       F.lit(", year "), F.col("_by_year").cast("string"),
                                       F.lit(", month "), F.col("_by_month").cast("string"))),
         "wrapped_partition": listed("_wrapped", F.concat_ws(", ", F.array_sort("_wrapped"))),
-        "unknown_column": listed("_strange"),
+        "unknown_column": (reader & (F.size("_strange") > 0), *listed("_strange")[1:]),
         "timestamp_filter": listed("_timed", F.concat_ws(", ", F.array_sort("_timed"))),
         "header": ((F.size("_absent") > 0) | F.col("_headless"), F.size("_absent"),
                    F.concat_ws(", ", F.when(F.col("_headless"), F.lit("no leading comment")),
@@ -179,14 +209,16 @@ def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text",
           table: str = "billing", rules: Iterable[str] = RULES,
-          extra_columns: Iterable[str] = ()) -> DataFrame:
+          extra_columns: Iterable[str] = (), readers_only: bool = True) -> DataFrame:
     """Findings (query_id, rule, severity, observed, detail) of the chosen rules.
 
     ``table`` is the billing table's name without qualifiers; ``extra_columns`` extends the
-    contract with columns the table really has. Unreadable texts only yield ``tiny_text``.
+    contract with columns the table really has. Stars and unknown columns are of interest in
+    texts that read the table; ``readers_only=False`` looks for them in all. Unreadable texts
+    only yield ``tiny_text``.
     """
     allowed = (*[c.lower() for c in CONTRACT.names], *[c.lower() for c in extra_columns])
-    known = _rules()
+    known = _rules(readers_only)
     chosen = list(rules)
     for rule in chosen:
         if rule not in known:
@@ -199,11 +231,15 @@ def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text"
             F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"),
             hit.alias("hit"), observed.cast("bigint").alias("observed"),
             F.when(hit, detail).alias("detail")))
+    bare = F.col("_bare")
+    # Where the table's name does not occur at all, nothing that depends on reading it is looked for.
+    named = F.contains(bare, F.lit(table.lower()))
+    words_of = F.array_distinct(_words(F.regexp_replace(bare, NO_COLUMN, " "), rf"\b({WORD})\b"))
     texts = (readable(queries, text)
              .withColumns({
-                 "_where": F.concat_ws(" ", _words(F.col("_bare"), WHERE_PART)),
-                 "_distinct_words": F.array_distinct(_words(
-                     F.regexp_replace("_bare", NO_COLUMN, " "), rf"\b({WORD})\b"))})
+                 "_where": F.concat_ws(" ", _words(bare, WHERE_PART)),
+                 "_parts": F.when(named, parts_of(bare, table)).otherwise(F.array().cast(PARTS)),
+                 "_distinct_words": F.when(named, words_of) if readers_only else words_of})
              .select(F.col(query_id).alias("query_id"),
                      *[c.alias(n) for n, c in _measures(table, allowed).items()])
              .withColumn("_strange", F.array_sort(F.array_except("_words", "_introduced"))))

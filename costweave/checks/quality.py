@@ -122,9 +122,16 @@ def check_currency(df: DataFrame, expected: str = "USD") -> DataFrame:
                    F.lit(f"expected {expected}"))
 
 
-def check_last_month(df: DataFrame) -> DataFrame:
-    """Is the newest month delivered to its last day? ``observed`` is the days missing."""
-    newest = df.agg(F.to_date(F.max(USAGE_START)).alias("day"))
+def check_last_month(df: DataFrame, period: Period | None = None) -> DataFrame:
+    """Is the newest month delivered to its last day? ``observed`` is the days missing.
+
+    The newest month is the newest partition; only its rows are looked at, and those of
+    ``period`` (its newest month) if one is given, so that no other partition is read.
+    """
+    if period is not None:
+        df = df.where(Period.month(*period.months[-1]).partitions())
+    last = df.agg(F.max(F.struct("year", "month")).alias("last"))
+    newest = df.where(F.struct("year", "month") == last.scalar()).agg(F.to_date(F.max(USAGE_START)).alias("day"))
     short = F.date_diff(F.last_day("day"), F.col("day"))
     return per_row(newest, "last_month", "warning", F.coalesce(short == 0, F.lit(False)),
                    F.date_format("day", "yyyy-MM"), short,
@@ -160,16 +167,18 @@ def check_attribution(df: DataFrame, tags: Sequence[str] = (TEAM,),
 
 
 def duplicate_line_items(df: DataFrame, period: Period | None = None) -> DataFrame:
-    """Line item ids that occur more than once, with their surplus cost.
+    """Line item ids that occur more than once in a month's delivery, with their cost.
+
+    The same id in another month is not a copy: ids are unique within a period only.
 
     Copies are counted map-side first, so one id with very many copies is still one small
     row per task in the shuffle. Rows without an id are not compared.
     """
     rows = df if period is None else period.scope(df)
-    return (rows.where(F.col(LINE_ID).isNotNull()).groupBy(LINE_ID)
+    return (rows.where(F.col(LINE_ID).isNotNull()).groupBy("year", "month", LINE_ID)
             .agg(F.count("*").alias("copies"), F.sum(C.cash()).alias("cash"))
             .where(F.col("copies") > 1)
-            .select(F.col(LINE_ID).alias("line_item_id"), "copies",
+            .select("year", "month", F.col(LINE_ID).alias("line_item_id"), "copies",
                     C.money(F.col("cash")).alias("unblended_cost")))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from costweave.functions import cost as C
-from costweave.functions.calendar import month_label, month_start, usage_date
+from costweave.functions.calendar import (BILLING_START, USAGE_START, month_label, month_start,
+                                          usage_date)
 from costweave.operators.breakdown import ACCOUNT, AMOUNT, PRODUCT
 from costweave.plans.spine import fill_gaps
 from costweave.plans.totals import totals_struct
@@ -26,8 +27,13 @@ def _only(df: DataFrame, products: str | Sequence[str] | None) -> DataFrame:
 
 def monthly_cost(df: DataFrame, period: Period, products: Sequence[str] | None = None,
                  by_billing_period: bool = False, basis: str = "amortized") -> DataFrame:
-    """Unrounded cost per service and month (a DATE, the first of the month)."""
-    return (_only(period.scope(df), products)
+    """Unrounded cost per service and month (a DATE, the first of the month).
+
+    By billing period the bounds are those of the billing period too, so usage from before
+    it that was billed in it counts.
+    """
+    column = BILLING_START if by_billing_period else USAGE_START
+    return (_only(period.scope(df, column), products)
             .groupBy(month_start(by_billing_period).alias("month_date"),
                      F.col(PRODUCT).alias("service"))
             .agg(F.sum(C.basis(basis)).alias("amortized_cost")))
@@ -172,7 +178,12 @@ def top_drivers(df: DataFrame, prev: Month, curr: Month, null_safe: bool = True,
 
 def daily_cost(df: DataFrame, period: Period, products: str | Sequence[str] | None = None,
                day_shift_hours: int = 0, basis: str = "amortized") -> DataFrame:
-    """Unrounded cost, usage and rows per service and day."""
+    """Unrounded cost, usage and rows per service and day.
+
+    With a shifted day boundary the period means whole local days, so its bounds shift too.
+    """
+    if day_shift_hours:
+        period = period.shifted(day_shift_hours)
     return (_only(period.scope(df), products)
             .groupBy(F.col(PRODUCT).alias("service"),
                      usage_date(day_shift_hours).alias("usage_date"))

@@ -8,7 +8,7 @@ lies outside their partition apart, so reports drop them as the direct queries d
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costweave.functions import cost as C
 from costweave.functions.calendar import month_start, usage_date
@@ -59,13 +59,32 @@ SORT_KEYS = {"service_month": ["service"], "resource_month": ["service", "usage_
              "service_day": ["service", "usage_date"], "commitment_month": ["commitment_id"]}
 
 
+def _store(spark: SparkSession, folder: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _files(spark: SparkSession, folder: str) -> set[str]:
+    """Names of the files in a folder, none if there is no such folder."""
+    store, place = _store(spark, folder)
+    if not store.exists(place):
+        return set()
+    return {f.getPath().getName() for f in store.listStatus(place)}
+
+
 def refresh(df: DataFrame, name: str, root: str, period: Period | None = None) -> None:
     """Rebuild one rollup under ``root``, for the months of ``period`` or for all.
 
-    Months that are not rebuilt stay as they are.
+    Months that are not rebuilt stay as they are. A month of ``period`` that gives no rows any
+    more loses its old ones, once the others are written.
     """
     rows = df if period is None else df.where(period.partitions())
+    folders = [] if period is None else period.paths(root)
+    before = {f: _files(df.sparkSession, f) for f in folders}
     write_partitioned(ROLLUPS[name](rows), root, SORT_KEYS[name])
+    for folder, files in before.items():
+        if files and _files(df.sparkSession, folder) == files:      # nothing was written there
+            _store(df.sparkSession, folder)[0].delete(_store(df.sparkSession, folder)[1], True)
 
 
 def _sum_back(rollup: DataFrame, period: Period, keys: list[str], sums: list[str]) -> DataFrame:

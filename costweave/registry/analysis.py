@@ -5,7 +5,7 @@ from __future__ import annotations
 from costweave.operators import breakdown as B, commitments as K, reconcile as R
 from costweave.operators import trend as T, usage as U
 from costweave.registry.entries import Entries
-from costweave.registry.sqlbase import FULL, MONTH, STRADDLE, TWO_MONTHS, event_rows, rows
+from costweave.registry.sqlbase import FULL, MONTH, STRADDLE, TWO_MONTHS, event_rows, rows, within
 from costweave.sources.period import Period
 from costweave.sources.sample import event_billing, lineitem_billing
 
@@ -330,8 +330,8 @@ def register(e: Entries) -> None:
         e.add(f"{name}_one_month", on(fn, MONTH), sql(MONTH))
     e.add("mom_trend", on(T.mom_trend, FULL), _trend_sql(FULL))
     e.add("mom_trend_year_straddle", on(T.mom_trend, STRADDLE), _trend_sql(STRADDLE))
-    e.add("top_drivers", on(T.top_drivers, FEB, MAR, method="join"), _drivers_sql(FEB, MAR))
-    e.add("top_drivers_onepass", on(T.top_drivers, FEB, MAR), _drivers_sql(FEB, MAR))
+    e.add("top_drivers", on(T.top_drivers, FEB, MAR), _drivers_sql(FEB, MAR))
+    e.add("top_drivers_joined", on(T.top_drivers, FEB, MAR, method="join"), _drivers_sql(FEB, MAR))
     e.add("top_drivers_plain_equality", on(T.top_drivers, FEB, MAR, null_safe=False),
           _drivers_sql(FEB, MAR, "="))
     e.add("top_drivers_year_straddle", on(T.top_drivers, DEC, JAN), _drivers_sql(DEC, JAN))
@@ -346,7 +346,8 @@ def register(e: Entries) -> None:
     e.add("mom_trend_spine", on(T.mom_trend, FULL, spine=True),
           _trend_sql(FULL, monthly=TREND_SPINE_SQL))
     e.add("mom_trend_billing_period", on(T.mom_trend, FULL, by_billing_period=True),
-          _trend_sql(FULL, "strftime(bill_billing_period_start_date, '%Y-%m')"))
+          _trend_sql(FULL, "strftime(bill_billing_period_start_date, '%Y-%m')",
+                     within(FULL, "bill_billing_period_start_date")))
     e.add("mom_trend_products", on(T.mom_trend, FULL, products=["AmazonEC2", "AmazonS3"]),
           _trend_sql(FULL, where="svc IN ('AmazonEC2', 'AmazonS3')"))
     e.add("mom_trend_min_delta", on(T.mom_trend, FULL, min_abs_delta=500000.0),
@@ -366,7 +367,8 @@ def register(e: Entries) -> None:
           _daily_sql(event_rows(JANUARY_2024), "view"))
     e.add("daily_series_shifted_day",
           on_events(T.daily_series, JANUARY_2024, "view", day_shift_hours=-5),
-          _daily_sql(event_rows(JANUARY_2024), "view", "CAST(ts - INTERVAL 5 HOUR AS DATE)"))
+          _daily_sql(event_rows(JANUARY_2024.shifted(-5)), "view",
+                     "CAST(ts - INTERVAL 5 HOUR AS DATE)"))
     e.add("anomalies_intraday", on_events(T.anomalies, JANUARY_2024, pct=20.0, z=2.0),
           _anomaly_sql(event_rows(JANUARY_2024), z="2", pct="20"))
     e.add("anomalies_weekly_cycle",

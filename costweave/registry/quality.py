@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from costweave import schema as S
 from costweave.checks import compare, contract, quality as Q
 from costweave.operators import trend as T
+from costweave.registry.analysis import _trend_sql
 from costweave.registry.entries import Entries
-from costweave.registry.sqlbase import FULL, rows
+from costweave.registry.sqlbase import FULL, TWO_MONTHS, rows, within
+from costweave.registry.storage import whole
 from costweave.sources.period import Period
 from costweave.sources.sample import LINEITEM_MAP, lineitem_billing, lineitem_rows
 
@@ -172,9 +174,15 @@ j AS (SELECT mon, o.v AS a, f.v AS z, round(o.v - f.v, 2) AS gap
 k AS (SELECT *, CASE WHEN a IS NULL THEN 'no rows for this month' WHEN z IS NULL
  THEN 'no trusted figure' WHEN abs(gap) <= 0.01 THEN 'agrees' ELSE 'differs' END AS state FROM j)
 """ + _finding("reconcile", "error", "state = 'agrees'", "mon", "gap", "state") + " FROM k")
-    e.add("check_pruning", on(compare.check_pruning, FULL, T.monthly_cost), _finding(
-        "pruning", "error", "count(*) = 0", "'result rows'", "count(*)",
-        "'rows that differ without pruning'") + " FROM lineitem WHERE l_shipdate IS NULL")
+    e.add("check_pruning",
+          lambda s, sf: compare.check_pruning(whole(s, sf), YEAR, T.monthly_cost),
+          rows(YEAR) + """,
+p AS (SELECT mon, svc, sum(accrued) AS v FROM b WHERE year = '1998' GROUP BY 1, 2),
+u AS (SELECT mon, svc, sum(accrued) AS v FROM b GROUP BY 1, 2),
+d AS (SELECT coalesce(p.mon, u.mon) AS mon FROM p FULL JOIN u ON p.mon = u.mon
+ AND p.svc IS NOT DISTINCT FROM u.svc WHERE p.v IS NULL OR u.v IS NULL OR abs(p.v - u.v) > 0.01) """
+          + _finding("pruning", "error", "count(*) = 0", "'result keys'", "count(*)",
+                     "'keys that differ without pruning'") + " FROM d")
     filed = """, f AS (SELECT mon, svc, accrued,
  strftime(bill_billing_period_start_date, '%Y-%m') AS filed FROM b) """
     e.add("check_partition_dates_late",
@@ -189,13 +197,17 @@ k AS (SELECT *, CASE WHEN a IS NULL THEN 'no rows for this month' WHEN z IS NULL
 p AS (SELECT mon, svc, sum(accrued) AS v FROM f WHERE filed BETWEEN '1998-01' AND '1998-12'
  GROUP BY 1, 2),
 u AS (SELECT mon, svc, sum(accrued) AS v FROM f GROUP BY 1, 2),
-d AS ((SELECT * FROM p EXCEPT ALL SELECT * FROM u) UNION ALL
- (SELECT * FROM u EXCEPT ALL SELECT * FROM p)) """ + _finding(
-              "pruning", "error", "count(*) = 0", "'result rows'", "count(*)",
-              "'rows that differ without pruning'") + " FROM d")
-    duplicates = """, d AS (SELECT identity_line_item_id AS line_item_id, count(*) AS copies,
- round(sum(cash), 2) AS unblended_cost FROM b WHERE identity_line_item_id IS NOT NULL GROUP BY 1
- HAVING count(*) > 1) """
+d AS (SELECT coalesce(p.mon, u.mon) AS mon FROM p FULL JOIN u ON p.mon = u.mon
+ AND p.svc IS NOT DISTINCT FROM u.svc WHERE p.v IS NULL OR u.v IS NULL OR abs(p.v - u.v) > 0.01) """
+          + _finding("pruning", "error", "count(*) = 0", "'result keys'", "count(*)",
+                     "'keys that differ without pruning'") + " FROM d")
+    e.add("mom_trend_billing_period_two_months",
+          lambda s, sf: T.mom_trend(late_partitions(s, sf), TWO_MONTHS, by_billing_period=True),
+          _trend_sql(None, "strftime(bill_billing_period_start_date, '%Y-%m')",
+                     within(TWO_MONTHS, "bill_billing_period_start_date")))
+    duplicates = """, d AS (SELECT year, month, identity_line_item_id AS line_item_id,
+ count(*) AS copies, round(sum(cash), 2) AS unblended_cost FROM b
+ WHERE identity_line_item_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1) """
     e.add("duplicate_line_items", on(Q.duplicate_line_items), rows() + duplicates
           + "SELECT * FROM d")
     e.add("check_duplicates", on(Q.check_duplicates), rows() + duplicates + _finding(

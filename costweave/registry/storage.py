@@ -117,6 +117,28 @@ def legacy_conversion(spark: SparkSession, sf: str) -> DataFrame:
                  F.count("product_instance_type").alias("instances")))
 
 
+def csv_delivery(spark: SparkSession, sf: str) -> DataFrame:
+    """Two CSV deliveries with different headers, written, read back and converted.
+
+    The second has its columns in another order and a tag that the first lacks.
+    """
+    root = scratch_path(spark, "csv")
+    rows_ = delivery(spark, sf)
+    early = F.col("`lineItem/UsageStartDate`") < "1997"
+    cells = lambda names: [F.col(f"`{n}`") for n in names]
+    write = lambda df, name: df.write.option("header", True).option("escape", '"').csv(f"{root}/{name}")
+    write(rows_.where(early).select(*cells(rows_.columns)), "first")
+    tagged = rows_.where(~early).withColumn("resourceTags/user:cost-center",
+                                            F.concat(F.lit("cc-"), F.col("`resourceTags/user:Team`")))
+    write(tagged.select(*cells(reversed(tagged.columns))), "second")
+    read = V.from_legacy(V.read_legacy_csv(spark, root), ntz=True,
+                         extra={"resource_tags_user_cost_center": "string"})
+    return (read.groupBy("year", F.col(B.PRODUCT).alias("service"))
+            .agg(F.count("*").alias("line_items"), C.money(F.sum(C.cash())).alias("cash"),
+                 F.count("resource_tags_user_cost_center").alias("centers"),
+                 F.count("product_instance_type").alias("instances")))
+
+
 def map_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags delivered as a map, flattened to columns and reported as usual."""
     plain = lineitem_billing(spark, sf)
@@ -149,6 +171,10 @@ SELECT year, month, svc AS service, count(*) AS line_items, round(sum(money), 2)
  count(reservation_reservation_a_r_n) AS reservations,
  count(nullif(resource_tags_user_team, '')) AS tagged,
  count(product_instance_type) AS instances FROM c GROUP BY 1, 2, 3""")
+    e.add("source_legacy_csv", csv_delivery, rows() + converted + """
+SELECT year, svc AS service, count(*) AS line_items, round(sum(money), 2) AS cash,
+ count(resource_tags_user_team) FILTER (WHERE year >= '1997') AS centers,
+ count(product_instance_type) AS instances FROM c GROUP BY 1, 2""")
     typed = {"line_item_usage_start_date": ("ts", "0"),
              "line_item_unblended_cost": ("coalesce(CASE WHEN amount = 13 THEN 0e0 END, cash)",
                                           "count(*) FILTER (WHERE amount = 13)"),

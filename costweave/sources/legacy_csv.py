@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from costweave.schema import CONTRACT, PARTITION_COLUMNS
-from costweave.sources.billing_table import conform, write_billing
+from costweave.schema import CONTRACT, PARTITION_COLUMNS, contract
+from costweave.sources.billing_table import conform, widen, write_billing
 
 
 def snake(word: str) -> str:
@@ -40,14 +41,27 @@ def _cast(name: str, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def from_legacy(df: DataFrame, ntz: bool = False) -> DataFrame:
-    """Contract rows out of all-string rows with slash headers.
+def _kinds(optional: tuple[str, ...], extra: dict[str, str] | None) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in contract(optional, extra) if f.name not in PARTITION_COLUMNS}
+
+
+def unconverted_headers(df: DataFrame, optional: tuple[str, ...] = (),
+                        extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Headers that ``from_legacy`` would leave out, each with the column name it would have."""
+    kinds = _kinds(optional, extra)
+    return {h: n for h, n in zip(df.columns, column_names(df.columns)) if n not in kinds}
+
+
+def from_legacy(df: DataFrame, ntz: bool = False, optional: tuple[str, ...] = (),
+                extra: dict[str, str] | None = None) -> DataFrame:
+    """Contract rows out of all-string rows with slash headers, with the named optional column
+    groups and ``extra`` columns (name to type); ``unconverted_headers`` tells what is left out.
 
     Values that do not parse become NULL; ``conversion_report`` counts them. Partition
     columns are taken from the usage start, as delivered files carry none.
     """
     named = df.toDF(*column_names(df.columns))
-    kinds = {f.name: f.dataType for f in CONTRACT if f.name not in PARTITION_COLUMNS}
+    kinds = _kinds(optional, extra)
     cols = []
     for name in named.columns:
         kind = kinds.get(name)
@@ -58,8 +72,10 @@ def from_legacy(df: DataFrame, ntz: bool = False) -> DataFrame:
         cols.append(_cast(name, kind).alias(name))
     typed = named.select(*cols)
     start = F.col("line_item_usage_start_date")
-    return conform(typed.withColumns({"year": F.date_format(start, "yyyy"),
-                                      "month": F.date_format(start, "MM")}))
+    added = [n for n in kinds if n not in CONTRACT.names]
+    wide = widen(typed, {n: kinds[n].simpleString() for n in added})
+    return conform(wide.withColumns({"year": F.date_format(start, "yyyy"),
+                                     "month": F.date_format(start, "MM")}), added)
 
 
 def conversion_report(df: DataFrame) -> DataFrame:
@@ -79,11 +95,27 @@ def conversion_report(df: DataFrame) -> DataFrame:
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The delivered CSV (plain or gzip), every value as text."""
-    return (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
-            .csv(path))
-
+    """The delivered CSV files (plain or gzip), every value as text.
 
-def convert_legacy_csv(spark: SparkSession, source: str, root: str) -> None:
-    """Convert a CSV delivery to the month-partitioned Parquet table."""
-    write_billing(from_legacy(read_legacy_csv(spark, source)), root)
+    The columns of a report change between deliveries. Files are grouped by their own header
+    (the driver sees one line per file), each group is read under its header, and columns that
+    a group lacks are NULL.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.select("path").orderBy("path").collect():
+        header = tuple(reader.csv(row.path).columns)
+        by_header.setdefault(header, []).append(row.path)
+    if not by_header:
+        raise ValueError(f"no files under {path}")
+    parts = [reader.csv(files) for header, files in by_header.items() if header]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def convert_legacy_csv(spark: SparkSession, source: str, root: str, optional: tuple[str, ...] = (),
+                       extra: dict[str, str] | None = None) -> dict[str, str]:
+    """Convert a CSV delivery to the month-partitioned Parquet table; returns what was left out."""
+    delivered = read_legacy_csv(spark, source)
+    write_billing(from_legacy(delivered, optional=optional, extra=extra), root)
+    return unconverted_headers(delivered, optional, extra)

@@ -82,6 +82,17 @@ class Period:
                 runs.append((lo, hi))
         return runs
 
+    def shifted(self, hours: int) -> Period:
+        """The same stretch of local days as UTC instants, where local time is UTC plus ``hours``.
+
+        Only for one contiguous stretch; it may touch one month more than the local days do.
+        """
+        stretches = self.runs()
+        if len(stretches) != 1:
+            raise ValueError("a shifted day needs months that follow each other")
+        lo, hi = stretches[0]
+        return Period.range(lo - timedelta(hours=hours), hi - timedelta(hours=hours))
+
     @property
     def first_instant(self) -> datetime:
         return self.runs()[0][0]
@@ -116,9 +127,9 @@ class Period:
         return reduce(lambda a, b: a | b,
                       [(ts >= bound(lo)) & (ts < bound(hi)) for lo, hi in self.runs()])
 
-    def scope(self, df: DataFrame) -> DataFrame:
-        """The rows of the period: timestamp range and partition pairs together."""
-        return df.where(self.instants(df) & self.partitions())
+    def scope(self, df: DataFrame, column: str = USAGE_START) -> DataFrame:
+        """The rows of the period: range of ``column`` and partition pairs together."""
+        return df.where(self.instants(df, column) & self.partitions())
 
     def paths(self, root: str) -> list[str]:
         """The month folders under ``root``."""

@@ -113,7 +113,7 @@ def test_unreadable_and_short_texts(spark):
 
 def test_whole_text_is_read(spark):
     long = GOOD.replace("\nFROM", "\n" + "-- filler\n" * 20000 + "FROM").replace(
-        "ORDER BY double_cost DESC", "LIMIT 1; SELECT * FROM elsewhere")
+        "ORDER BY double_cost DESC", "LIMIT 1; SELECT * FROM elsewhere")  # the text reads the table further up
     assert set(only(spark, long)) == {"star"}
 
 
@@ -124,3 +124,37 @@ def test_summary_and_rule_choice(spark):
     with pytest.raises(ValueError, match="unknown rule"):
         audit(df, rules=["nope"])
     assert set(got) <= set(RULES)
+
+
+def _rules_of(spark, text, **more):
+    df = spark.createDataFrame([(1, text)], "query_id int, sql_text string")
+    found = audit(df, rules=["star", "partition_filter", "unknown_column"], **more)
+    return {r.rule: r.detail for r in found.collect()}
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT CASE WHEN year = '2024' AND month = '03' THEN 1 END FROM billing",
+    "SELECT a.x FROM other a, billing b",
+    "SELECT 1 FROM m JOIN billing b ON b.year = m.year AND b.month = m.month",
+    "WITH a AS (SELECT 1 FROM billing WHERE year = '2024' AND year > '1' AND month = '03' AND month > '0')"
+    " SELECT 1 FROM billing",
+])
+def test_reads_without_their_own_partition_filter(spark, text):
+    assert "partition_filter" in _rules_of(spark, text)
+
+
+@pytest.mark.parametrize("text", [
+    'SELECT line_item_unblended_cost AS "Total Cost" FROM billing WHERE year = \'2024\' AND month = \'03\'',
+    "SELECT t.n FROM (SELECT count(*) AS n FROM billing WHERE year = '2024' AND month = '03') t",
+    "SELECT current_timestamp FROM billing TABLESAMPLE (5 PERCENT) WHERE year = '2024' AND month = '03'"
+    " AND line_item_product_code ILIKE 'x' QUALIFY 1 = 1 FETCH FIRST 5 ROWS ONLY",
+    "SELECT clicks, region, user_name FROM web_logs",
+    "SELECT * FROM web_logs",
+])
+def test_no_false_alarms(spark, text):
+    assert _rules_of(spark, text) == {}
+
+
+def test_other_tables_on_request_and_odd_characters(spark):
+    assert "star" in _rules_of(spark, "SELECT * FROM web_logs", readers_only=False)
+    assert set(_rules_of(spark, "-- caf�\nSELECT * FROM billing")) == {"star", "partition_filter"}

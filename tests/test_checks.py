@@ -122,7 +122,7 @@ def test_attribution_ceiling(spark):
 def test_duplicates_skip_missing_ids(spark):
     df = billing(spark, [{"id": "a"}, {"id": "a"}, {"id": "a"}, {"id": "b"}, {"id": None}, {"id": None}])
     assert dicts(Q.duplicate_line_items(df)) == [
-        {"line_item_id": "a", "copies": 3, "unblended_cost": 3.0}]
+        {"year": df.first().year, "month": df.first().month, "line_item_id": "a", "copies": 3, "unblended_cost": 3.0}]
     (row,) = dicts(Q.check_duplicates(df))
     assert (row["ok"], row["observed"], row["detail"]) == (False, 1.0, "surplus rows 2")
 

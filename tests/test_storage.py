@@ -188,3 +188,34 @@ def test_scratch_follows_the_session(spark):
     path = scratch_path(spark, "x")
     assert path.endswith("/x") and (base is None or path.startswith(base.rstrip("/")))
     assert scratch_path(spark, "x") != path
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    """Another column order and another column in the second file; a tag with a dash is kept on request."""
+    (tmp_path / "a.csv").write_text("lineItem/UsageStartDate,lineItem/ProductCode,lineItem/UnblendedCost\n"
+                                    "2024-03-01T00:00:00Z,Box,1.5\n")
+    (tmp_path / "b.csv").write_text("resourceTags/user:cost-center,lineItem/UnblendedCost,lineItem/UsageStartDate,"
+                                    "lineItem/ProductCode,own/Thing\nred,2.5,2024-03-02T00:00:00Z,Crate,x\n")
+    from costweave.sources import legacy_csv as V
+
+    delivered = V.read_legacy_csv(spark, str(tmp_path))
+    kept = {"resource_tags_user_cost_center": "string"}
+    rows = V.from_legacy(delivered, extra=kept).orderBy("line_item_product_code").collect()
+    assert [(r.line_item_product_code, r.line_item_unblended_cost, r.resource_tags_user_cost_center) for r in rows] == [
+        ("Box", 1.5, None), ("Crate", 2.5, "red")]
+    assert V.unconverted_headers(delivered, extra=kept) == {"own/Thing": "own_thing"}
+
+
+def test_refresh_of_a_month_without_rows_any_more(spark, tmp_path):
+    from costweave.plans import rollups as R
+    from costweave.sources.period import Period
+    from rows import billing
+
+    root = str(tmp_path / "commitments")
+    fee = {"type": "RIFee", "at": "2024-03-05"}
+    first = billing(spark, [fee, fee | {"at": "2024-04-05"}])
+    R.refresh(first, "commitment_month", root)
+    assert spark.read.parquet(root).count() == 2
+    again = billing(spark, [{"type": "Usage", "at": "2024-03-05"}])
+    R.refresh(again, "commitment_month", root, Period.month(2024, 3))
+    assert [r.month for r in spark.read.parquet(root).select("month").collect()] in (["04"], [4])
