@@ -60,12 +60,13 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, marks: np.ndarray, p: Packing)
     return at, kind[at]
 
 
-def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
+def best_cuts(at: np.ndarray, cost: np.ndarray, window: int, goes_on: bool = False) -> list[int]:
     """Indices into ``at`` of the window ends of least padding plus penalties.
 
     best(j) = window - at(j) + cost(j) + min over i of best(i) + at(i), where at(j) - at(i) is
     at most the window. The i in reach slide to the right with j, so a queue of candidates
-    with increasing value gives each minimum in constant amortised time.
+    with increasing value gives each minimum in constant amortised time. Where the text
+    ``goes_on``, the last window is not full yet and its padding counts for nothing.
     """
     places, costs = at.tolist(), cost.tolist()
     came = [0] * len(places)
@@ -80,6 +81,11 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
         while queue and value[queue[-1]] > v:
             queue.pop()
         queue.append(j)
+    if goes_on:
+        last = len(places) - 1
+        within = range(last - 1, max(last - window - 1, -1), -1)      # no more places than tokens
+        came[last] = min((i for i in within if places[last] - places[i] <= window),
+                         key=lambda i: value[i] - places[i])
     cuts, j = [], len(places) - 1
     while j:
         cuts.append(j)
@@ -114,7 +120,7 @@ class _Packer:
         ends = np.cumsum([len(x) for x in self.ids])
         at, kind = cut_points(ids, ends, self.marks, p)
         cost = np.array([0, p.sentence, p.word, p.inside])[kind]
-        chosen = best_cuts(at, cost, p.window)
+        chosen = best_cuts(at, cost, p.window, goes_on=not last)
         cuts, kinds = at[chosen].tolist(), kind[chosen].tolist()
         if last:
             begin = cuts[-2] if len(cuts) > 1 else 0
@@ -180,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, packing: Packing = Packin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = token_bytes(tokenizer)
-        marks = np.zeros(max(len(known), end_id + 1), np.uint8)
+        marks = np.zeros(max(len(known), end_id + 1, encoder(tokenizer).tokenizer.get_vocab_size()), np.uint8)
         for i, b in enumerate(known):
             marks[i] = b.endswith((b".", b"!", b"?", b"\n")) + 2 * b.startswith(b" ")
         code = encoder(tokenizer)
