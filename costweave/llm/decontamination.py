@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from costweave.llm.shared import fold, slices, written
 
 RESULT = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double, "
           "passage long")
+#: Items whose bounds are held against whole passages together.
+ITEM_BLOCK = 4
 #: Sentence ends, behind which the last part of an item is its answer.
 SENTENCE_END = re.compile(rb"[.?!](?:[\x20\x09-\x0D]+|$)")
 
@@ -82,6 +85,13 @@ class Index:
         self.weights = [[v for _, v in x] for x in postings.values()]
         cut = range(0, max(map(len, self.numbers), default=0), p.block)
         self.block_max = [[max(x[at:at + p.block]) for at in cut if at < len(x)] for x in self.weights]
+        # The same maxima by blocks of item numbers, term after term, for whole passages at a time.
+        self.n_blocks = max(1, -(-n // ITEM_BLOCK))
+        blocks = [np.unique(np.array(x) // ITEM_BLOCK, return_index=True) for x in self.numbers]
+        self.first_block = np.r_[0, np.cumsum([len(b) for b, _ in blocks], dtype=np.int64)].astype(np.int64)
+        self.block_of = np.concatenate([b for b, _ in blocks] or [np.zeros(0, np.int64)])
+        self.bound_of = np.concatenate([np.maximum.reduceat(np.array(w), at) for w, (_, at) in zip(self.weights, blocks)]
+                                       or [np.zeros(0)])
         self.most = np.array([max(x) for x in self.weights] or [0.0])
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -138,28 +148,29 @@ class Index:
         return found
 
     def passages(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
-        """Start and distinct terms of the passages whose terms could reach the threshold at all.
+        """Start and distinct terms of the passages that could reach the threshold for some item: for
+        some block of items, the sum of their terms' maxima in it does.
 
         Passages overlap by half, so a run of words as long as the longest item is whole in one.
         """
         wide = max(self.p.passage, 2 * max(self.sizes, default=0))
-        step = wide // 2
-        term = np.fromiter((self.terms.get(w, -1) for w in words), np.int64, len(words))
+        step, n_terms, least = wide // 2, len(self.terms), self.p.threshold - 1e-9
+        term = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(term >= 0)
-        if not len(at):
-            return
-        slot = np.unique((at // step) * len(self.terms) + term[at])
-        half, term = slot // len(self.terms), slot % len(self.terms)
-        halves = np.flatnonzero(np.r_[True, np.diff(half) > 0])
-        ends = np.r_[halves[1:], len(half)]
-        sums = np.add.reduceat(self.most[term], halves)
-        by = {int(half[a]): (a, e, s) for a, e, s in zip(halves, ends, sums)}
-        for h in sorted(by.keys() | {h - 1 for h in by if h}):
-            own = [by[x] for x in (h, h + 1) if x in by]
-            if sum(s for _, _, s in own) >= self.p.threshold - 1e-9:
-                distinct = np.unique(np.concatenate([term[a:e] for a, e, _ in own]))
-                if self.most[distinct].sum() >= self.p.threshold - 1e-9:
-                    yield h * step, distinct.tolist()
+        half, term = at // step, term[at]
+        later = half > 0
+        pair = np.unique(np.concatenate([half * n_terms + term, (half[later] - 1) * n_terms + term[later]]))
+        passage, term = pair // n_terms, pair % n_terms
+        cut = np.flatnonzero(np.r_[True, np.diff(passage) > 0, True]) if len(pair) else np.zeros(1, np.int64)
+        for first in range(0, len(cut) - 1, 256):           # passages at a time
+            ends = cut[first:first + 257]
+            own = term[ends[0]:ends[-1]]
+            n = self.first_block[own + 1] - self.first_block[own]
+            place = np.repeat(self.first_block[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            key = np.repeat(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), n) * self.n_blocks + self.block_of[place]
+            bound = np.bincount(key, self.bound_of[place], (len(ends) - 1) * self.n_blocks)
+            for k in np.flatnonzero(bound.reshape(-1, self.n_blocks).max(axis=1) >= least).tolist():
+                yield int(passage[ends[k]]) * step, term[ends[k]:ends[k + 1]].tolist()
 
     def matches(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
         """item_id, best score, question and answer overlap, and word where the best passage
