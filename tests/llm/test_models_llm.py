@@ -44,26 +44,31 @@ def test_base_scores_and_gain_on_held_out_texts(small):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
-def test_probabilities_sum_to_one(spark):
-    """The chances of every known word and of an unknown one after some context sum to one."""
-    p = pitman_yor.PitmanYor(parents=8, children=4)
-    words = [b"w%d" % i for i in range(40)]
+def test_probabilities_sum_to_one():
+    """The chances of all known words and of an unknown one sum to one in every restaurant."""
+    p = pitman_yor.PitmanYor(parents=4, children=4)
     rng = np.random.default_rng(0)
-    text = [words[i] for i in rng.zipf(1.5, 3000) % 40]
-    asked = [*words, b"never"]
-    docs = spark.createDataFrame([(0, b" ".join(text).decode(), True)]
-                                 + [(i + 1, f"w3 {w.decode()}", False) for i, w in enumerate(asked)]
-                                 + [(90, "w3", False)], "doc_id long, text string, train boolean")
-    rows = {r.doc_id: r.score for r in pitman_yor.score(docs, p).collect()}
-    assert all(s < 0 for s in rows.values())
-    # P(w after w3) from the texts "w3 w <end>" cannot be read off alone, so the model is asked itself.
-    part = {"slice": 0, "hashes": pitman_yor.word_hash(asked + [b"\n"]), "counts": np.array([1] * 42),
-            "context": np.zeros(42, np.int64), "doc": np.zeros(42, np.int64), "train": np.array([True])}
-    part["counts"][40] = 1
-    bucket = pitman_yor.Bucket([part], 0, p)
-    none = np.zeros(42, bool)
+    forms = [b"w%d" % i for i in range(40)]
+    # Every word is looked at once in each restaurant, outside training, and learned from at random.
+    n_contexts = p.parents * p.children
+    learned = np.sort(rng.zipf(1.4, 4000) % 40)
+    parts = [{"slice": 0, "hashes": pitman_yor.word_hash(forms), "counts": np.full(40, n_contexts),
+              "context": np.tile(np.arange(n_contexts), 40), "doc": np.zeros(40 * n_contexts, np.int64), "train": np.array([False])},
+             {"slice": 1, "hashes": pitman_yor.word_hash([forms[i] for i in np.unique(learned)]), "counts": np.unique(learned, return_counts=True)[1],
+              "context": rng.integers(0, n_contexts, 4000), "doc": np.zeros(4000, np.int64), "train": np.array([True])}]
+    bucket, none = pitman_yor.Bucket(parts, 0, p), np.zeros(40, bool)
     sizes = bucket.sums(none)
-    assert bucket.chances(sizes, none)[2].sum() + 1 / 43 * 0 == pytest.approx(1.0, abs=0.05)
+    for sweep in range(3):
+        d2, d1, d0 = sizes.discounts()
+        known = np.bincount(bucket.context, bucket.chances(sizes, none)[2], n_contexts)
+        t1 = sizes.parent_tables
+        u0 = (p.theta + d0 * sizes.root_tables) / (sizes.vocabulary + 1) / (p.theta + t1.sum())
+        u1 = (p.theta + d1 * t1) * u0 / (p.theta + sizes.tables.reshape(p.parents, -1).sum(axis=1))
+        u2 = (p.theta + d2 * sizes.tables) * u1.repeat(p.children) / (p.theta + sizes.customers)
+        missing = 40 - sizes.vocabulary      # words of the forty that were not learned have the unknown one's chance
+        assert known + (1 - missing) * u2 == pytest.approx(np.ones(n_contexts))
+        bucket.sweep(sizes, none, sweep)
+        sizes = bucket.sums(none)
 
 
 def test_reseating_keeps_tables_possible():
