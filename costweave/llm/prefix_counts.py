@@ -16,8 +16,8 @@ from costweave.llm.tokens import token_bytes
 
 #: How the byte-level vocabulary's library cuts a text into pieces before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Chunks of a generation, and the longest one, that a worker remembers.
-KEPT, LONGEST = 220_000, 48
+#: Chunks, and pieces, of a generation, and the longest one, that a worker remembers.
+KEPT, LONGEST = 150_000, 48
 #: Words whose positions are worked on at once, and the longest that are.
 BATCH, WIDE = 20_000, 48
 
@@ -93,13 +93,14 @@ class Merges:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return ok
 
-    def counts(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """For each piece the token count of each of its prefixes, the empty one first.
+    def changes(self, pieces: list[bytes]) -> list[tuple[int, bytes]]:
+        """For each piece its token count, and for each byte how the count of the prefix up to it
+        differs from that of the prefix before it.
 
         A prefix ends in exactly one token that stands well beside the last token of the prefix
         before it, so one pass over the positions finds last tokens and counts.
         """
-        out: list[np.ndarray] = [np.zeros(1, np.int64)] * len(pieces)
+        out: list[tuple[int, bytes]] = [(0, b"")] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         at = 0
         while at < len(order):
@@ -111,11 +112,11 @@ class Merges:
                 out[i] = c
         return out
 
-    def _batch(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _batch(self, pieces: list[bytes]) -> list[tuple[int, bytes]]:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         wide = int(size.max(initial=0))
         if not wide:
-            return [np.zeros(1, np.int64)] * len(pieces)
+            return [(0, b"")] * len(pieces)
         text = np.zeros((len(pieces), wide), np.int64)
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         text[np.arange(wide) < size[:, None]] = flat
@@ -147,7 +148,9 @@ class Merges:
             good = self.side_by_side(last[r, s], t)
             r, s, t = r[good], s[good], t[good]
             last[r, i], count[r, i] = t, count[r, s] + 1
-        return [count[k, :n + 1] for k, n in enumerate(size.tolist())]
+        change = np.diff(count, axis=1).astype(np.int8)
+        total = count[np.arange(len(pieces)), size].tolist()
+        return [(total[k], change[k, :n].tobytes()) for k, n in enumerate(size.tolist())]
 
 
 class PrefixCounter:
@@ -163,6 +166,8 @@ class PrefixCounter:
                         if self.merges.special else None)
         self.known: dict[str, tuple[int, bytes]] = {}
         self.old: dict[str, tuple[int, bytes]] = {}
+        self.pieces: dict[str, tuple[int, bytes]] = {s: (1, b"") for s in self.merges.special}
+        self.old_pieces: dict[str, tuple[int, bytes]] = {}
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces in order; a special token's string is a piece of its own."""
@@ -175,37 +180,40 @@ class PrefixCounter:
         return out + PIECES.findall(text[at:])
 
     def _learn(self, need: list[str], prefix: str, into: dict) -> None:
-        special = set(self.merges.special)
-        views = {}
-        ordinary: dict[str, np.ndarray] = {}
+        views: dict[str, list[list[str]]] = {}
+        wanted: set[str] = set()
         for chunk in need:
             text = prefix + chunk
             # Prefixes that end inside a run of white space, a contraction or a special string may
             # be cut into other pieces than the whole is, so such a chunk's are cut one by one.
-            odd = "'" in text or "<|" in text or any(c.isspace() for c in text[1:])
+            odd = "'" in text or "<|" in text or any(map(str.isspace, text[1:]))
             own = [self._pieces(text[:n]) for n in range(1, len(text) + 1)] if odd else [self._pieces(text)]
             views[chunk] = own
-            ordinary.update((p, None) for pieces in own for p in pieces if p not in special)
-        names = list(ordinary)
-        ordinary.update(zip(names, self.merges.counts([n.encode() for n in names])))
-        one = np.array([0, 1])
+            for pieces in own:
+                wanted.update(pieces)
+        if len(self.pieces) > KEPT:
+            self.old_pieces = self.pieces
+            self.pieces = {s: (1, b"") for s in self.merges.special}
+        known = self.pieces
+        wanted.difference_update(known)
+        again = wanted & self.old_pieces.keys()
+        known.update((p, self.old_pieces[p]) for p in again)
+        new = list(wanted - again)
+        known.update(zip(new, self.merges.changes([p.encode() for p in new])))
         for chunk, own in views.items():
-            text = prefix + chunk
-            if len(own) == 1 and len(text) > 1 or len(text) == 1:
-                totals, base = [], 0
-                for p in own[-1]:
-                    c = ordinary[p] if p not in special else one
-                    totals.append(c[1:] + base)
-                    base += int(c[-1])
-                byte = np.concatenate(totals) if totals else np.zeros(0, np.int64)
+            if len(own) == 1:
+                got = [known[p] for p in own[0]]
+                into[chunk] = (sum(n for n, _ in got), b"".join([s for _, s in got]))
             else:
-                byte = []
-                for n, pieces in enumerate(own, 1):
-                    whole = sum(int(ordinary[p][-1]) if p not in special else 1 for p in pieces)
-                    byte += [whole] * len(text[n - 1].encode())
-                byte = np.array(byte)
-            into[chunk] = (int(byte[-1]) if len(byte) else 0,
-                           np.diff(byte, prepend=0).astype(np.int8).tobytes())
+                text, before, out = prefix + chunk, 0, bytearray()
+                for n, pieces in enumerate(own):
+                    whole = sum(known[p][0] for p in pieces)
+                    out += bytes([(whole - before) & 255]) + bytes(len(text[n].encode()) - 1)
+                    before = whole
+                into[chunk] = (before, bytes(out))
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
 
     def count(self, texts: list[str | None]) -> list[tuple[int, bytes]]:
         """Token count and prefix steps of each text."""
