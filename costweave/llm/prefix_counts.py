@@ -17,7 +17,7 @@ from costweave.llm.tokens import token_bytes
 #: How the byte-level vocabulary's library cuts a text into pieces before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Chunks, and pieces, of a generation, and the longest one, that a worker remembers.
-KEPT, LONGEST = 150_000, 48
+KEPT, LONGEST = 350_000, 48
 #: Words whose positions are worked on at once, and the longest that are.
 BATCH, WIDE = 20_000, 48
 
