@@ -22,7 +22,7 @@ class LanguageId:
     subwords (a power of two). sizes: bytes of a subword. accuracy: what accepted predictions
     should reach on the calibration part."""
 
-    rows: int = 3_000
+    rows: int = 2_000
     buckets: int = 1 << 16
     sizes: tuple[int, ...] = (2, 3, 4)
     dimensions: int = 16
