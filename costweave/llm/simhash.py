@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,12 +202,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents without near-duplicates: of each component the one of smallest doc_id.
+def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **settings) -> DataFrame:
+    """The documents without near-duplicates: of each component that ``find`` gives, the one of
+    smallest doc_id.
 
     Rows with a null doc_id stay. Of rows that repeat a kept doc_id one stays.
     """
-    kept = written(near_duplicates(docs, **settings).where("doc_id = component_id")
+    kept = written(find(docs, **settings).where("doc_id = component_id")
                    .groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if not kept.where("times > 1").isEmpty():

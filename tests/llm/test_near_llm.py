@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from costweave.llm import decontamination, nearest, simhash
 from costweave.llm.components import connected
 
@@ -177,3 +178,44 @@ def test_odd_items_and_documents(spark, odd_docs, no_docs, benchmark):
     assert decontamination.contaminated(odd_docs, items.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "filler " * 3000 + "Why so? Because. " + "filler " * 3000)], "doc_id long, text string")
     assert [r.item_id for r in decontamination.contaminated(long, items).collect()] == [4]
+
+
+def plain_sets(rows, width=5):
+    own = {}
+    for r in rows:
+        w = SPACE.findall(re.sub(rb"[A-Z]", lambda m: m.group().lower(), (r.text or "").encode()))
+        own[r.doc_id] = {tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+    return own
+
+
+def test_pipeline_stage_links_what_shares_four_fifths_of_five_word_shingles(spark, docs):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(10**6 + i, " ".join(words[40 * i:] + [f"x{i}_{j}" for j in range(40 * i)])) for i in range(4)]
+    rng = np.random.default_rng(1)
+    for n in range(60):                # each differs from its own text in words spread over it
+        base = [f"b{n}_{i}" for i in range(300)]
+        near = list(base)
+        for at in range(20, 300, 60 if n % 2 else 50):
+            near[at + int(rng.integers(5))] = "other"
+        rows += [(2 * 10**6 + n, " ".join(base)), (3 * 10**6 + n, " ".join(near))]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = plain_sets(frame.collect())
+    by, pairs = {}, set()
+    for d, x in own.items():
+        for s in x:
+            by.setdefault(s, []).append(d)
+    for many in by.values():
+        pairs.update(itertools.combinations(sorted(set(many)), 2))
+    close = [(a, b) for a, b in pairs if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])]
+    assert sum(a >= 2 * 10**6 for a, _ in close) == 60
+    want = roots(list(own), close)
+    kept = {r.doc_id for r in corpus_pipeline.without_copies(spark, frame, None).collect()}
+    assert kept == {d for d in own if want[d] == d}
+
+
+def test_pipeline_stage_on_odd_documents(spark, odd_docs, no_docs):
+    once = corpus_pipeline.without_copies(spark, odd_docs, None)
+    assert once.columns == odd_docs.columns
+    ids = [r.doc_id for r in once.collect()]
+    assert ids.count(None) == 1 and ids.count(7) == 1 and ids.count(14) == 0 and ids.count(0) == 1
+    assert corpus_pipeline.without_copies(spark, no_docs, None).count() == 0
