@@ -16,9 +16,14 @@ DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = (r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
          r"|(?<![\d(+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
-CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+#: A run of digit groups of any length, up to a date or another number that has a form of its own; the
+#: cards in it are found by their check digits.
+CARD = (r"(?<![\d.-])\d(?:(?:[ -](?!\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])|\d{3}-\d{2}-\d{4}(?![\d-])"
+        r"|(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)))?\d){12,}(?![\d-])")
 SECRET = (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"']{4,}"
           r"|(?<=token = \")[^\s\"]{8,}(?=\")|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
+#: What only CARD matches, but for passwords, tokens and keys of digits.
+RUN = r"^(?!\d{20})\d(?:[ -]?\d){12,}$"
 ANY = "|".join((EMAIL, SECRET, DATE, SOCIAL, ADDRESS, PHONE, CARD))
 #: Holds for every text with a match of ANY, and is much cheaper to test.
 MAYBE = r"[0-9@]|password=|token = \"|AKIA|[a-f]{32}"
@@ -113,6 +118,55 @@ def card(value: Column, key: str) -> Column:
     return F.when(F.pmod(check_sum(d), F.lit(10)) == 0, filled(value, closed)).otherwise(value)
 
 
+def cards(run: Column, key: str) -> Column:
+    """A run of digit groups in parts (old, new), the cards in it replaced.
+
+    From the left, a card is one group of 13 to 19 digits, or several of at least three digits each
+    (four of four, or else the most) that have so many together; its check digit must hold. If
+    there is none, the run as a whole is tried, however it is grouped.
+    """
+    groups, gaps = F.split(run, "[ -]"), F.split(run, "[0-9]+")
+    n = F.size(groups)
+
+    def written(i: Column, size: Column) -> Column:
+        """Groups i (from 0) and on as they are written, without the sign before them."""
+        return F.array_join(F.transform(F.sequence(i, i + size - 1), lambda j: F.concat(
+            F.when(j > i, F.get(gaps, j)).otherwise(F.lit("")), F.get(groups, j))), "")
+
+    def bound(x: Column, use) -> Column:
+        """``use`` of a value that is computed once and written once into the plan."""
+        return F.element_at(F.transform(F.array(x), use), 1)
+
+    def is_card(own: Column, d: Column) -> Column:
+        formed = (F.size(own) == 1) | F.forall(own, lambda g: F.length(g).between(3, 12))
+        return F.when(F.length(d).between(13, 19) & formed, F.pmod(check_sum(d), F.lit(10)) == 0).otherwise(F.lit(False))
+
+    def best(i: Column) -> Column:
+        """How many groups from i on are a card, 0 if none are."""
+        found = F.filter(F.sequence(F.lit(1), F.least(n - i, F.lit(6))), lambda size: bound(
+            F.slice(groups, i + 1, size), lambda own: bound(F.array_join(own, ""), lambda d: is_card(own, d))))
+        four = F.forall(F.slice(groups, i + 1, F.lit(4)), lambda g: F.length(g) == 4)
+        return bound(found, lambda sizes: F.when(F.array_contains(sizes, 4) & four, F.lit(4)).otherwise(
+            F.coalesce(F.array_max(sizes), F.lit(0))))
+
+    def step(s: Column, i: Column) -> Column:
+        return F.when(i < s.after, s).otherwise(bound(best(i), lambda size: F.struct(
+            (i + F.greatest(size, F.lit(1))).alias("after"),
+            F.concat(s.parts, F.array(F.struct(i.alias("at"), size.alias("size")))).alias("parts"))))
+
+    start = F.struct(F.lit(0).alias("after"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
+    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s.parts)
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.when(F.length(only_digits(run)) <= 19, n).otherwise(0).alias("size")))
+    parts = bound(found, lambda x: F.when(F.exists(x, lambda p: p["size"] > 0) | (F.get(whole, 0)["size"] == 0), x)
+                  .otherwise(whole))
+    texts = F.transform(parts, lambda p: F.struct(
+        F.when(p.at > 0, F.get(gaps, p.at)).otherwise(F.lit("")).alias("gap"),
+        written(p.at, F.greatest(p["size"], F.lit(1))).alias("old"), (p["size"] > 0).alias("hit")))
+    return F.transform(texts, lambda p: F.struct(
+        F.concat(p.gap, p.old).alias("old"),
+        F.concat(p.gap, F.when(p.hit, card(p.old, key)).otherwise(p.old)).alias("new")))
+
+
 def phone(value: Column, key: str) -> Column:
     """Keeps all but the last nine digits, so that a number stays linked however it is written."""
     d = only_digits(value)
@@ -157,7 +211,8 @@ def date(value: Column, pattern: str, key: str) -> Column:
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one match of ANY; a value that fails its check stays as it is."""
+    """The pseudonym of one match of ANY but a run of digits (see ``cards``); a value that fails its
+    check stays as it is."""
     local = F.substring_index(value, "@", 1)
     is_ = lambda pattern: value.rlike(f"^(?:{pattern})$")
     classes = (DIGITS, LOWER, UPPER)
@@ -169,7 +224,6 @@ def pseudonym(value: Column, key: str) -> Column:
             .when(is_(r"\d{2}/\d{2}/\d{4}"), date(value, "dd/MM/yyyy", key))
             .when(is_(r"\d{3}-\d{2}-\d{4}"), social(value, key))
             .when(is_(r"(?:\d{1,3}\.){3}\d{1,3}"), address(value, key))
-            .when(is_(r"\d(?:[ -]?\d){12,18}"), card(value, key))
             .when(is_(r"\+?[\d(][\d ().-]*"), phone(value, key))
             .when(is_(r"[0-9a-f]+"), letters(value, (HEX,), key, "secret"))
             .otherwise(letters(value, classes, key, "secret")))
@@ -187,12 +241,15 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     """
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    pairs = F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new")))
+    gaps = F.slice(F.split(text, ANY, -1), F.lit(1), F.size(found))
+    pairs = F.zip_with(found, gaps, lambda v, gap: F.when(
+        v.rlike(RUN) & ~gap.rlike(r"(?:password=|token = \")$"), cards(v, key)).otherwise(
+        F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new")))))
     marked = docs.withColumn("__pairs", F.when(text.rlike(MAYBE), pairs))
     new = F.array_join(F.flatten(F.zip_with(
-        F.split(text, ANY, -1), F.col("__pairs.new"),
-        lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))), "")
-    changed = F.coalesce(F.size(F.filter(F.col("__pairs"), lambda p: p.old != p.new)), F.lit(0))
+        F.split(text, ANY, -1), F.col("__pairs"),
+        lambda gap, parts: F.array(gap, F.coalesce(F.array_join(parts.new, ""), F.lit(""))))), "")
+    changed = F.coalesce(F.size(F.filter(F.flatten("__pairs"), lambda p: p.old != p.new)), F.lit(0))
     out = {c: F.col(f"`{c}`") for c in docs.columns}
     out["text"] = F.when(F.size("__pairs") > 0, new).otherwise(text)
     if count:

@@ -233,3 +233,19 @@ def test_secrets_of_letters_alone_are_replaced_as_beside_a_digit(spark):
     beside = changed(spark, [f"my {s} here 7" for s in secrets])
     assert [f"{t} 7" for t in alone] == beside
     assert all(s not in t for s, t in zip(secrets, alone))
+
+
+def test_cards_beside_other_numbers_are_found(spark):
+    plain, grouped = "4614953556326981", "4614 9535 5632 6981"
+    new, new_grouped = changed(spark, [plain, grouped])
+    assert new != plain and re.sub(" ", "", new_grouped) == new
+    texts = ["room 12 {0}", "{0} 12", "on 2021 {1}", "{1} 123", "{1} {1} and {0}", "{1} 7 8 9", "3 2021 {1} 2021 3"]
+    assert changed(spark, [t.format(plain, grouped) for t in texts]) == [t.format(new, new_grouped) for t in texts]
+    day, phone = changed(spark, ["2021-03-04", "555-123-4567"])
+    assert changed(spark, [f"12 {plain} 2021-03-04 555-123-4567"]) == [f"12 {new} {day} {phone}"]
+    frame = spark.createDataFrame([(1, f"{grouped} {grouped}")], "doc_id long, text string")
+    assert pseudonyms.pseudonymised(frame, "k", "n").first().n == 2
+    same = ["1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22", "12 4614953556326982 12"]
+    assert changed(spark, same) == same
+    digits = ["0123456789" * 4, "password=" + "1234-" * 5 + "6"]
+    assert all(a != b for a, b in zip(changed(spark, digits), digits))
