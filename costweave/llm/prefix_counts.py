@@ -16,6 +16,8 @@ from costweave.llm.tokens import token_bytes
 
 #: How the byte-level vocabulary's library cuts a text into pieces before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+WHITE = regex.compile(r"\s+")
+CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 #: Chunks, and pieces, of a generation, and the longest one, that a worker remembers.
 KEPT, LONGEST = 350_000, 48
 #: Words whose positions are worked on at once, and the longest that are.
@@ -179,18 +181,104 @@ class PrefixCounter:
             at = m.end()
         return out + PIECES.findall(text[at:])
 
+    def _parts(self, text: str) -> list[tuple]:
+        """The text cut once, as parts of which ``_steps`` puts the prefixes together.
+
+        A prefix is cut like the whole up to its last pieces. Those differ where it ends in a run of
+        white space, which is then one piece, whereas the whole leaves the run's last sign to what
+        follows; inside a contraction; and inside a special string, with the piece before.
+        Parts: a plain piece; a contraction or special string with the piece before it that may
+        change ("" if none) and the pieces at each of its signs; a run with its pieces in the
+        whole (the next piece's space is in the run, too).
+        """
+        parts: list[tuple] = []
+
+        def segment(part: str) -> str:
+            pieces, at = PIECES.findall(part), 0
+            while at < len(pieces):
+                piece = pieces[at]
+                at += 1
+                if WHITE.fullmatch(piece):
+                    own = [piece]
+                    while at < len(pieces) and WHITE.fullmatch(pieces[at]):
+                        own.append(pieces[at])
+                        at += 1
+                    joins = at < len(pieces) and pieces[at][0] == " "
+                    run = "".join(own) + (pieces[at][0] if joins else "")
+                    parts.append(("run", run, own))
+                elif piece in CONTRACTIONS:
+                    parts.append(("inside", "", [(piece[n - 1], PIECES.findall(piece[:n])) for n in range(1, len(piece) + 1)]))
+                else:
+                    parts.append(("plain", piece))
+            return pieces[-1] if pieces else ""
+
+        at = 0
+        for m in self.special.finditer(text) if self.special else ():
+            last = segment(text[at:m.start()])
+            start = m.start() - len(last)
+            parts.append(("inside", last, [(text[n - 1], self._pieces(text[start:n]))
+                                           for n in range(m.start() + 1, m.end() + 1)]))
+            at = m.end()
+        segment(text[at:])
+        return parts
+
+    @staticmethod
+    def _wanted(parts: list[tuple]) -> Iterator[str]:
+        for kind, *rest in parts:
+            if kind == "plain":
+                yield rest[0]
+            elif kind == "run":
+                yield rest[0]
+                yield from rest[1]
+            else:
+                if rest[0]:
+                    yield rest[0]
+                for _, pieces in rest[1]:
+                    yield from pieces
+
+    def _steps(self, parts: list[tuple]) -> tuple[int, bytes]:
+        """Count and steps of the text: ``settled`` is the count of the whole's pieces so far, and
+        ``now`` that of the prefix so far."""
+        known, out = self.pieces, bytearray()
+        settled = now = skip = 0
+        for kind, *rest in parts:
+            if kind == "inside":
+                before = settled - (known[rest[0]][0] if rest[0] else 0)
+                for sign, pieces in rest[1]:
+                    whole = before + sum(known[p][0] for p in pieces)
+                    out += bytes([(whole - now) & 255]) + bytes(len(sign.encode()) - 1)
+                    now = whole
+                settled = now
+                continue
+            count, steps = known[rest[0]]
+            if kind == "plain":
+                # What the run before has taken of this piece is counted, and differs by ``now``.
+                ahead = sum(s - 256 if s > 127 else s for s in steps[:skip])
+                own = bytearray(steps[skip:])
+                own[0] = (own[0] + settled + ahead - now) & 255
+                out += own
+                settled = now = settled + count
+                skip = 0
+            else:
+                out += steps
+                now = settled + count
+                settled += sum(known[p][0] for p in rest[1])
+                skip = len(rest[0].encode()) - sum(len(p.encode()) for p in rest[1])
+        return now, bytes(out)
+
     def _learn(self, need: list[str], prefix: str, into: dict) -> None:
-        views: dict[str, list[list[str]]] = {}
+        views: dict[str, list[str] | list[tuple]] = {}
+        odd: set[str] = set()
         wanted: set[str] = set()
         for chunk in need:
             text = prefix + chunk
-            # Prefixes that end inside a run of white space, a contraction or a special string may
-            # be cut into other pieces than the whole is, so such a chunk's are cut one by one.
-            odd = "'" in text or "<|" in text or any(map(str.isspace, text[1:]))
-            own = [self._pieces(text[:n]) for n in range(1, len(text) + 1)] if odd else [self._pieces(text)]
-            views[chunk] = own
-            for pieces in own:
-                wanted.update(pieces)
+            if "'" in text or "<|" in text or any(map(str.isspace, text[1:])):
+                odd.add(chunk)
+                views[chunk] = self._parts(text)
+                wanted.update(self._wanted(views[chunk]))
+            else:
+                views[chunk] = self._pieces(text)
+                wanted.update(views[chunk])
         if len(self.pieces) > KEPT:
             self.old_pieces = self.pieces
             self.pieces = {s: (1, b"") for s in self.merges.special}
@@ -201,16 +289,11 @@ class PrefixCounter:
         new = list(wanted - again)
         known.update(zip(new, self.merges.changes([p.encode() for p in new])))
         for chunk, own in views.items():
-            if len(own) == 1:
-                got = [known[p] for p in own[0]]
-                into[chunk] = (sum(n for n, _ in got), b"".join([s for _, s in got]))
+            if chunk in odd:
+                into[chunk] = self._steps(own)
             else:
-                text, before, out = prefix + chunk, 0, bytearray()
-                for n, pieces in enumerate(own):
-                    whole = sum(known[p][0] for p in pieces)
-                    out += bytes([(whole - before) & 255]) + bytes(len(text[n].encode()) - 1)
-                    before = whole
-                into[chunk] = (before, bytes(out))
+                got = [known[p] for p in own]
+                into[chunk] = (sum(n for n, _ in got), b"".join([s for _, s in got]))
         for p in new:
             if len(p) > LONGEST:
                 del known[p]

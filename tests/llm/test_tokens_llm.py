@@ -147,3 +147,18 @@ def test_cuts_are_the_cheapest():
         cuts = [0, *packing.best_cuts(at, cost, 16)]
         assert all(at[b] - at[a] <= 16 for a, b in zip(cuts, cuts[1:])) and cuts[-1] == 12
         assert sum(16 - (at[b] - at[a]) + cost[b] for a, b in zip(cuts, cuts[1:])) == best[12]
+
+
+def test_prefixes_of_a_text_with_a_word_on_each_line_take_linear_work(tokenizer_path, library):
+    own = prefix_counts.PrefixCounter(tokenizer_path)
+    text = "\n".join(f"word{i % 977}" for i in range(15_000))
+    (n, steps), = own.count([text])
+    assert n == len(library.encode(text, add_special_tokens=False).ids) and len(steps) == len(text)
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\n\n", "\t", "　", "\x1c", "\x85", "\r\n", "'s", "'re", "'r", "'l", "'", "''", "!", "!!", "<|",
+            "<|endo", "<|endoftext|>", "a", "Hello", "é", "日本", "12", "re", "s", "_", " '", " <"]
+    for _ in range(300):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 14)))
+        (n, steps), = own.count([text])
+        assert [prefix_counts.tokens_before(steps, len(text[:k].encode())) for k in range(len(text) + 1)] == [
+            len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
