@@ -54,26 +54,40 @@ def shingles(words: list[bytes], n: int) -> set[bytes]:
     return {b" ".join(words[i:i + n]) for i in range(max(len(words) - n + 1, 1))}
 
 
+@dataclass(frozen=True)
+class Whole:
+    """Of all items with words: their number, their words, those of the longest one, and how many
+    items have each word (of an index's own items)."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+
 class Index:
     """Postings of the items by word, with block maxima, weighted so that an item's own text scores 1.
 
     Items are numbered in ascending order of item_id; the postings of a word are sorted by
-    number. BM25 is divided by the item's score for itself, which puts all items under
-    one threshold.
+    number, null ids last. BM25 is divided by the item's score for itself, which puts all items
+    under one threshold. ``whole``: what a part of the items needs to know of all of them.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], p: Decontamination) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], p: Decontamination, whole: Whole | None = None) -> None:
         self.p = p
-        parts = [(i, *question_and_answer(t)) for i, t in sorted(items, key=lambda x: (x[0], x[1] or ""))]
+        parts = [(i, *question_and_answer(t))
+                 for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         parts = [x for x in parts if x[1] or x[2]]
         self.items = [i for i, _, _ in parts]
         self.parts = [(shingles(q, p.shingle), shingles(a, p.shingle)) for _, q, a in parts]
         self.sizes = [len(q) + len(a) for _, q, a in parts]
         self.wanted = {s for q, a in self.parts for s in q | a}
         counts = [Counter(q + a) for _, q, a in parts]
-        df = Counter(w for c in counts for w in c)
-        n, mean = len(parts), float(np.mean(self.sizes)) if parts else 1.0
-        postings: dict[bytes, list[tuple[int, float]]] = {w: [] for w in df}
+        whole = whole or Whole(len(parts), sum(self.sizes), max(self.sizes, default=0),
+                               Counter(w for c in counts for w in c))
+        self.longest = whole.longest
+        df, n, mean = whole.df, whole.n, whole.words / whole.n if whole.n else 1.0
+        postings: dict[bytes, list[tuple[int, float]]] = {w: [] for c in counts for w in c}
         for number, (c, size) in enumerate(zip(counts, self.sizes)):
             own = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * f * (p.k1 + 1)
                    / (f + p.k1 * (1 - p.b + p.b * size / mean)) for w, f in c.items()}
@@ -86,7 +100,7 @@ class Index:
         cut = range(0, max(map(len, self.numbers), default=0), p.block)
         self.block_max = [[max(x[at:at + p.block]) for at in cut if at < len(x)] for x in self.weights]
         # The same maxima by blocks of item numbers, term after term, for whole passages at a time.
-        self.n_blocks = max(1, -(-n // ITEM_BLOCK))
+        self.n_blocks = max(1, -(-len(parts) // ITEM_BLOCK))
         blocks = [np.unique(np.array(x) // ITEM_BLOCK, return_index=True) for x in self.numbers]
         self.first_block = np.r_[0, np.cumsum([len(b) for b, _ in blocks], dtype=np.int64)].astype(np.int64)
         self.block_of = np.concatenate([b for b, _ in blocks] or [np.zeros(0, np.int64)])
@@ -153,7 +167,7 @@ class Index:
 
         Passages overlap by half, so a run of words as long as the longest item is whole in one.
         """
-        wide = max(self.p.passage, 2 * max(self.sizes, default=0))
+        wide = max(self.p.passage, 2 * self.longest)
         step, n_terms, least = wide // 2, len(self.terms), self.p.threshold - 1e-9
         term = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(term >= 0)
@@ -197,7 +211,26 @@ class Index:
             both = [s for part in self.parts[item] for s in part]
             if sum(s in have for s in both) >= self.p.overlap * len(both):
                 out.append((self.items[item], score, q, a, start))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
+
+
+def whole_items(items: DataFrame) -> tuple[tuple[int, int, int], DataFrame]:
+    """Number, words and longest of all items with words, and for the words of each part how many
+    items of all parts have them: part, word, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [fold(t).split() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("part"), pa.array([len(w) for w in own], pa.int64()),
+                                   pa.array([list(set(w)) for w in own], pa.list_(pa.binary()))],
+                                  names=["part", "size", "words"])
+
+    rows = written(items.select("part", "text").mapInArrow(run, "part int, size long, words array<binary>")
+                   .where("size > 0"), "items")
+    n, words, longest = rows.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    each = rows.select("part", F.explode("words").alias("word")).groupBy("part", "word").agg(F.count("*").alias("n"))
+    df = each.select("part", "word").join(each.groupBy("word").agg(F.sum("n").alias("n")), "word")
+    return (int(n), int(words or 0), int(longest or 0)), written(df, "frequencies")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination(),
@@ -205,20 +238,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Dec
     """The items that occur in each document: doc_id, item_id, score, question_overlap,
     answer_overlap and passage (the first word of the best passage).
 
-    The test items are indexed in parts of ``item_part`` by a hash of item_id; every document
-    passes by each part, so no index outgrows a task. Words are cut at ASCII white space, A-Z
+    The test items are indexed in parts of ``item_part`` by a hash; every document passes by each
+    part, so no index outgrows a task, and weights are those of all items together. Words are cut at ASCII white space, A-Z
     lower-cased. An item's last sentence is its answer, what comes before it the question; of the
     shingles of both, none reaching from one into the other, ``overlap`` must be there. Null or empty items and texts match nothing, null ids are kept as null, repeated
     items and documents give rows of their own, merged per (doc_id, item_id) with the best score.
     Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     n_parts = max(1, -(-items.count() // item_part))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)).cast("int"))
+    lengths, df = whole_items(items) if n_parts > 1 else (None, None)
     found = None
     for part in range(n_parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).collect()
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own], p))
+        own = items.where(F.col("part") == part).collect()
+        whole = lengths and Whole(*lengths, {bytes(r.word): r.n for r in df.where(F.col("part") == part).collect()})
+        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own], p, whole))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):

@@ -219,3 +219,15 @@ def test_pipeline_stage_on_odd_documents(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in once.collect()]
     assert ids.count(None) == 1 and ids.count(7) == 1 and ids.count(14) == 0 and ids.count(0) == 1
     assert corpus_pipeline.without_copies(spark, no_docs, None).count() == 0
+
+
+def test_items_without_an_id_are_found_and_parts_change_no_score(spark):
+    lines = [f"what number {i} has the colour c{i % 7} and the shape s{i % 5}? it is v{i} of w{i % 3}." for i in range(40)]
+    items = spark.createDataFrame([(i if i % 4 else None, t) for i, t in enumerate(lines)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"begin {t} end") for i, t in enumerate(lines)] + [(99, "clean text")],
+                                 "doc_id long, text string")
+    whole, parts = ({(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, items, item_part=n).collect()}
+                    for n in (50_000, 9))
+    assert set(whole) == {(i, i if i % 4 else None) for i in range(40)}
+    assert parts == pytest.approx(whole)
+    assert [r.doc_id for r in decontamination.without_items(docs, items).collect()] == [99]
