@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costweave.llm import (decontamination, id_store, language, nearest, packing, pitman_yor,
+from costweave.llm import (decontamination, id_store, language, nearest, packing, periodic, pitman_yor,
                            prefix_counts, pseudonyms, simhash, toxicity)
 from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
@@ -71,9 +71,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_periodic_tails(read(spark, sf_dir, "documents")))
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumns({"longest": longest, "lines": lines}).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_prefix_counts, op3_id_store, op4_pitman_yor, op5_nearest, op6_toxicity, op7_pseudonyms,
-    op8_language, op9_packing, op10_simhash)}
+    op8_language, op9_packing, op10_simhash, op11_periodic_runs)}
 
 
 def register(entries: Entries) -> None:
