@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from costweave.llm import (decontamination, id_store, language, nearest, packing, periodic, pitman_yor,
-                           prefix_counts, pseudonyms, simhash, toxicity)
+                           prefix_counts, pseudonyms, repair, simhash, toxicity)
 from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
 from costweave.sources.scratch import scratch_path
@@ -82,9 +82,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = repair.repairs(repair.damaged(rows)).withColumnRenamed("conv_id", "own_id")
+    every = rows.select(F.col("conv_id").cast(found.schema["own_id"].dataType)).distinct()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("own_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_prefix_counts, op3_id_store, op4_pitman_yor, op5_nearest, op6_toxicity, op7_pseudonyms,
-    op8_language, op9_packing, op10_simhash, op11_periodic_runs)}
+    op8_language, op9_packing, op10_simhash, op11_periodic_runs,
+    op13_conversation_repair)}
 
 
 def register(entries: Entries) -> None:
