@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from costweave.llm import (decontamination, id_store, language, nearest, packing, periodic, pitman_yor,
+from costweave.llm import (decontamination, id_store, language, minhash, nearest, packing, periodic, pitman_yor,
                            prefix_counts, pseudonyms, repair, simhash, toxicity)
 from costweave.llm.shared import read, remainder_of_crc, shipped
 from costweave.registry.entries import Entries
@@ -82,6 +82,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), least=0.8, width=2).withColumn(
+        "kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations")
     found = repair.repairs(repair.damaged(rows)).withColumnRenamed("conv_id", "own_id")
@@ -94,7 +99,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_prefix_counts, op3_id_store, op4_pitman_yor, op5_nearest, op6_toxicity, op7_pseudonyms,
-    op8_language, op9_packing, op10_simhash, op11_periodic_runs,
+    op8_language, op9_packing, op10_simhash, op11_periodic_runs, op12_minhash,
     op13_conversation_repair)}
 
 

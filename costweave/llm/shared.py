@@ -51,6 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A name for a working column that none of the columns has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def no_letter_case(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import slices, words, written
+from costweave.llm.shared import columns_of, fresh_name, slices, words, written
 
 #: Fingerprints of one bucket that are compared with each other directly.
 DIRECT = 512
@@ -206,11 +206,22 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
     """The documents without near-duplicates: of each component that ``find`` gives, the one of
     smallest doc_id.
 
-    Rows with a null doc_id stay. Of rows that repeat a kept doc_id one stays.
+    Rows are told apart by doc_id and text: a doc_id that is repeated beside other texts stays for each
+    text of which it is the smallest. Of rows that repeat both one stays. Rows with a null doc_id all stay.
     """
-    kept = written(find(docs, **settings).where("doc_id = component_id")
-                   .groupBy("doc_id").agg(F.count("*").alias("times")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    row, own = fresh_name(docs, "row"), F.col("doc_id").cast("long")
+    told = docs.withColumn(row, F.when(own.isNotNull(), F.xxhash64(own, F.col("text").cast("string"))))
+    real = told.where(F.col(row).isNotNull())
+    found = find(real.select(F.col(row).alias("doc_id"), "text"), **settings)
+    rows = written(found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times")), "rows")
+    first = (rows.join(real.select(row, own.alias("own")).distinct(), row).groupBy("component_id")
+             .agg(F.min(F.struct("own", row, "times")).alias("first")).select("first.*"))
+    kept = written(first.select(row, "times"), "kept")
+
+    def semi(which: DataFrame) -> DataFrame:
+        return told.join(which.select(row), row, "left_semi")
+
+    out = semi(kept.where("times = 1")).select(columns_of(docs))
     if not kept.where("times > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+        out = out.unionByName(semi(kept.where("times > 1")).dropDuplicates([row]).select(columns_of(docs)))
+    return out.unionByName(docs.where(own.isNull()))
