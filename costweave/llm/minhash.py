@@ -167,14 +167,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join 0 .. count - 1 as nearness does, directly or in steps; ``near`` takes one and several others."""
+    """Links (first, other) that join 0 .. count - 1 as nearness does, directly or in steps, all to the first of theirs;
+    ``near`` takes one and several others."""
     left, out = np.arange(count), []
     while len(left):
-        todo, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        todo = [first]
         while todo and len(left):
-            a = todo.pop()
-            hit = near(a, left)
-            out += [(a, b) for b in left[hit].tolist()]
+            hit = near(todo.pop(), left)
+            out += [(first, b) for b in left[hit].tolist()]
             todo += left[hit].tolist()
             left = left[~hit]
     return out
@@ -307,7 +308,7 @@ def links(docs: DataFrame, firsts: DataFrame, sketched: DataFrame, least: float,
     met = written(nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
                   .sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "met")
     candidates = written(met.join(nodes.select("node", "size", "bits"), "node").repartition("key")
-                         .sortWithinPartitions("key").select("key", "size", "node", "bits")
+                         .sortWithinPartitions("key", "node").select("key", "size", "node", "bits")
                          .mapInArrow(_alike(least, DIRECT), "a long, b long"), "candidates")
     groups = connected(candidates).join(nodes.select("node", "size", "digest"), "node").join(
         firsts.select("digest", "first_doc"), "digest")
