@@ -227,7 +227,7 @@ def _members(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """``wanted`` (first_doc, digest, node, ...) with the set of each node, made anew from the documents' texts."""
     names = [c for c in wanted.columns if c not in ("first_doc", "digest")]
     texts = (docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("text").cast("string"))
-             .join(wanted, "first_doc"))
+             .join(wanted.hint("shuffle_merge"), "first_doc"))     # alike at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(width)
