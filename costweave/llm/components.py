@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from costweave.llm.shared import written
+from costweave.llm.shared import removed, written
 
 
 def _to_smallest(links: DataFrame, smaller: bool) -> DataFrame:
@@ -30,17 +30,20 @@ def connected(links: DataFrame) -> DataFrame:
 
     Alternates two star operations (Kiveris et al., 2014): the links of a component turn into a
     star around its smallest node in a number of rounds that grows with the logarithm of its
-    size. Each round is written, so lineage stays short. Links of a node to itself and repeats
-    do no harm; an empty table gives no rows.
+    size. Each round is written, so lineage stays short, and the one before it removed. Links of a
+    node to itself and repeats do no harm; an empty table gives no rows.
     """
+    spark = links.sparkSession
     state = written(links.where("a <> b").distinct(), "round")
     mark = None
     while True:
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, before = now, state.inputFiles()
         state = written(_to_smallest(_to_smallest(state, smaller=False), smaller=True), "round")
+        if before:
+            removed(spark, before[0].rsplit("/", 1)[0])
     roots = state.select(F.col("b").alias("node")).distinct()
     return (state.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .union(roots.select("node", F.col("node").alias("root"))))

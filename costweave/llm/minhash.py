@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import slices, words, written
+from costweave.llm.shared import passing_tables, slices, words, written
 
 #: Coordinates of a sketch, of which bands take ROWS each, and bits of a coordinate that order it within its round.
 SIZE, ROWS, FRACTION = 512, 4, 48
@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, empty_a
     firsts = written(sketched.where("doc_id IS NOT NULL AND size > 0").groupBy("digest")
                      .agg(F.min("doc_id").alias("first_doc"))
                      .withColumn("node", F.monotonically_increasing_id()), "firsts")
-    roots = connected(links(docs, firsts, sketched, least, width))
+    with passing_tables(docs.sparkSession):
+        roots = written(connected(links(docs, firsts, sketched, least, width)), "roots", kept=True)
     # Only sets with a link need another component than their first document.
     joined_ = firsts.join(roots, "node")
     smallest = joined_.groupBy("root").agg(F.min("first_doc").alias("least_doc"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
@@ -41,16 +42,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: The tables written within each passing_tables() that is open, innermost last.
+_PASSING: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """The rows, written to the shared folder and read back: cuts the lineage.
 
-    Lost executors lose nothing, and later steps do not compute the rows again.
+    Lost executors lose nothing, and later steps do not compute the rows again. ``kept`` tables outlive the
+    innermost passing_tables().
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    layers = _PASSING[:-1] if kept else _PASSING
+    if layers:
+        layers[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written within, but for kept ones, are removed at the end: nothing may be read from them afterwards."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            removed(spark, path)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns by name, whatever signs the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

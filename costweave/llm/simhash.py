@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import columns_of, fresh_name, slices, words, written
+from costweave.llm.shared import columns_of, fresh_name, passing_tables, slices, words, written
 
 #: Fingerprints of one bucket that are compared with each other directly.
 DIRECT = 512
@@ -212,11 +212,12 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
     row, own = fresh_name(docs, "row"), F.col("doc_id").cast("long")
     told = docs.withColumn(row, F.when(own.isNotNull(), F.xxhash64(own, F.col("text").cast("string"))))
     real = told.where(F.col(row).isNotNull())
-    found = find(real.select(F.col(row).alias("doc_id"), "text"), **settings)
-    rows = written(found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times")), "rows")
-    first = (rows.join(real.select(row, own.alias("own")).distinct(), row).groupBy("component_id")
-             .agg(F.min(F.struct("own", row, "times")).alias("first")).select("first.*"))
-    kept = written(first.select(row, "times"), "kept")
+    with passing_tables(docs.sparkSession):
+        found = find(real.select(F.col(row).alias("doc_id"), "text"), **settings)
+        rows = found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times"))
+        first = (rows.join(real.select(row, own.alias("own")).distinct(), row).groupBy("component_id")
+                 .agg(F.min(F.struct("own", row, "times")).alias("first")).select("first.*"))
+        kept = written(first.select(row, "times"), "kept", kept=True)
 
     def semi(which: DataFrame) -> DataFrame:
         return told.join(which.select(row), row, "left_semi")
