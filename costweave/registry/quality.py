@@ -182,7 +182,12 @@ u AS (SELECT mon, svc, sum(accrued) AS v FROM b GROUP BY 1, 2),
 d AS (SELECT coalesce(p.mon, u.mon) AS mon FROM p FULL JOIN u ON p.mon = u.mon
  AND p.svc IS NOT DISTINCT FROM u.svc WHERE p.v IS NULL OR u.v IS NULL OR abs(p.v - u.v) > 0.01) """
           + _finding("pruning", "error", "count(*) = 0", "'result keys'", "count(*)",
-                     "'keys that differ without pruning'") + " FROM d")
+                     "'keys that differ without pruning'") + " FROM d UNION ALL "
+          # A written month is one file.
+          + _finding("pruning_files", "warning", "count(DISTINCT mon) FILTER (WHERE year = '1998') < count(DISTINCT mon)",
+                     "'files read'", "count(DISTINCT mon) FILTER (WHERE year = '1998')",
+                     "'of ' || count(DISTINCT mon) || ' files without pruning'")
+          + " FROM (SELECT year, strftime(line_item_usage_start_date, '%Y-%m') AS mon FROM cur)")
     filed = """, f AS (SELECT mon, svc, accrued,
  strftime(bill_billing_period_start_date, '%Y-%m') AS filed FROM b) """
     e.add("check_partition_dates_late",
@@ -200,7 +205,9 @@ u AS (SELECT mon, svc, sum(accrued) AS v FROM f GROUP BY 1, 2),
 d AS (SELECT coalesce(p.mon, u.mon) AS mon FROM p FULL JOIN u ON p.mon = u.mon
  AND p.svc IS NOT DISTINCT FROM u.svc WHERE p.v IS NULL OR u.v IS NULL OR abs(p.v - u.v) > 0.01) """
           + _finding("pruning", "error", "count(*) = 0", "'result keys'", "count(*)",
-                     "'keys that differ without pruning'") + " FROM d")
+                     "'keys that differ without pruning'") + " FROM d UNION ALL "
+          # The table is one file without folders, so there is nothing to prune.
+          + _finding("pruning_files", "warning", "false", "'files read'", "1", "'of 1 files without pruning'"))
     e.add("mom_trend_billing_period_two_months",
           lambda s, sf: T.mom_trend(late_partitions(s, sf), TWO_MONTHS, by_billing_period=True),
           _trend_sql(None, "strftime(bill_billing_period_start_date, '%Y-%m')",
