@@ -3,9 +3,13 @@
 Input is any frame with a query id and a text, e.g. an exported query history; output is one
 finding per (query, rule). The rules are LEXICAL: comments and string literals are blanked
 and tokens are tested with regular expressions, entirely in JVM-side column expressions and
-without a shuffle. They do not resolve names or scopes. Texts are cut at each SELECT, and a
-read of the table is held against the WHERE of its own part. Known limits: what follows a
-subquery counts to its part; a select alias without AS counts as an unknown column.
+without a shuffle.
+
+Brackets are followed with a stack, so every SELECT, nested or not, has a scope: its own words without those of
+the SELECTs inside it. A read of the table is held against the WHERE of its own scope. A column with a qualifier
+belongs to the table that its scope, or one around it, names so; a column without one is the table's where the
+scope reads nothing else, and may be another's where it does. Known limits: names introduced anywhere in a text
+(by AS, as the last word of a select item, as a common table expression) are known in all of it.
 """
 
 from __future__ import annotations
@@ -19,25 +23,38 @@ from costweave.schema import CONTRACT, PARTITION_COLUMNS
 
 # One pass from left to right, so a quote inside a comment and dashes inside a literal are
 # both read correctly. A literal becomes ' ', a comment a blank.
-BLANK_OUT = r"(?s)(')[^']*'|--[^\n]*|/\*.*?\*/"
+BLANK_OUT = r"(?s)(?=['/-])(?:(')[^']*+'|--[^\n]*+|/\*.*?\*/)"
 
 # A quoted name with anything but word characters in it.
 QUOTED = r"\"[^\"]*[^a-z0-9_\"][^\"]*\"|`[^`]*[^a-z0-9_`][^`]*`"
-WORD = r"[a-z_][a-z0-9_]*"
-QUALIFIER = rf"(?:{WORD}\s*\.\s*)"
+# Possessive: a word that does not fit is not tried again letter by letter.
+WORD = r"[a-z_][a-z0-9_]*+"
+QUALIFIER = rf"(?:{WORD}\s*+\.\s*+)"
 STAR = rf"(?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*){QUALIFIER}*\*"
 WHERE_PART = (r"(?s)\bwhere\b(.*?)"
               r"(?:\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bunion\b|;|\z)")
 COMPARED = r"\b{0}\b(?:\s+as\s+[a-z]+)?[\s)]*(?:=|<|>|!=|\bnot\s+in\b|\bin\b|\bbetween\b|\blike\b)"
 FIRST_OF_MANY = rf"\(\s*{QUALIFIER}*{{0}}\s*,"
-WRAPPED = rf"\b({WORD})\s*\(\s*{QUALIFIER}*(?:{{0}})\b"
-INSIDE = rf"\b({WORD})\s*\([^()]*\b(?:{{0}})\b"
-# Words that name functions, qualifiers, tables or table aliases by where they stand.
-NO_COLUMN = (rf"\b{WORD}\s*[(.]|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
+WRAPPED = rf"\b({WORD})\s*+\(\s*+{QUALIFIER}*(?:{{0}})\b"
+INSIDE = rf"\b({WORD})\s*+\([^()]*\b(?:{{0}})\b"
+# Words before which a column may stand; what follows any other word without a comma is an alias.
+NO_VALUE = ("distinct|all|and|or|not|when|then|else|case|like|ilike|rlike|in|is|between|by|select|from|join|on|using|"
+            "where|having|limit|interval|over|union|as")
+# What a scope reads: the list after FROM, and each joined table, with its alias.
+CLAUSE = (r"where|group|order|having|limit|union|intersect|except|window|qualify|fetch|offset|tablesample|"
+          r"join|inner|left|right|full|cross|natural|lateral|on|using|semi|anti|sort|cluster|distribute")
+FROM_LIST = rf"(?s)\bfrom\b(.*?)(?:\b(?:{CLAUSE})\b|;|\z)"
+JOINED = rf"\bjoin\s+((?:{QUALIFIER}*{WORD}|\(\s*\))(?:\s+(?:as\s+)?(?!(?:{CLAUSE})\b){WORD})?)"
+SOURCE_TABLE = rf"^{QUALIFIER}*({WORD})"
+SOURCE_ALIAS = rf"^(?:{QUALIFIER}*{WORD}|\(.*\))\s+(?:as\s+)?({WORD})"
+QUALIFIED = rf"\b{QUALIFIER}+{WORD}\b(?!\s*[.(])"
+# Words that name functions, qualified columns, tables or table aliases by where they stand.
+NO_COLUMN = (rf"\b{QUALIFIER}+(?:{WORD}|\*)|\b{WORD}\s*\(|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
              rf"(?:\s+(?:as\s+)?{WORD})?")
 # Names a text introduces itself: aliases, common table expressions and named windows.
 INTRODUCED = (rf"\bas\s+({WORD})\b", rf"\)\s*({WORD})\b",
-              rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(")
+              rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(",
+              rf"(?:\b(?!(?:{NO_VALUE})\b){WORD}|')\s+({WORD})\s*(?:,|\bfrom\b)")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
 # What counts as a left-over placeholder, and below how many bytes a text is tiny.
@@ -110,23 +127,100 @@ def readable(queries: DataFrame, text: str) -> DataFrame:
     value = F.col(text).cast("string")
     raw = F.when(F.is_valid_utf8(value), value)
     bare = F.lower(F.regexp_replace("_raw", BLANK_OUT, "$1 $1"))
-    bare = F.translate(F.regexp_replace(bare, QUOTED, " "), '"`', "")
-    return queries.withColumn("_raw", raw).withColumn("_bare", bare)
+    quotes = F.contains("_bare", F.lit('"')) | F.contains("_bare", F.lit("`"))
+    plain = F.translate(F.regexp_replace("_bare", QUOTED, " "), '"`', "")
+    return (queries.withColumn("_raw", raw).withColumn("_bare", bare)
+            .withColumn("_bare", F.when(quotes, plain).otherwise(F.col("_bare"))))
 
 
-PARTS = "array<struct<reads: int, years: int, months: int>>"
+SCOPE = ("struct<reads: int, years: int, months: int, mine: array<string>,"
+         " quals: array<struct<q: string, c: string>>, words: array<string>>")
 
 
-def parts_of(bare: Column, table: str) -> Column:
-    """For each part of a text from one SELECT to the next: how often it reads the table, and how
-    often its WHERE compares year and month."""
-    def one(part: Column) -> Column:
-        where = F.concat_ws(" ", _words(part, WHERE_PART))
-        reads = _times(part, table_reference(table))
-        count = lambda column: F.when(reads > 0, _times(where, predicate(column))).otherwise(0)
-        return F.struct(reads.alias("reads"), count("year").alias("years"), count("month").alias("months"))
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once: within lambdas nothing else shares what it reads."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def scopes_of(bare: Column) -> Column:
+    """The words of each SELECT of a text, without those of SELECTs inside it; first what stands before them all.
 
-    return F.transform(F.split(bare, r"\bselect\b"), one)
+    The text is cut at brackets and SELECTs, and a stack holds the scope of each open bracket: an even number
+    names the scope number times two, an odd one tells that a bracket was opened in it. FROM inside such a
+    bracket is a function's and made a comma.
+    """
+    marked = F.regexp_replace(F.regexp_replace(bare, r"\bdistinct\s+from\b", "<>"), r"\bselect\b", "\x01")
+
+    def added(scopes: Column, to: Column, text: Column) -> Column:
+        return F.transform(scopes, lambda c, k: F.when(k == to, F.concat(c, text)).otherwise(c))
+
+    def step(state: Column, piece: Column) -> Column:
+        stack, scopes = state["stack"], state["scopes"]
+        top = F.element_at(stack, 1)
+        own, rest = F.shiftright(top, 1), F.slice(stack, F.lit(2), F.size(stack))
+        closed = F.when(F.size(stack) > 1, rest).otherwise(stack)
+        inside = F.when((top % 2 == 1) & F.contains(piece, F.lit("from")),
+                        F.regexp_replace(piece, r"\bfrom\b", ",")).otherwise(piece)
+        new = lambda s, c: F.struct(s.alias("stack"), c.alias("scopes"))
+        return (F.when(piece == "(", new(F.concat(F.array(F.shiftleft(own, 1).bitwiseOR(F.lit(1))), stack),
+                                         added(scopes, own, piece)))
+                .when(piece == ")", new(closed, added(scopes, F.shiftright(F.element_at(closed, 1), 1), piece)))
+                .when(piece == "\x01", new(F.concat(F.array(F.shiftleft(F.size(scopes), 1)), rest),
+                                           F.concat(scopes, F.array(F.lit("")))))
+                .otherwise(new(stack, added(scopes, own, inside))))
+
+    begin = F.struct(F.array(F.lit(0)).alias("stack"), F.array(F.lit("")).alias("scopes"))
+
+    def cut(marked: Column) -> Column:
+        pieces = F.regexp_extract_all(marked, F.lit("[()\x01]|[^()\x01]+"), F.lit(0))
+        nested = F.aggregate(pieces, begin, step, lambda state: state["scopes"])
+        # Texts of one SELECT and one FROM have nothing to nest.
+        plain = (F.size(F.split(marked, "\x01")) <= 2) & (F.size(F.split(marked, "from")) <= 2)
+        return F.when(plain, F.split(marked, "\x01")).otherwise(nested)
+
+    return _let(marked, cut)
+
+
+def parts_of(bare: Column, table: str) -> Column:
+    """For each scope of a text: how often it reads the table, how often its WHERE compares year and month, by which
+    names it knows the table, its qualified columns but for those of its other tables, and, where it reads
+    nothing else, all words that may be columns."""
+    name, reference, nothing = table.lower(), table_reference(table), F.lit(None)
+
+    def one(scope: Column) -> Column:
+        items = F.concat(F.split(F.regexp_extract(scope, FROM_LIST, 1), ","), _words(scope, JOINED))
+        cleaned = F.filter(F.transform(items, lambda x: F.trim(x, F.lit(" \t\n\r"))), lambda x: x != "")
+        sources = F.transform(cleaned, lambda item: F.struct(
+            F.regexp_extract(item, SOURCE_TABLE, 1).alias("t"), F.regexp_extract(item, SOURCE_ALIAS, 1).alias("a")))
+        named = lambda which: F.transform(which, lambda s: F.when(s["a"] == "", s["t"]).otherwise(s["a"]))
+
+        def known(source: Column) -> Column:
+            mine = named(F.filter(source, lambda s: s["t"] == name))
+            theirs = named(F.filter(source, lambda s: s["t"] != name))
+            return _let(F.struct(mine.alias("mine"), theirs.alias("theirs")), told)
+
+        def told(own: Column) -> Column:
+            pairs = F.transform(_words(scope, QUALIFIED, 0), lambda x: _let(
+                F.split(x, r"\s*\.\s*"), lambda x: F.struct(F.element_at(x, -2).alias("q"), F.element_at(x, -1).alias("c"))))
+            free = F.filter(pairs, lambda x: ~F.array_contains(own["theirs"], x["q"]))
+            alone = (F.size(own["mine"]) > 0) & (F.size(own["theirs"]) == 0)
+            words = _words(F.regexp_replace(scope, NO_COLUMN, " "), rf"\b({WORD})\b")
+            return F.struct(own["mine"].alias("mine"), free.alias("quals"), F.when(alone, words).alias("words"))
+
+        def counted(reads: Column) -> Column:
+            columns = _let(sources, known)
+            where = F.when(reads > 0, F.concat_ws(" ", _words(scope, WHERE_PART)))
+            return _let(F.struct(columns.alias("c"), where.alias("w")), lambda x: F.struct(
+                reads.alias("reads"), F.coalesce(_times(x["w"], predicate("year")), F.lit(0)).alias("years"),
+                F.coalesce(_times(x["w"], predicate("month")), F.lit(0)).alias("months"),
+                x["c"]["mine"].alias("mine"), x["c"]["quals"].alias("quals"), x["c"]["words"].alias("words")))
+
+        reads = F.when(F.contains(scope, F.lit(name)), _times(scope, reference)).otherwise(0)
+        # Scopes without a single name of the table or a qualified column say nothing.
+        return F.when(F.contains(scope, F.lit(name)) | F.contains(scope, F.lit(".")), _let(reads, counted)).otherwise(
+            nothing.cast(SCOPE))
+
+    return F.filter(F.transform(scopes_of(bare), one), lambda part: part.isNotNull())
 
 
 def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
@@ -135,8 +229,11 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
     clause_words = _literals(CLAUSE_WORDS)
     nothing = F.expr("array()").cast("array<string>")
     # A constant IN list is one hash set for all rows; array_except would build it per row.
-    known = ", ".join(f"'{w}'" for w in [*SQL_WORDS, *allowed])
-    words = F.expr(f"filter(_distinct_words, w -> w NOT IN ({known}))")
+    known = ", ".join(f"'{w}'" for w in [*SQL_WORDS, *allowed, table.lower()])
+    named = "flatten(transform(_parts, p -> p.mine))"
+    words = F.expr(f"""transform(array({named}), mine -> filter(array_distinct(flatten(transform(_parts, p -> concat(
+     coalesce(p.words, array()), transform(filter(p.quals, x -> array_contains(mine, x.q)), x -> x.c))))),
+     w -> w NOT IN ({known}) AND NOT array_contains(mine, w)))[0]""")
 
     def if_any(text: Column, parts: Iterable[str], then: Column, otherwise: Column) -> Column:
         """Skips a regular expression where a plain substring test already rules it out."""
@@ -163,7 +260,7 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         "_absent": absent,
         "_headless": ~F.ltrim("_raw").startswith("--"),
         "_left": if_any(F.col("_raw"), ("<", "REPLACE_ME_"), left, nothing),
-        "_introduced": F.flatten(F.array(*[_words(bare, p) for p in INTRODUCED])),
+        "_introduced": F.when(F.size("_parts") > 0, F.flatten(F.array(*[_words(bare, p) for p in INTRODUCED]))),
         "_size": F.coalesce(F.octet_length("_raw"), F.lit(0)),
         "_unreadable": F.col("_raw").isNull(),
         "_warned": F.contains("_raw", F.lit("BYTES SCANNED")),
@@ -209,14 +306,17 @@ def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text",
           table: str = "billing", rules: Iterable[str] = RULES,
-          extra_columns: Iterable[str] = (), readers_only: bool = True) -> DataFrame:
+          extra_columns: Iterable[str] = (), readers_only: bool = True, tasks: int | None = None) -> DataFrame:
     """Findings (query_id, rule, severity, observed, detail) of the chosen rules.
 
     ``table`` is the billing table's name without qualifiers; ``extra_columns`` extends the
-    contract with columns the table really has. Stars and unknown columns are of interest in
-    texts that read the table; ``readers_only=False`` looks for them in all. Unreadable texts
-    only yield ``tiny_text``.
+    contract with columns the table really has. Unknown columns are those asked of the table. Stars are of
+    interest in texts that read it; ``readers_only=False`` looks for them in all. Unreadable texts
+    only yield ``tiny_text``. Nothing is shuffled; ``tasks`` deals the texts out over so many tasks first, for a
+    history that lies in a few large files, as the rules take far longer than a text's way does.
     """
+    if tasks is not None:
+        queries = queries.select(query_id, text).repartition(tasks)
     allowed = (*[c.lower() for c in CONTRACT.names], *[c.lower() for c in extra_columns])
     known = _rules(readers_only)
     chosen = list(rules)
@@ -234,15 +334,14 @@ def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text"
     bare = F.col("_bare")
     # Where the table's name does not occur at all, nothing that depends on reading it is looked for.
     named = F.contains(bare, F.lit(table.lower()))
-    words_of = F.array_distinct(_words(F.regexp_replace(bare, NO_COLUMN, " "), rf"\b({WORD})\b"))
     texts = (readable(queries, text)
              .withColumns({
                  "_where": F.concat_ws(" ", _words(bare, WHERE_PART)),
-                 "_parts": F.when(named, parts_of(bare, table)).otherwise(F.array().cast(PARTS)),
-                 "_distinct_words": F.when(named, words_of) if readers_only else words_of})
+                 "_parts": F.when(named, parts_of(bare, table)).otherwise(F.array().cast(f"array<{SCOPE}>"))})
              .select(F.col(query_id).alias("query_id"),
                      *[c.alias(n) for n, c in _measures(table, allowed).items()])
-             .withColumn("_strange", F.array_sort(F.array_except("_words", "_introduced"))))
+             .withColumn("_strange", F.array_sort(F.array_except(
+                 "_words", F.coalesce("_introduced", F.array().cast("array<string>"))))))
     # A literal array under inline() keeps Spark from adding a filter that would work the
     # whole array out a second time.
     return (texts.select("query_id", F.inline(F.array(*cells))).where("hit")

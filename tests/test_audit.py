@@ -155,6 +155,67 @@ def test_no_false_alarms(spark, text):
     assert _rules_of(spark, text) == {}
 
 
+MONTH = "year = '2024' AND month = '03'"
+
+
+@pytest.mark.parametrize("text", [
+    f"SELECT line_item_product_code FROM billing WHERE line_item_product_code IN (SELECT code FROM other) AND {MONTH}",
+    f"SELECT a.code, b.line_item_product_code FROM other a, billing b WHERE a.code = b.line_item_product_code AND {MONTH}",
+    f"SELECT line_item_unblended_cost spend, sum(line_item_usage_amount) used FROM billing WHERE {MONTH}"
+    " GROUP BY spend ORDER BY used",
+    f"SELECT o.owner, code, b.line_item_product_code FROM lake.billing b JOIN owners o ON o.code = b.line_item_product_code"
+    f" WHERE {MONTH}",
+    f"SELECT code FROM other WHERE EXISTS (SELECT 1 FROM billing b WHERE b.line_item_product_code = other.code AND {MONTH})",
+    f"SELECT t.spend FROM (SELECT sum(line_item_unblended_cost) spend FROM billing WHERE {MONTH}) t JOIN dates d"
+    " ON d.day = t.spend WHERE d.label = 'x'",
+    f"SELECT extract(day from line_item_usage_start_date) AS d, trim(both from line_item_usage_type) AS t FROM billing"
+    f" WHERE {MONTH}",
+    f"SELECT line_item_product_code FROM billing WHERE line_item_product_code IS DISTINCT FROM line_item_usage_type"
+    f" AND {MONTH}",
+    f"SELECT (line_item_unblended_cost + (line_item_usage_amount)) * 2 AS n FROM billing WHERE ((year = '2024') AND (month ="
+    " '03')) AND line_item_usage_type IN ('a', 'b')",
+    f"SELECT 1 FROM billing x, billing y WHERE x.line_item_usage_type = y.line_item_usage_type AND x.{MONTH} AND y.{MONTH}",
+    f"WITH a AS (SELECT line_item_product_code AS code FROM billing WHERE {MONTH}), b AS (SELECT a.code, o.owner FROM a"
+    " JOIN owners o ON o.code = a.code) SELECT code, owner FROM b UNION ALL SELECT code, note FROM notes",
+    f"SELECT * FROM (SELECT line_item_product_code FROM billing WHERE {MONTH} LIMIT 5".replace("*", "1") + ") z))",
+])
+def test_scopes_and_names_of_tables(spark, text):
+    assert _rules_of(spark, text) == {}
+
+
+@pytest.mark.parametrize("text,rule,detail", [
+    (f"SELECT 1 FROM other WHERE {MONTH} AND code IN (SELECT line_item_product_code FROM billing)", "partition_filter",
+     "table reads 1, year 0, month 0"),
+    (f"SELECT 1 FROM billing WHERE line_item_product_code IN (SELECT code FROM other WHERE {MONTH})", "partition_filter",
+     "table reads 1, year 0, month 0"),
+    (f"WITH a AS (SELECT 1 FROM billing WHERE {MONTH}), b AS (SELECT 1 FROM billing WHERE year = '2024') SELECT 1 FROM a",
+     "partition_filter", "table reads 2, year 2, month 1"),
+    (f"WITH a AS (SELECT 1 FROM billing WHERE {MONTH}) SELECT 1 FROM billing", "partition_filter",
+     "table reads 2, year 1, month 1"),
+    (f"SELECT b.invented FROM other a, billing b WHERE a.code = 'x' AND {MONTH}", "unknown_column", "invented"),
+    (f"SELECT code FROM other WHERE EXISTS (SELECT 1 FROM billing b WHERE b.wrong = other.code AND {MONTH})",
+     "unknown_column", "wrong"),
+    (f"SELECT line_item_product_code, (SELECT max(o.x) FROM other o WHERE o.k = b.made_up) FROM billing b WHERE {MONTH}",
+     "unknown_column", "made_up"),
+    (f"SELECT DISTINCT invented FROM billing WHERE {MONTH}", "unknown_column", "invented"),
+    (f"SELECT count(invented) total, line_item_usage_type kind FROM billing WHERE {MONTH} AND (odd = 1)",
+     "unknown_column", "invented, odd"),
+    (f"SELECT lake.billing.nothing, billing.year FROM lake.billing WHERE {MONTH}", "unknown_column", "nothing"),
+])
+def test_scopes_and_names_of_tables_find(spark, text, rule, detail):
+    assert _rules_of(spark, text) == {rule: detail}
+
+
+def test_scopes_of_a_text(spark):
+    from costweave.audit.rules import scopes_of
+    from pyspark.sql import functions as F
+
+    text = "with a as (select f(x) from t where x in (1, 2)) select y from (select z from a) q union select 3"
+    (row,) = spark.createDataFrame([(text,)], "t string").select(scopes_of(F.col("t")).alias("s")).collect()
+    assert [" ".join(s.split()) for s in row.s] == [
+        "with a as ()", "f(x) from t where x in (1, 2)", "y from () q union", "z from a", "3"]
+
+
 def test_other_tables_on_request_and_odd_characters(spark):
     assert "star" in _rules_of(spark, "SELECT * FROM web_logs", readers_only=False)
     assert set(_rules_of(spark, "-- caf�\nSELECT * FROM billing")) == {"star", "partition_filter"}
