@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from costweave.functions import cost as C
 from costweave.operators import breakdown as B, commitments as K, reconcile as R
 from costweave.operators import trend as T, usage as U
 from costweave.registry.entries import Entries
@@ -300,6 +303,12 @@ def _type_sql(p: Period) -> str:
  round(sum(cash), 2) AS unblended_cost FROM b GROUP BY 1"""
 
 
+def net_billing(spark, sf: str):
+    """The sample rows with the optional column of costs after discounts: a tenth off, in whole units."""
+    net = F.floor(F.col(C.CASH) * 9.0 / 10.0).cast("double")
+    return lineitem_billing(spark, sf).withColumn("line_item_net_unblended_cost", net)
+
+
 def register(e: Entries) -> None:
     def on(fn, *args, **kwargs):
         return lambda spark, sf: fn(lineitem_billing(spark, sf), *args, **kwargs)
@@ -385,3 +394,5 @@ def register(e: Entries) -> None:
                         ("list", "listed"), ("accrual", ACCRUAL_SQL)]:
         e.add(f"cost_by_service_{basis}_basis", on(B.cost_by_service, FULL, basis),
               _service_basis_sql(FULL, expr))
+    e.add("cost_by_service_net_basis", lambda spark, sf: B.cost_by_service(net_billing(spark, sf), FULL, "net"),
+          _service_basis_sql(FULL, "floor(cash * 9e0 / 10e0)"))

@@ -52,10 +52,15 @@ def one_row_total(spark: SparkSession, sf: str) -> DataFrame:
                          totals["n"].alias("total_rows"))
 
 
+def _per_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Cost per day of all products."""
+    return (T.daily_cost(lineitem_billing(spark, sf), FULL).groupBy("usage_date")
+            .agg(F.sum("amortized_cost").alias("amortized_cost")))
+
+
 def spine_join(spark: SparkSession, sf: str) -> DataFrame:
     """Calendar spine LEFT JOIN a daily series; absent days show NULL."""
-    daily = (T.daily_cost(lineitem_billing(spark, sf), FULL, "AmazonRDS")
-             .select("usage_date", C.money(F.col("amortized_cost")).alias("amortized_cost")))
+    daily = _per_day(spark, sf).select("usage_date", C.money(F.col("amortized_cost")).alias("amortized_cost"))
     return left_join_spine(daily, "usage_date", FULL.first_instant.date(), FULL.last_day.date(),
                            "day")
 
@@ -80,13 +85,15 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def total_row(spark: SparkSession, sf: str) -> DataFrame:
-    """Detail rows and a total row with typed NULLs."""
+    """Detail rows and a total row with typed NULLs, from one scan: the total is a grouping set over the detail."""
     detail = (FULL.scope(lineitem_billing(spark, sf))
               .groupBy(F.col(B.PRODUCT).alias("service"))
               .agg(F.sum(C.cash()).alias("cash"), F.max(T.USAGE_TYPE).alias("last_type")))
-    total = detail.agg(F.sum("cash").alias("cash")).select(
-        F.lit("(TOTAL)").alias("service"), "cash", F.lit(None).cast("string").alias("last_type"))
-    return detail.unionByName(total).withColumn("cash", C.money(F.col("cash")))
+    both = detail.rollup("service").agg(F.sum("cash").alias("cash"), F.max("last_type").alias("last_type"),
+                                        F.grouping("service").alias("total"))
+    return both.select(F.when(F.col("total") == 1, "(TOTAL)").otherwise(F.col("service")).alias("service"),
+                       C.money(F.col("cash")).alias("cash"),
+                       F.when(F.col("total") == 0, F.col("last_type")).alias("last_type"))
 
 
 def share_of_total(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,8 +123,8 @@ def month_subtotal(spark: SparkSession, sf: str) -> DataFrame:
 
 def trailing_mean(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of the seven rows before; NULL on the first."""
-    daily = T.daily_cost(lineitem_billing(spark, sf), FULL, "AWSLambda")
-    return daily.select("usage_date", C.money(F.avg("amortized_cost").over(T.trailing(7)))
+    daily = T.daily_cost(lineitem_billing(spark, sf), FULL)
+    return daily.select("service", "usage_date", C.money(F.avg("amortized_cost").over(T.trailing(7)))
                         .alias("trailing_mean"))
 
 
@@ -176,7 +183,7 @@ FROM {part('1998-03')} c FULL JOIN {part('1998-02')} p
     e.add("block_spine_left_join", spine_join, everything + """SELECT CAST(g.d AS DATE)
  AS usage_date, round(sum(accrued), 2) AS amortized_cost
 FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31',
- INTERVAL 1 DAY)) AS d) g LEFT JOIN b ON b.day = CAST(g.d AS DATE) AND svc = 'AmazonRDS'
+ INTERVAL 1 DAY)) AS d) g LEFT JOIN b ON b.day = CAST(g.d AS DATE)
 GROUP BY 1""")
     e.add("block_conditional_sum", conditional_sum, everything + """SELECT utype AS usage_type,
  svc AS service, round(sum(cash) FILTER (WHERE kind = 'Tax'), 2) AS tax,
@@ -198,8 +205,8 @@ FROM b GROUP BY utype""")
 FROM monthly""")
     e.add("block_month_subtotal", month_subtotal, everything + monthly + """ SELECT svc AS service,
  mon AS usage_month, round(sum(v) OVER (PARTITION BY mon), 2) AS month_total FROM monthly""")
-    e.add("block_trailing_mean", trailing_mean, everything + daily + f""" SELECT day AS usage_date,
- round(avg(v) OVER {frame}, 2) AS trailing_mean FROM daily WHERE svc = 'AWSLambda'""")
+    e.add("block_trailing_mean", trailing_mean, everything + daily + f""" SELECT svc AS service, day AS usage_date,
+ round(avg(v) OVER {frame}, 2) AS trailing_mean FROM daily""")
     e.add("block_named_window", named_window, everything + daily + stats + """
 SELECT svc AS service, day AS usage_date, round(m, 2) AS mean, round(sd, 2) AS sd,
  n AS baseline_days FROM w""")

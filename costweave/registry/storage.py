@@ -8,7 +8,7 @@ from costweave.functions import cost as C
 from costweave.operators import breakdown as B, trend as T
 from costweave.plans import rollups as R
 from costweave.registry.analysis import (_anomaly_sql, _daily_sql, _pruned_sql, _resource_sql,
-                                         _trend_sql, utilisation_sql)
+                                         _reconcile_sql, _trend_sql, utilisation_sql)
 from costweave.registry.entries import Entries
 from costweave.registry.sqlbase import FULL, MONTH, STRADDLE, TWO_MONTHS, rows
 from costweave.sources import billing_table as L, legacy_csv as V
@@ -50,6 +50,24 @@ def rollup(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def redelivered(spark: SparkSession, sf: str) -> DataFrame:
+    """A rollup after a month was delivered again with twice its rows, which nobody named."""
+    def write(path: str) -> None:
+        source, root = f"{path}/billing", f"{path}/service_month"
+        rows_ = lineitem_rows(spark, sf)
+        L.write_billing(rows_, source)
+        R.refresh_changed(spark, source, "service_month", root, ntz=True)
+        march = MONTH.scope(rows_)
+        L.write_billing(march.unionByName(march), source)
+        changed = R.refresh_changed(spark, source, "service_month", root, ntz=True)
+        if changed != list(MONTH.months) or R.refresh_changed(spark, source, "service_month", root, ntz=True):
+            raise AssertionError(f"months taken for changed: {changed}")
+
+    path = _written(spark, sf, "redelivered", write)
+    schema = R.service_month(whole(spark, sf)).schema
+    return spark.read.schema(schema).parquet(f"{path}/service_month")
+
+
 def contract_read(spark: SparkSession, sf: str) -> DataFrame:
     """Counts over the written table: partitions as text, absent columns as NULL."""
     return (whole(spark, sf).groupBy("year", "month")
@@ -229,6 +247,17 @@ FROM b GROUP BY ALL""")
  sum(listed) FILTER (WHERE kind = 'SavingsPlanCoveredUsage') AS sp_list
 FROM b WHERE kind IN ('RIFee', 'DiscountedUsage', 'SavingsPlanRecurringFee',
  'SavingsPlanCoveredUsage') GROUP BY ALL""")
+    e.add("rollup_refresh_changed", redelivered,
+          rows() + f"""SELECT {keys}, svc AS service, sum(accrued * n) AS amortized_cost,
+ sum(cash * n) AS unblended_cost, CAST(sum(n) AS BIGINT) AS line_items
+FROM (SELECT *, CASE WHEN mon = '1998-03' THEN 2 ELSE 1 END AS n FROM b) GROUP BY ALL""")
+    e.add("rollup_reconcile",
+          lambda s, sf: R.reconcile_from(rollup(s, sf, "reconcile_month"), FULL), _reconcile_sql(FULL))
+    e.add("rollup_distinct_months",
+          lambda s, sf: R.distinct_from(rollup(s, sf, "reconcile_month"), TWO_MONTHS).select(
+              "line_items", "distinct_products", "distinct_accounts"),
+          rows(TWO_MONTHS) + """SELECT count(*) AS line_items, count(DISTINCT svc) AS distinct_products,
+ count(DISTINCT acct) AS distinct_accounts FROM b""")
     e.add("rollup_mom_trend",
           lambda s, sf: R.mom_trend_from(rollup(s, sf, "service_month"), FULL), _trend_sql(FULL))
     e.add("rollup_cost_by_resource",

@@ -107,3 +107,9 @@ def test_utilisation_scans_once(table):
 def test_audit_needs_no_shuffle(spark):
     df = audit(spark.createDataFrame([(1, "SELECT 1")], "query_id int, sql_text string"))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_total_row_needs_one_scan(spark):
+    from costweave.registry.blocks import total_row
+
+    assert scans(total_row(spark, "/root/testdata/sf0.001")) == 1

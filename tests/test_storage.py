@@ -219,3 +219,78 @@ def test_refresh_of_a_month_without_rows_any_more(spark, tmp_path):
     again = billing(spark, [{"type": "Usage", "at": "2024-03-05"}])
     R.refresh(again, "commitment_month", root, Period.month(2024, 3))
     assert [r.month for r in spark.read.parquet(root).select("month").collect()] in (["04"], [4])
+
+
+def _service_rows(spark, root):
+    return sorted((str(r.year), f"{int(r.month):02d}", r.service or "", r.line_items) for r in spark.read.parquet(root).collect())
+
+
+def test_changed_months_are_found_and_only_they_are_read(spark, tmp_path):
+    from costweave.plans import rollups as R
+
+    source, root = f"{tmp_path}/billing", f"{tmp_path}/service_month"
+    row = lambda at, n: [{"at": at, "cost": 1.0}] * n
+    L.write_billing(billing(spark, row("1998-01-05", 2) + row("1998-02-05", 3) + row("1998-03-05", 4)), source)
+    refresh = lambda: R.refresh_changed(spark, source, "service_month", root, ntz=True)
+    assert refresh() == [(1998, 1), (1998, 2), (1998, 3)] and refresh() == []
+    L.write_billing(billing(spark, row("1998-02-05", 7) + row("1998-04-05", 1)), source)
+    # Were another month read, this broken file of it would be noticed; its listing is as it was.
+    import glob
+    import os
+    (january,) = glob.glob(f"{source}/year=1998/month=01/*.parquet")
+    state = os.stat(january)
+    whole_file = open(january, "rb").read()
+    with open(january, "r+b") as f:
+        f.write(b"\0" * 8)
+    crc = os.path.join(os.path.dirname(january), f".{os.path.basename(january)}.crc")
+    if os.path.exists(crc):
+        os.unlink(crc)
+    os.utime(january, ns=(state.st_atime_ns, state.st_mtime_ns))
+    assert refresh() == [(1998, 2), (1998, 4)] and refresh() == []
+    assert _service_rows(spark, root) == [("1998", "01", "AmazonEC2", 2), ("1998", "02", "AmazonEC2", 7),
+                                          ("1998", "03", "AmazonEC2", 4), ("1998", "04", "AmazonEC2", 1)]
+    with open(january, "wb") as f:
+        f.write(whole_file)
+    assert (1998, 1) in refresh()
+    # A month taken away loses its rows.
+    for f in glob.glob(f"{source}/year=1998/month=03/*"):
+        os.unlink(f)
+    assert refresh() == [(1998, 3)]
+    assert [r[1] for r in _service_rows(spark, root)] == ["01", "02", "04"]
+
+
+def test_a_failed_refresh_is_made_up_for(spark, tmp_path, monkeypatch):
+    from costweave.plans import rollups as R
+
+    source, root = f"{tmp_path}/billing", f"{tmp_path}/service_month"
+    L.write_billing(billing(spark, [{"at": "1998-01-05"}]), source)
+    whole_refresh = R.refresh
+    monkeypatch.setattr(R, "refresh", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        R.refresh_changed(spark, source, "service_month", root, ntz=True)
+    monkeypatch.setattr(R, "refresh", whole_refresh)
+    assert R.refresh_changed(spark, source, "service_month", root, ntz=True) == [(1998, 1)]
+
+
+def test_sketches_merge_within_their_error(spark, tmp_path):
+    from costweave.operators.reconcile import reconcile
+    from costweave.plans import rollups as R
+    from pyspark.sql import functions as F
+
+    months = Period.span((1998, 1), (1998, 2))
+    base = billing(spark, [{"at": "1998-01-05"}, {"at": "1998-02-05"}, {"at": "1998-02-05", "account": None}])
+    wide = base.crossJoin(spark.range(30_000)).withColumns({
+        "line_item_usage_account_id": F.when(F.col("line_item_usage_account_id").isNotNull(),
+                                             F.concat("month", F.lit("-"), F.col("id") % 20_000)),
+        "line_item_resource_id": (F.col("id") % 7).cast("string")}).drop("id")
+    R.refresh(wide, "reconcile_month", f"{tmp_path}/r")
+    stored = spark.read.schema(R.reconcile_month(base).schema).parquet(f"{tmp_path}/r")
+    exact = {r.usage_month: r for r in reconcile(wide, months).collect()}
+    for row in R.reconcile_from(stored, months).collect():
+        want = exact[row.usage_month]
+        assert abs(row.distinct_accounts / want.distinct_accounts - 1) < 0.05
+        assert row.distinct_products == want.distinct_products and row.line_items == want.line_items
+        assert row.unblended_all_types == want.unblended_all_types
+    (one,) = R.distinct_from(stored, months).collect()
+    assert abs(one.distinct_accounts / 40_000 - 1) < 0.05 and one.distinct_resources == 7
+    assert stored.count() == 2                                    # a row a month, whatever the number of accounts
