@@ -19,8 +19,8 @@ SIZE, ROWS, FRACTION = 512, 4, 48
 NO_BAND, TOO_FEW = 4e-6, 1e-6
 #: Members of a bucket compared by the bits of their sketches, and shingles compared in one task.
 DIRECT, AT_ONCE = 2048, 4_000_000
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Words whose hashes a worker remembers, bytes of text it holds at once, and sets it sketches at once.
+REMEMBERED, SLICE, TOGETHER = 100_000, 1_000_000, 512
 M64 = (1 << 64) - 1
 
 
@@ -110,10 +110,11 @@ def _sketched(docs: DataFrame, width: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(width)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             filled = [i for i, s in enumerate(sets) if len(s)]
-            table = sketches([sets[i] for i in filled])
+            table = np.concatenate([np.zeros((0, SIZE), np.uint64), *(
+                sketches([sets[i] for i in filled[at:at + TOGETHER]]) for at in range(0, len(filled), TOGETHER))])
             seeds = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             keys = np.tile(seeds, (len(filled), 1))
             for k in range(ROWS):
@@ -231,7 +232,7 @@ def _members(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(width)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             # A repeated doc_id may stand beside other texts.
             own = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist()))
