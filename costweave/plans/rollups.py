@@ -14,7 +14,7 @@ from costweave import schema as S
 from costweave.functions import cost as C
 from costweave.functions.calendar import month_label, month_start, usage_date
 from costweave.operators import breakdown as B, commitments as K, trend as T
-from costweave.sources.billing_table import read_billing, write_partitioned
+from costweave.sources.billing_table import deliveries, read_billing, write_partitioned
 from costweave.sources.period import Period
 
 MONTH_KEYS = ["year", "month", "month_date"]
@@ -146,22 +146,13 @@ def distinct_from(rollup: DataFrame, period: Period) -> DataFrame:
     return _sketched(rollup, period).select("line_items", *[f"distinct_{c}" for c in SKETCHES])
 
 
-def deliveries(spark: SparkSession, root: str) -> DataFrame:
-    """year, month, files, bytes and newest (change of a file) of each month folder, from the listing alone."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-             .option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime"))
-    folder = lambda key: F.regexp_extract("path", rf"/{key}=([^/]*)/", 1).alias(key)
-    return (files.groupBy(folder("year"), folder("month"))
-            .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest")))
-
-
 def refresh_changed(spark: SparkSession, source: str, name: str, root: str, **reading) -> list[tuple[int, int]]:
     """Rebuild one rollup for the months that were delivered, delivered anew or taken away since the last time.
 
     What lay there then is kept beside the rollup, a row per month. Only changed months are read. The
     record is written last, so that a run that fails is made up for by the next one. Returns the months.
     """
-    listed = deliveries(spark, source)
+    listed = deliveries(spark, source).drop("newest_file")
     # A row a month; one look, so that what arrives meanwhile counts as changed the next time.
     now = spark.createDataFrame(listed.collect(), listed.schema)
     seen = f"{root.rstrip('/')}/_seen"

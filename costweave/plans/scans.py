@@ -74,6 +74,15 @@ def scanned(df: DataFrame) -> Scanned:
     return _read_by(df._jdf.queryExecution().executedPlan())
 
 
+def shuffled(df: DataFrame) -> int:
+    """The bytes that the shuffles of ``df`` wrote; ``df`` itself must have run."""
+    total = 0
+    for node in _walk(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleBytesWritten").value()
+    return total
+
+
 def scanned_by_side(df: DataFrame) -> list[Scanned]:
     """What each side of the outermost union of ``df`` read; ``df`` itself must have run."""
     for node in _walk(df._jdf.queryExecution().executedPlan()):

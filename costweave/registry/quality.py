@@ -217,6 +217,8 @@ d AS (SELECT coalesce(p.mon, u.mon) AS mon FROM p FULL JOIN u ON p.mon = u.mon
  WHERE identity_line_item_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1) """
     e.add("duplicate_line_items", on(Q.duplicate_line_items), rows() + duplicates
           + "SELECT * FROM d")
+    e.add("duplicate_line_items_sifted", on(Q.duplicate_line_items, sift=True), rows() + duplicates
+          + "SELECT * FROM d")
     e.add("check_duplicates", on(Q.check_duplicates), rows() + duplicates + _finding(
         "duplicates", "error", "count(*) = 0", "'identity_line_item_id'", "count(*)",
         "'surplus rows ' || CAST(coalesce(sum(copies - 1), 0) AS VARCHAR)") + " FROM d")

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from costweave.checks.contract import check_schema_drift
 from costweave.functions import cost as C
 from costweave.operators import breakdown as B, trend as T
-from costweave.plans import rollups as R
+from costweave.plans import rollups as R, versions as P, window_state as W
 from costweave.registry.analysis import (_anomaly_sql, _daily_sql, _pruned_sql, _resource_sql,
                                          _reconcile_sql, _trend_sql, utilisation_sql)
 from costweave.registry.entries import Entries
 from costweave.registry.sqlbase import FULL, MONTH, STRADDLE, TWO_MONTHS, rows
 from costweave.sources import billing_table as L, legacy_csv as V
+from costweave.sources.period import Period
 from costweave.sources.sample import lineitem_billing, lineitem_rows
 from costweave.sources.scratch import scratch_path
 
+BEFORE_MARCH = Period.span(FULL.months[0], W.before(MONTH.months[0]))
+COST = "line_item_unblended_cost"
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
@@ -68,6 +72,38 @@ def redelivered(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/service_month")
 
 
+def published(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of a rollup: the first as delivered, the second after March came with twice its rows."""
+    def write(path: str) -> None:
+        bills = whole(spark, sf)
+        P.publish(bills, "service_month", path)
+        P.publish(bills.unionByName(bills), "service_month", path, MONTH)
+
+    path = _written(spark, sf, "published", write)
+    schema = R.service_month(whole(spark, sf)).schema
+    first, second = (P.published(spark, path, schema, v).withColumn("version", F.lit(v)) for v in (1, 2))
+    return first.unionByName(second)
+
+
+def next_month(spark: SparkSession, sf: str, **windows) -> DataFrame:
+    """Anomalies of March from the state at the end of February, not from the days before."""
+    days = rollup(spark, sf, "service_day")
+    root = scratch_path(spark, "state")
+    W.start(days, root, BEFORE_MARCH, **windows)
+    return W.anomalies_next(days, root, MONTH.months[0], **windows)
+
+
+def drifted(spark: SparkSession, sf: str) -> DataFrame:
+    """Schema findings over a table whose March has its cost as text and no team tag."""
+    def write(path: str) -> None:
+        L.write_billing(lineitem_rows(spark, sf), path)
+        march = MONTH.scope(lineitem_rows(spark, sf))
+        march = march.withColumn(COST, F.col(COST).cast("string")).drop("resource_tags_user_team")
+        L.write_billing(march, path)
+
+    return check_schema_drift(spark, _written(spark, sf, "drifted", write))
+
+
 def contract_read(spark: SparkSession, sf: str) -> DataFrame:
     """Counts over the written table: partitions as text, absent columns as NULL."""
     return (whole(spark, sf).groupBy("year", "month")
@@ -251,6 +287,20 @@ FROM b WHERE kind IN ('RIFee', 'DiscountedUsage', 'SavingsPlanRecurringFee',
           rows() + f"""SELECT {keys}, svc AS service, sum(accrued * n) AS amortized_cost,
  sum(cash * n) AS unblended_cost, CAST(sum(n) AS BIGINT) AS line_items
 FROM (SELECT *, CASE WHEN mon = '1998-03' THEN 2 ELSE 1 END AS n FROM b) GROUP BY ALL""")
+    e.add("rollup_published", published,
+          rows() + f"""SELECT version, {keys}, svc AS service, sum(accrued * n) AS amortized_cost,
+ sum(cash * n) AS unblended_cost, CAST(sum(n) AS BIGINT) AS line_items
+FROM (SELECT *, CASE WHEN mon = '1998-03' AND version = 2 THEN 2 ELSE 1 END AS n
+ FROM b, (VALUES (1), (2)) t (version)) GROUP BY ALL""")
+    e.add("check_schema_drift", drifted, rows() + """, m AS (SELECT DISTINCT mon FROM b),
+f (mon, severity, name, text) AS (VALUES
+ ('1998-03', 'error', 'line_item_unblended_cost', 'double became string'),
+ ('1998-03', 'error', 'resource_tags_user_team', 'vanished, was string'),
+ ('1998-04', 'error', 'line_item_unblended_cost', 'string became double'),
+ ('1998-04', 'warning', 'resource_tags_user_team', 'new, string'))
+SELECT 'schema_drift' AS check_id, coalesce(severity, 'error') AS severity, text IS NULL AS ok,
+ concat_ws(' ', m.mon, name) AS subject, CASE m.mon WHEN '1998-03' THEN 33e0 ELSE 34e0 END AS observed,
+ coalesce(text, 'as before') AS detail FROM m LEFT JOIN f ON m.mon = f.mon""")
     e.add("rollup_reconcile",
           lambda s, sf: R.reconcile_from(rollup(s, sf, "reconcile_month"), FULL), _reconcile_sql(FULL))
     e.add("rollup_distinct_months",
@@ -266,6 +316,11 @@ FROM (SELECT *, CASE WHEN mon = '1998-03' THEN 2 ELSE 1 END AS n FROM b) GROUP B
     e.add("rollup_anomalies",
           lambda s, sf: R.anomalies_from(rollup(s, sf, "service_day"), FULL),
           _anomaly_sql(rows(FULL)))
+    march = "SELECT * FROM ({}) a WHERE strftime(usage_date, '%Y-%m') = '1998-03'"
+    e.add("anomalies_next_month", next_month, march.format(_anomaly_sql(rows(FULL))))
+    e.add("anomalies_next_month_weekdays",
+          lambda s, sf: next_month(s, sf, window_days=28, same_weekday_rows=4),
+          march.format(_anomaly_sql(rows(FULL), 28, weekday=4)))
     e.add("rollup_commitment_utilisation",
           lambda s, sf: R.commitment_utilisation_from(rollup(s, sf, "commitment_month"), FULL),
           utilisation_sql(FULL))

@@ -43,6 +43,17 @@ def read_months(spark: SparkSession, root: str, period: Period, optional: tuple[
     return spark.read.schema(schema).option("basePath", root).parquet(*period.paths(root))
 
 
+def deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """year, month, files, bytes, newest (change of a file) and newest_file of each month folder, from
+    the listing alone."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime"))
+    folder = lambda key: F.regexp_extract("path", rf"/{key}=([^/]*)/", 1).alias(key)
+    return (files.groupBy(folder("year"), folder("month"))
+            .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"),
+                 F.max_by("path", F.struct("modificationTime", "path")).alias("newest_file")))
+
+
 def widen(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add typed NULL columns for those of ``columns`` (name -> type) the frame lacks."""
     missing = {n: F.lit(None).cast(k) for n, k in columns.items() if n not in df.columns}

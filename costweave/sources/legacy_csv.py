@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -94,22 +95,34 @@ def conversion_report(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file and header (its first line that is not blank) of every file that has one, from one job.
+
+    Lines are numbered in the order of a task's input, and the blocks that begin a file come first
+    by their place in it, so the smallest (place, number) is the file's first line.
+    """
+    lines = (spark.read.option("recursiveFileLookup", True).text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place")))
+    return (lines.where("trim(value) <> ''").groupBy("file")
+            .agg(F.min_by("value", "place").alias("header")))
+
+
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
     """The delivered CSV files (plain or gzip), every value as text.
 
-    The columns of a report change between deliveries. Files are grouped by their own header
-    (the driver sees one line per file), each group is read under its header, and columns that
-    a group lacks are NULL.
+    The columns of a report change between deliveries. Files are grouped by their own header,
+    found for all files in one pass over the lines; each group is read under its header, and columns
+    that a group lacks are NULL. Files without a line give no rows. What comes to the driver is the
+    file names, which Spark's listing holds there anyway, once for each header.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for row in listed.select("path").orderBy("path").collect():
-        header = tuple(reader.csv(row.path).columns)
-        by_header.setdefault(header, []).append(row.path)
-    if not by_header:
-        raise ValueError(f"no files under {path}")
-    parts = [reader.csv(files) for header, files in by_header.items() if header]
+    groups = sorted(sorted(g.files) for g in first_lines(spark, path).groupBy("header")
+                    .agg(F.collect_list("file").alias("files")).collect())
+    if not groups:
+        raise ValueError(f"no files with a header under {path}")
+    # Paths in the metadata are URIs; a reader takes them as they are named.
+    parts = [reader.csv([unquote(f) for f in files]) for files in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
