@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from costweave.llm.shared import chunks
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
@@ -15,6 +18,8 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 
 #: Chunks of a generation and the longest one kept; they bound a worker's memory.
 KEPT, LONGEST = 400_000, 48
+#: Chunks that the library gets as one text, which costs it less than as many texts.
+JOINED = 200
 
 
 class ChunkEncoder:
@@ -32,8 +37,38 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.spaced = np.array([t[:1] == b" " for t in token_bytes(path)])
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        unjoined = [r"\s", *map(re.escape, added)]
+        #: What a chunk that is encoded beside others must not hold; all match if a token may reach over chunks.
+        self.apart = re.compile("" if any(" " in t for t in added) else "|".join(unjoined))
+
+    def _learn_joined(self, need: list[str], into: dict[str, bytes]) -> list[str]:
+        """Learns chunks that follow a space, many as one text; returns those it did not learn.
+
+        A piece of the pre-tokenizer begins at each of their spaces, and there is no other space in them, so a
+        chunk's ids go from one token that begins with a space to the next. A text whose tokens do not
+        show that is left to be encoded chunk by chunk.
+        """
+        left = [c for c in need if not c or self.apart.search(c)]
+        plain = [c for c in need if c and not self.apart.search(c)]
+        texts = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for start in range(0, len(texts), 100):
+            part = texts[start:start + 100]
+            coded = self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in part], add_special_tokens=False)
+            for text, e in zip(part, coded):
+                ids = np.array(e.ids, "<u4")
+                begins = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
+                if len(begins) != len(text) or begins[0] != 0 or ids.max() >= len(self.spaced):
+                    left += text
+                    continue
+                raw, at = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+                into.update(zip(text, [raw[a:b] for a, b in zip(at, at[1:])]))
+        return left
 
     def _learn(self, need: list[str], prefix: str, into: dict[str, bytes]) -> None:
+        if prefix:
+            need = self._learn_joined(need, into)
         for start in range(0, len(need), 20_000):
             part = need[start:start + 20_000]
             coded = self.tokenizer.encode_batch_fast([prefix + c for c in part],
