@@ -148,6 +148,21 @@ class Shard:
             at += 1
         return out
 
+    def reached(self) -> tuple[list[int | None], np.ndarray]:
+        """Key and number of every record: those without a key first, then the records under each key, the first
+        of them as the hash index gives it, its fingerprint held against the key's."""
+        nulls = self.footer["nulls"]
+        keys, times = np.unique(self.keys[nulls:], return_counts=True)
+        first = self.find(keys)
+        if (first < 0).any():
+            raise ValueError(f"the index does not lead to the records of key {keys[first < 0][0]}")
+        if len(keys) and times.max() > 1:
+            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            keys, first = np.repeat(keys, times), np.repeat(first, times) + within
+        if not np.array_equal(first, np.arange(nulls, len(self.keys))):
+            raise ValueError("the index does not lead to every record")
+        return [None] * nulls + keys.tolist(), np.r_[np.arange(nulls), first].astype(np.int64)
+
 
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, first_key long, last_key long"
 
@@ -222,20 +237,23 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, root: str) -> DataFrame:
     """Every record of the store: doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32 over the ids as 32-bit integers, and file."""
+    ids_crc32 over the ids as 32-bit integers, and file.
+
+    Records are reached through the hash index, see ``Shard.reached``; a file whose index does not lead to all
+    of them raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file"), batch.column("content")):
                 s = Shard(content.as_buffer())
-                n, wide = len(s.keys), s.ids.astype("<u4")
-                ends = s.firsts.tolist()
-                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
-                yield pa.record_batch([pa.array([s.key(i) for i in range(n)], pa.int64()),
-                                       pa.array(s.firsts[:-1], pa.int64()),
-                                       pa.array(np.diff(s.firsts), pa.int64()),
-                                       pa.array(crc, pa.int64()),
-                                       pa.array([file.as_py()] * n)],
+                key, record = s.reached()
+                starts, ends = s.firsts[record], s.firsts[record + 1]
+                wide = s.ids.astype("<u4")
+                crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                yield pa.record_batch([pa.array(key, pa.int64()), pa.array(starts, pa.int64()),
+                                       pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64()),
+                                       pa.array([file.as_py()] * len(key))],
                                       names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
     rows = _files(spark, root).mapInArrow(

@@ -162,3 +162,33 @@ def test_prefixes_of_a_text_with_a_word_on_each_line_take_linear_work(tokenizer_
         (n, steps), = own.count([text])
         assert [prefix_counts.tokens_before(steps, len(text[:k].encode())) for k in range(len(text) + 1)] == [
             len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
+
+
+def test_chunks_encoded_as_one_text_have_the_ids_of_each(tokenizer_path, library):
+    rng = random.Random(5)
+    signs = "abcdeéß日😀'.,-_1234<|Ġ​́"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    words += ["<|endoftext|>", "a<|endoftext|>b", "'s", "'ll", "\x00", "\x1f", "x\xa0y", "a b", "Ġ", "ĠĠ"]
+    code = ChunkEncoder(tokenizer_path)
+    into = {}
+    left = code._learn_joined(words, into)
+    assert set(left) | into.keys() == set(words) and len(left) < 100
+    for word, raw in into.items():
+        assert np.frombuffer(raw, "<u4").tolist() == ids_of(library, " " + word), word
+    text = " ".join(words)
+    assert np.frombuffer(code.encode([text])[0], "<u4").tolist() == ids_of(library, text)
+
+
+def test_a_spoilt_index_is_noticed(spark):
+    keys = [None, 3, 5, 5, 9]
+    data = bytearray(id_store.shard_bytes(keys, [np.arange(i) for i in range(5)], 2))
+    got, record = id_store.Shard(bytes(data)).reached()
+    assert got == keys and record.tolist() == [0, 1, 2, 3, 4]
+    assert id_store.Shard(id_store.shard_bytes([], [], 2)).reached()[0] == []
+    assert id_store.Shard(id_store.shard_bytes([None], [np.arange(2)], 2)).reached()[0] == [None]
+    places = id_store.Shard(bytes(data)).footer["places"]
+    for section in (4, 5, 6):          # bits of the hash, fingerprints, records
+        spoilt = bytearray(data)
+        spoilt[places[section]] ^= 1
+        with pytest.raises((ValueError, IndexError)):
+            id_store.Shard(bytes(spoilt)).reached()
