@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from costweave.llm.shared import fold, slices, written
+from costweave.llm.shared import columns_of, fold, fresh_name, slices, written
 
 RESULT = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double, "
           "passage long")
@@ -278,8 +278,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Dec
 def without_items(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Decontamination()) -> DataFrame:
     """The documents in which no item occurs, with the columns they had; null doc_ids are tested
     by their text like others."""
-    key = "__row"
+    key = fresh_name(docs, "row")
     marked = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     found = written(contaminated(marked.select(F.col(key).alias("doc_id"), "text"), benchmark, p)
                     .select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return marked.join(found, key, "left_anti").select(docs.columns)
+    return marked.join(found, key, "left_anti").select(columns_of(docs))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from costweave.llm.shared import columns_of, fresh_name
+
 ROUNDS = 8
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
@@ -245,13 +247,15 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     pairs = F.zip_with(found, gaps, lambda v, gap: F.when(
         v.rlike(RUN) & ~gap.rlike(r"(?:password=|token = \")$"), cards(v, key)).otherwise(
         F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new")))))
-    marked = docs.withColumn("__pairs", F.when(text.rlike(MAYBE), pairs))
+    pairs_name = fresh_name(docs, "pairs")
+    marked = docs.withColumn(pairs_name, F.when(text.rlike(MAYBE), pairs))
     new = F.array_join(F.flatten(F.zip_with(
-        F.split(text, ANY, -1), F.col("__pairs"),
+        F.split(text, ANY, -1), F.col(pairs_name),
         lambda gap, parts: F.array(gap, F.coalesce(F.array_join(parts.new, ""), F.lit(""))))), "")
-    changed = F.coalesce(F.size(F.filter(F.flatten("__pairs"), lambda p: p.old != p.new)), F.lit(0))
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.when(F.size("__pairs") > 0, new).otherwise(text)
+    changed = F.coalesce(F.size(F.filter(F.flatten(pairs_name), lambda p: p.old != p.new)), F.lit(0))
+    out = {count if count and name.lower() == count.lower() else name: column
+           for name, column in zip(docs.columns, columns_of(docs))}
+    out["text"] = F.when(F.size(pairs_name) > 0, new).otherwise(text)
     if count:
         out[count] = changed
     return marked.select(*[column.alias(name) for name, column in out.items()])
