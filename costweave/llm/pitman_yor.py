@@ -1,11 +1,13 @@
 """A hierarchical Pitman-Yor language model of words, sampled in passes over dealt-out tokens.
 
-Restaurants: one for each class of the previous word (a hash, within classes of its last two bytes),
-whose parents are the classes of last two bytes, whose parent is the restaurant without
-context, over a uniform base. Tokens are dealt out by word, so a word's customers and tables in all
-restaurants meet in one task; of the restaurants themselves only their sizes, a fixed number of
-counts, go around. A sweep of Gibbs sampling seats customers against the sizes of the sweep
-before, as distributed samplers do.
+Restaurants: one for each previous word, whose parents are those of the words with the same last
+two bytes (classes of a fixed number), whose parent is the restaurant without context, over a
+uniform base. Tokens are dealt out by word into buckets of bounded size, so a word's customers and
+tables in all restaurants meet in one task. A previous word's restaurant is spread over the buckets of
+all words that follow it: each pass sends the buckets' shares of its size to one task by context and the
+sums back to the buckets that hold the context. A context that one bucket alone holds does not travel.
+Only the sizes of the parents and the root, a fixed number of counts, go around whole. A sweep of Gibbs
+sampling seats customers against the sizes of the sweep before, as distributed samplers do.
 """
 
 from __future__ import annotations
@@ -13,13 +15,12 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame, Row, functions as F
 
 from costweave.llm.shared import remainder_of_crc, slices, words
@@ -32,18 +33,20 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens",
 
 @dataclass(frozen=True)
 class PitmanYor:
-    """parents and children: restaurants of the two levels (children for each parent). sweeps: Gibbs
-    sweeps, each a sample whose predictions are averaged. moves: of a dish's customers in a
-    sweep; dishes of more customers move several at once. theta: concentration. hot: share of
-    tokens from which a word is dealt out over several tasks; parts: how many."""
+    """parents: classes of last two bytes, at most 1024. burn_in: Gibbs sweeps before the first that counts;
+    sweeps: those after it, each a sample whose predictions are averaged. moves: of a dish's
+    customers in a sweep; dishes of more customers move several at once. theta: concentration.
+    bucket_bytes: text a bucket's tokens stand for. hot, most_hot: a word of over ``hot`` of all tokens,
+    or of half a bucket's, is dealt out by context too; at most ``most_hot`` words are looked for."""
 
     parents: int = 1024
-    children: int = 256
+    burn_in: int = 1
     sweeps: int = 2
     moves: int = 8
     theta: float = 1.0
+    bucket_bytes: int = 6_000_000
     hot: float = 0.004
-    parts: int = 16
+    most_hot: int = 20_000
     slice_bytes: int = 6_000_000
 
 
@@ -59,46 +62,42 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def context_class(words: list[bytes], hashes: np.ndarray, p: PitmanYor) -> np.ndarray:
-    """The restaurant that a word opens for the next: its parent's number times children, plus its own."""
+def context_of(words: list[bytes], hashes: np.ndarray, p: PitmanYor) -> np.ndarray:
+    """The restaurant that a word opens for the next: 53 bits of its hash, then the number of its parent."""
     ends = np.fromiter((xxhash.xxh32_intdigest(w[-2:]) for w in words), np.int64, len(words))
-    return ends % p.parents * p.children + (hashes % np.uint64(p.children)).astype(np.int64)
+    return (hashes >> np.uint64(11)).astype(np.int64) * p.parents + ends % p.parents
+
+
+def shard_of(contexts: np.ndarray, n: int, p: PitmanYor) -> np.ndarray:
+    """Ranges of contexts, about equal in number; those of ascending contexts ascend."""
+    return (contexts // p.parents >> 21) * n >> 32
 
 
 @dataclass
 class Sizes:
-    """What restaurants and the whole corpus amount to, and the words dealt over several tasks."""
+    """What the parents, the root and the whole corpus amount to, and the words dealt over several tasks."""
 
-    customers: np.ndarray             # of each child restaurant
-    tables: np.ndarray
-    parent_tables: np.ndarray         # customers of a parent are its children's tables
+    parent_customers: np.ndarray      # the tables of the parent's restaurants
+    parent_tables: np.ndarray
+    split: np.ndarray                 # of each such word: tokens, customers of the root, tables
     root_tables: int = 0
     tokens: int = 0
     vocabulary: int = 0
     ones: np.ndarray = field(default_factory=lambda: np.zeros((3, 2), np.int64))   # dishes of 1 and 2 customers
-    split: dict[int, list[int]] = field(default_factory=dict)   # word: tokens, customers of the root, tables
+
+    @classmethod
+    def empty(cls, p: PitmanYor, n_split: int) -> "Sizes":
+        return cls(np.zeros(p.parents, np.int64), np.zeros(p.parents, np.int64), np.zeros((n_split, 3), np.int64))
 
     def packed(self) -> bytes:
-        at = np.flatnonzero(self.customers)
-        return _packed(at=at.astype("<i4"), customers=self.customers[at].astype("<i4"), tables=self.tables[at].astype("<i4"),
-                       parent_tables=self.parent_tables.astype("<i4"), rest=(self.root_tables, self.tokens, self.vocabulary,
-                                                                             self.ones, self.split))
+        return _packed(**vars(self))
 
     @classmethod
-    def unpacked(cls, data: bytes, p: PitmanYor) -> "Sizes":
-        x = _unpacked(data)
-        out = cls(np.zeros(p.parents * p.children, np.int64), np.zeros(p.parents * p.children, np.int64),
-                  x["parent_tables"].astype(np.int64), *x["rest"])
-        out.customers[x["at"]], out.tables[x["at"]] = x["customers"], x["tables"]
-        return out
+    def unpacked(cls, data: bytes) -> "Sizes":
+        return cls(**_unpacked(data))
 
     def plus(self, other: "Sizes") -> "Sizes":
-        split = {w: list(v) for w, v in self.split.items()}
-        for w, v in other.split.items():
-            split[w] = [a + b for a, b in zip(split.get(w, [0, 0, 0]), v)]
-        return Sizes(self.customers + other.customers, self.tables + other.tables,
-                     self.parent_tables + other.parent_tables, self.root_tables + other.root_tables,
-                     self.tokens + other.tokens, self.vocabulary + other.vocabulary, self.ones + other.ones, split)
+        return Sizes(**{k: v + getattr(other, k) for k, v in vars(self).items()})
 
     def discounts(self) -> list[float]:
         """Of the levels from the children to the root, from dishes with one and two customers."""
@@ -136,61 +135,98 @@ def reseat(c: np.ndarray, t: np.ndarray, new: np.ndarray, d: float, moves: int,
 
 
 class Bucket:
-    """The customers of one task's words in all restaurants, and their seating."""
+    """The customers of one task's words in all restaurants, and their seating.
 
-    def __init__(self, parts: list[dict], number: int, p: PitmanYor) -> None:
+    ``customers`` and ``tables`` are the sizes of the restaurants of ``contexts``: at first what this
+    bucket holds of them, then, by meet(), the sums over all buckets.
+    """
+
+    def __init__(self, parts: list[dict], number: int, p: PitmanYor, split: np.ndarray) -> None:
         self.p, self.number = p, number
         self.slices = [x["slice"] for x in parts]
         self.sizes = [len(x["context"]) for x in parts]
-        hashes = np.concatenate([x["hashes"] for x in parts])
-        self.words, place = np.unique(hashes, return_inverse=True)
-        n_contexts = p.parents * p.children
-        key = np.repeat(place, np.concatenate([x["counts"] for x in parts])) * n_contexts
-        key += np.concatenate([x["context"] for x in parts])
-        self.doc = np.concatenate([x["doc"] for x in parts]).astype(np.int64)
-        train = np.concatenate([x["train"][x["doc"]] for x in parts])
-        self.keys, self.pair = np.unique(key, return_inverse=True)
+        self.words, place = np.unique(np.concatenate([x["hashes"] for x in parts]), return_inverse=True)
+        self.contexts, context = np.unique(np.concatenate([x["context"] for x in parts]), return_inverse=True)
+        key = np.repeat(place, np.concatenate([x["counts"] for x in parts])) * len(self.contexts) + context
+        del context
+        self.doc = np.concatenate([x["doc"] for x in parts])
+        self.times = np.concatenate([x["times"] for x in parts])
+        learned = np.concatenate([x["train"] for x in parts])
+        self.keys, pair = np.unique(key, return_inverse=True)
         del key
-        self.word, self.context = self.keys // n_contexts, self.keys % n_contexts
-        group = self.word * p.parents + self.context // p.children
-        self.groups, self.group = np.unique(group, return_inverse=True)
-        self.group_word, self.parent = self.groups // p.parents, self.groups % p.parents
-        self.c2 = np.bincount(self.pair[train], minlength=len(self.keys))
+        self.pair = pair.astype(np.uint32)
+        del pair
+        word, self.context = self.keys // len(self.contexts), self.keys % len(self.contexts)
+        self.word = word.astype(np.uint32)
+        groups, self.group = np.unique(word * p.parents + self.contexts[self.context] % p.parents, return_inverse=True)
+        self.group_word, self.parent = groups // p.parents, groups % p.parents
+        self.split = np.searchsorted(split, self.words)
+        self.n_split = len(split)
+        self.is_split = np.isin(self.words, split)
+        add = lambda index, weight, n: np.bincount(index, weights=weight, minlength=n).astype(np.int64)
+        self.c2 = add(self.pair[learned], self.times[learned], len(self.keys))
         self.t2 = np.minimum(self.c2, 1)
-        self.count = np.bincount(self.word, weights=self.c2, minlength=len(self.words)).astype(np.int64)
+        self.count = add(self.word, self.c2, len(self.words))
+        self.customers = self.held(self.c2)
+        self.tables = self.held(self.t2)
+        self.shared = np.zeros(0, np.int64)
         self._upper()
-        self.t1, self.t0 = np.minimum(self.c1, 1), None
+        self.t1 = np.minimum(self.c1, 1)
         self._root()
         self.t0 = np.minimum(self.c0, 1)
 
+    def held(self, amounts: np.ndarray) -> np.ndarray:
+        """What this bucket holds of each context."""
+        return np.bincount(self.context, weights=amounts, minlength=len(self.contexts)).astype(np.int64)
+
     def _upper(self) -> None:
-        self.c1 = np.bincount(self.group, weights=self.t2, minlength=len(self.groups)).astype(np.int64)
+        self.c1 = np.bincount(self.group, weights=self.t2, minlength=len(self.group_word)).astype(np.int64)
 
     def _root(self) -> None:
         self.c0 = np.bincount(self.group_word, weights=self.t1, minlength=len(self.words)).astype(np.int64)
 
-    def chances(self, s: Sizes, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def offered(self, first: bool, n_shards: int) -> Iterator[tuple[int, bytes]]:
+        """This bucket's shares of sizes, for each shard of contexts: all at first, later those that travel."""
+        at = np.arange(len(self.contexts)) if first else self.shared
+        contexts, tables = self.contexts[at], self.held(self.t2)[at].astype("<u4")
+        shard = shard_of(contexts, n_shards, self.p)
+        cut = np.flatnonzero(np.r_[True, np.diff(shard) > 0, True]) if len(at) else [0]
+        for a, e in zip(cut, cut[1:]):
+            more = {"customers": self.customers[at[a:e]].astype("<u4")} if first else {}
+            yield int(shard[a]), _packed(bucket=self.number, contexts=contexts[a:e], tables=tables[a:e], **more)
+
+    def meet(self, answers: list[dict]) -> None:
+        """Takes the sums over all buckets, of shards in ascending order; the first ones tell which contexts travel."""
+        tables = np.concatenate([x["tables"] for x in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
+        if answers and "customers" in answers[0]:
+            self.customers = np.concatenate([x["customers"] for x in answers]).astype(np.int64)
+            self.shared = np.flatnonzero(np.concatenate([x["shared"] for x in answers]))
+            self.tables = tables
+        else:
+            self.tables = self.held(self.t2)
+            self.tables[self.shared] = tables
+
+    def chances(self, s: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictive probabilities: of words, of words in parents, and of words in restaurants."""
         d2, d1, d0 = s.discounts()
         theta = self.p.theta
         c0, t0 = self.c0.astype(float), self.t0.astype(float)
-        for w in np.flatnonzero(split).tolist():
-            c0[w], t0[w] = s.split[int(self.words[w])][1:]
+        c0[self.is_split], t0[self.is_split] = s.split[self.split[self.is_split], 1:].T
         below = 1.0 / (s.vocabulary + 1)
-        all0 = int(s.parent_tables.sum())
-        p0 = (c0 - d0 * t0 + (theta + d0 * s.root_tables) * below) / (theta + all0)
-        c1 = s.tables.reshape(self.p.parents, self.p.children).sum(axis=1)[self.parent]
-        p1 = (self.c1 - d1 * self.t1 + (theta + d1 * s.parent_tables[self.parent]) * p0[self.group_word]) / (theta + c1)
-        p2 = (self.c2 - d2 * self.t2 + (theta + d2 * s.tables[self.context]) * p1[self.group]) / (theta + s.customers[self.context])
+        p0 = (c0 - d0 * t0 + (theta + d0 * s.root_tables) * below) / (theta + int(s.parent_tables.sum()))
+        p1 = (self.c1 - d1 * self.t1 + (theta + d1 * s.parent_tables[self.parent]) * p0[self.group_word]) / (
+            theta + s.parent_customers[self.parent])
+        p2 = (self.c2 - d2 * self.t2 + (theta + d2 * self.tables)[self.context] * p1[self.group]) / (
+            theta + self.customers)[self.context]
         return p0, p1, p2
 
-    def sweep(self, s: Sizes, split: np.ndarray, number: int) -> None:
+    def sweep(self, s: Sizes, number: int) -> None:
         """Seats all customers once, level by level, against the sizes ``s``."""
         rng = np.random.default_rng([number, self.number])
         d2, d1, d0 = s.discounts()
         theta, moves = self.p.theta, self.p.moves
-        p0, p1, _ = self.chances(s, split)
-        self.t2 = reseat(self.c2, self.t2, (theta + d2 * s.tables[self.context]) * p1[self.group], d2, moves, rng)
+        p0, p1, _ = self.chances(s)
+        self.t2 = reseat(self.c2, self.t2, (theta + d2 * self.tables)[self.context] * p1[self.group], d2, moves, rng)
         self._upper()
         self.t1 = np.clip(self.t1, np.minimum(self.c1, 1), self.c1)
         self.t1 = reseat(self.c1, self.t1, (theta + d1 * s.parent_tables[self.parent]) * p0[self.group_word], d1, moves, rng)
@@ -199,15 +235,15 @@ class Bucket:
         new = np.full(len(self.words), (theta + d0 * s.root_tables) / (s.vocabulary + 1))
         self.t0 = reseat(self.c0, self.t0, new, d0, moves, rng)
 
-    def sums(self, split: np.ndarray) -> Sizes:
-        p = self.p
-        own = ~split
-        add = lambda index, weight, n: np.bincount(index, weights=weight, minlength=n).astype(np.int64)
+    def sums(self) -> Sizes:
+        p, own = self.p, ~self.is_split
+        add = lambda index, weight: np.bincount(index, weights=weight, minlength=p.parents).astype(np.int64)
+        split = np.zeros((self.n_split, 3), np.int64)
+        split[self.split[self.is_split], 0] = self.count[self.is_split]
+        split[self.split[self.is_split], 1] = self.c0[self.is_split]
         ones = np.array([[(c == 1).sum(), (c == 2).sum()] for c in (self.c2, self.c1, self.c0[own])])
-        return Sizes(add(self.context, self.c2, p.parents * p.children), add(self.context, self.t2, p.parents * p.children),
-                     add(self.parent, self.t1, p.parents), int(self.t0[own].sum()), int(self.count.sum()),
-                     int((self.count[own] > 0).sum()), ones,
-                     {int(self.words[w]): [int(self.count[w]), int(self.c0[w]), 0] for w in np.flatnonzero(split)})
+        return Sizes(add(self.parent, self.c1), add(self.parent, self.t1), split, int(self.t0[own].sum()),
+                     int(self.count.sum()), int((self.count[own] > 0).sum()), ones)
 
 
 def _deal(p: PitmanYor, n_buckets: int, split: np.ndarray):
@@ -225,35 +261,40 @@ def _deal(p: PitmanYor, n_buckets: int, split: np.ndarray):
                 own.append(END)
                 ids.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
                 sizes.append(len(own))
-            word, doc = np.concatenate(ids), np.repeat(np.arange(len(sizes)), sizes)
+            n, n_docs = len(known), len(sizes)
+            word = np.concatenate(ids)
+            # Equal tokens of a text after the same word are one entry. Texts end with END, which also begins the next.
+            entry = (word * n + np.r_[0, word[:-1]]) * n_docs + np.repeat(np.arange(n_docs), sizes)
+            entry, times = np.unique(entry, return_counts=True)
+            word, doc = entry // n_docs, entry % n_docs
+            word, before = word // n, word % n
             forms = list(known)
             hashes = word_hash(forms)
-            opened = context_class(forms, hashes, p)
-            context = opened[np.r_[0, word[:-1]]]          # texts end with END, which also begins the next
-            hot = np.isin(hashes, split)
-            part = np.where(hot[word], context // p.children % p.parts, 0).astype(np.uint64)
+            context = context_of(forms, hashes, p)[before]
+            part = np.where(np.isin(hashes, split)[word], context % p.parents, 0).astype(np.uint64)
             deal = hashes[word] + part * np.uint64(0x9E3779B97F4A7C15)
-            bucket = ((deal ^ deal >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((word, bucket))
-            word, doc, context, bucket = word[order], doc[order], context[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, np.diff(bucket) > 0, True])
+            bucket = (deal ^ deal >> np.uint64(32)) % np.uint64(n_buckets)
+            order = np.argsort(bucket.astype("<u2" if n_buckets < 1 << 16 else "<u4"), kind="stable")
+            word, doc, context, bucket, times = word[order], doc[order], context[order], bucket[order], times[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             train = np.array(batch.column("train").to_pylist(), bool)
-            kind = "<u2" if len(sizes) < 1 << 16 else "<u4"
+            kind = "<u2" if n_docs < 1 << 16 else "<u4"
             rows = []
             for a, e in zip(cut, cut[1:]):
                 first = np.flatnonzero(np.r_[True, np.diff(word[a:e]) > 0])
                 rows.append((int(bucket[a]), _packed(
-                    hashes=hashes[word[a:e][first]], counts=np.diff(np.r_[first, e - a]).astype("<u4"),
-                    context=context[a:e].astype("<u4"), doc=doc[a:e].astype(kind), train=train)))
-            rows.append((number % n_buckets, _packed(doc_ids=batch.column("doc_id").to_pylist(), sizes=sizes, train=train)))
-            yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()),
-                                   pa.array([x for _, x in rows], pa.binary())], names=["bucket", "slice", "data"])
+                    slice=number, hashes=hashes[word[a:e][first]], counts=np.diff(np.r_[first, e - a]).astype("<u4"),
+                    context=context[a:e], doc=doc[a:e].astype(kind), times=times[a:e].astype("<u4"), train=train[doc[a:e]])))
+            rows.append((number % n_buckets, _packed(slice=number, doc_ids=batch.column("doc_id").to_pylist(), sizes=sizes,
+                                                     train=train)))
+            yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
+                                  names=["bucket", "data"])
             number += 1
 
     return run
 
 
-def _hot_words(docs: DataFrame, p: PitmanYor) -> np.ndarray:
+def _hot_words(docs: DataFrame, hot: float) -> np.ndarray:
     """Words of a share of tokens over ``hot`` in a small sample: at most 1 / hot of them. Only how
     tokens are dealt out depends on it, not what comes of it."""
 
@@ -261,7 +302,7 @@ def _hot_words(docs: DataFrame, p: PitmanYor) -> np.ndarray:
         for batch in slices(batches):
             tokens = [w for t in batch.column("text").to_pylist() for w in (*words(t), END)]
             hashes, n = np.unique(word_hash(tokens), return_counts=True)
-            often = n > max(p.hot / 4 * len(tokens), 1)
+            often = n > max(hot / 4 * len(tokens), 1)
             yield pa.record_batch([pa.array(hashes[often].view(np.int64)), pa.array(n[often]),
                                    pa.array([len(tokens)] + [0] * (int(often.sum()) - 1), pa.int64())[:int(often.sum())]],
                                   names=["word", "n", "of"])
@@ -270,10 +311,43 @@ def _hot_words(docs: DataFrame, p: PitmanYor) -> np.ndarray:
     seen = sample.select("text").mapInArrow(count, "word long, n long, of long").groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("of").alias("of"))
     total = seen.agg(F.sum("of")).first()[0] or 0
-    often = seen.where(F.col("n") > p.hot * total).select("word").collect() if total else []
+    often = seen.where(F.col("n") > hot * total).select("word").collect() if total else []
     return np.sort(np.array([r.word for r in often], np.int64).view(np.uint64))
 
 
+def _own_partition(key: int) -> int:
+    return key
+
+
+def _met(rows: Iterator[tuple[int, tuple[int, bytes]]]) -> Iterator[tuple[int, tuple[int, bytes]]]:
+    """Adds up a shard's contexts over all buckets; each bucket gets the sums of the contexts it sent, in their order.
+
+    The buckets' own sums, which came along, are handed on as one.
+    """
+    parts, total, pass_number, own = [], None, 0, 0
+    for own, (pass_number, data) in rows:
+        x = _unpacked(data)
+        if "contexts" in x:
+            parts.append(x)
+        else:
+            s = Sizes(**x)
+            total = s if total is None else total.plus(s)
+    if total is not None:
+        yield own, (-1, total.packed())
+    if not parts:
+        return
+    parts.sort(key=lambda x: x["bucket"])
+    contexts, place = np.unique(np.concatenate([x["contexts"] for x in parts]), return_inverse=True)
+    add = lambda name: np.bincount(place, weights=np.concatenate([x[name] for x in parts])).astype("<u4")
+    first = "customers" in parts[0]
+    sums = {"tables": add("tables")} | ({"customers": add("customers"), "shared": np.bincount(place) > 1} if first else {})
+    at = 0
+    for x in parts:
+        mine = place[at:at + len(x["contexts"])]
+        at += len(mine)
+        yield x["bucket"], (pass_number, _packed(shard=own, **{k: v[mine] for k, v in sums.items()}))
+
+
 def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
     """For each document: doc_id, train, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -289,96 +363,103 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("train", F.lit(False)).alias("train"))
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = _hot_words(docs, p)
+    n_bytes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    n_buckets = max(-(-n_bytes // p.bucket_bytes), min(spark.sparkContext.defaultParallelism, 1 + n_bytes // 100_000))
+    split = _hot_words(docs, min(p.hot, max(0.5 / n_buckets, 1 / p.most_hot)))
     # One shuffle, whose files all passes read again; a lost one is made again from the documents.
-    dealt = (docs.mapInArrow(_deal(p, n_buckets, split), "bucket int, slice long, data binary")
-             .repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "slice").rdd)
+    dealt = (docs.mapInArrow(_deal(p, n_buckets, split), "bucket int, data binary").rdd
+             .map(lambda r: (r.bucket, (-1, bytes(r.data)))).partitionBy(n_buckets, _own_partition))
+    answers: list[RDD] = []          # of each pass, the sizes of the restaurants that a bucket holds
     known_sizes: list[Sizes] = []
 
-    def buckets(rows: Iterator[Row]) -> Iterator[tuple[Bucket | None, np.ndarray | None, list]]:
-        for number, own in groupby(rows, key=lambda r: r.bucket):
-            parts, heads = [], []
-            for r in own:
-                x = _unpacked(r.data)
-                if "doc_ids" in x:
-                    heads.append((r.slice, bytes(r.data)))
-                else:
-                    parts.append(x | {"slice": r.slice})
-            if parts:
-                b = Bucket(parts, number, p)
-                del parts
-                yield b, np.isin(b.words, split), heads
-            else:
-                yield None, None, heads
-
-    def after(b: Bucket, is_split: np.ndarray, done: list[Sizes]) -> None:
-        for i, s in enumerate(done):
-            b.sweep(s, is_split, i)
-
-    def gather(done: list[Sizes]):
-        shipped = spark.sparkContext.broadcast([s.packed() for s in done])
-
-        def run(rows):
-            sizes = [Sizes.unpacked(x, p) for x in shipped.value]
-            total = None
-            for b, is_split, _ in buckets(rows):
-                if b is not None:
-                    after(b, is_split, sizes)
-                    own = b.sums(is_split)
-                    total = own if total is None else total.plus(own)
-            return [] if total is None else [total.packed()]
-
-        def add(a: bytes, b: bytes) -> bytes:
-            return Sizes.unpacked(a, p).plus(Sizes.unpacked(b, p)).packed()
-
-        empty = Sizes(*(np.zeros(n, np.int64) for n in (p.parents * p.children, p.parents * p.children, p.parents)))
-        s = Sizes.unpacked(dealt.mapPartitions(run).treeAggregate(empty.packed(), add, add, depth=2), p)
+    def together_with_answers() -> RDD:
+        rows = dealt
+        for a in answers:
+            rows = rows.union(a)     # of one partitioner, so that nothing moves
+        assert rows.getNumPartitions() == n_buckets
+        return rows
+
+    def bucket(rows: Iterator, n_passes: int) -> tuple[Bucket | None, list[list[dict]], list[tuple[int, bytes]]]:
+        parts, heads, met = [], [], [[] for _ in range(n_passes)]
+        number = -1
+        for number, (of, data) in rows:
+            x = _unpacked(data)
+            if "shard" in x:
+                met[of].append(x)
+            elif "doc_ids" in x:
+                heads.append((x["slice"], data))
+            elif "context" in x:
+                parts.append(x)
+        parts.sort(key=lambda x: x["slice"])
+        for m in met:
+            m.sort(key=lambda x: x["shard"])
+        return (Bucket(parts, number, p, split) if parts else None), met, heads
+
+    def gather(done: list[Sizes]) -> Sizes:
+        shipped, n = spark.sparkContext.broadcast([s.packed() for s in done]), len(done)
+
+        def run(rows: Iterator) -> Iterator[tuple[int, tuple[int, bytes]]]:
+            b, met, _ = bucket(rows, n)
+            if b is None:
+                return
+            for i, s in enumerate(shipped.value):
+                b.meet(met[i])
+                b.sweep(Sizes.unpacked(s), i)
+            yield b.number, (n, b.sums().packed())
+            yield from ((shard, (n, data)) for shard, data in b.offered(n == 0, n_buckets))
+
+        answer = (together_with_answers().mapPartitions(run).partitionBy(n_buckets, _own_partition)
+                  .mapPartitions(_met).partitionBy(n_buckets, _own_partition))
+        sums = answer.filter(lambda r: r[1][0] < 0).map(lambda r: r[1][1])
+        s = Sizes.unpacked(sums.treeAggregate(
+            Sizes.empty(p, len(split)).packed(), *[lambda a, b: Sizes.unpacked(a).plus(Sizes.unpacked(b)).packed()] * 2))
+        answers.append(answer)
         # The root's tables of words that several tasks share are seated here; they are few.
-        c = np.array([v[1] for v in s.split.values()], np.int64)
+        c = s.split[:, 1]
         t = np.minimum(c, 1)
         if done and len(c):
             before = done[-1]
             d0 = before.discounts()[2]
-            t = np.clip(np.array([before.split[w][2] for w in s.split], np.int64), t, np.maximum(c, 0))
+            t = np.clip(before.split[:, 2], t, c)
             new = np.full(len(c), (p.theta + d0 * before.root_tables) / (before.vocabulary + 1))
             t = reseat(c, t, new, d0, p.moves, np.random.default_rng(len(done)))
-        for v, n in zip(s.split.values(), t.tolist()):
-            v[2] = n
+        s.split[:, 2] = t
         s.root_tables += int(t.sum())
-        s.vocabulary += sum(v[0] > 0 for v in s.split.values())
+        s.vocabulary += int((s.split[:, 0] > 0).sum())
         return s
 
-    for _ in range(p.sweeps + 1):
+    n_sweeps = p.burn_in + p.sweeps
+    for _ in range(n_sweeps + 1):
         known_sizes.append(gather(known_sizes))
-    n_tokens, vocabulary = known_sizes[0].tokens, known_sizes[0].vocabulary
+    n_tokens, vocabulary, counts = known_sizes[0].tokens, known_sizes[0].vocabulary, known_sizes[0].split[:, 0]
     shipped = spark.sparkContext.broadcast([s.packed() for s in known_sizes])
 
-    def finish(rows):
-        sizes = [Sizes.unpacked(x, p) for x in shipped.value]
-        for b, is_split, heads in buckets(rows):
-            yield from (Row(slice=s, data=x) for s, x in heads)
-            if b is None:
-                continue
-            chance = np.zeros(len(b.keys))
-            for i, s in enumerate(sizes[:-1]):
-                b.sweep(s, is_split, i)
-                chance += b.chances(sizes[i + 1], is_split)[2] / p.sweeps
-            count = b.count.copy()
-            for w in np.flatnonzero(is_split).tolist():
-                count[w] = sizes[0].split[int(b.words[w])][0]
-            own = np.log10(chance)[b.pair]
-            base = np.log10((count + 1) / (n_tokens + vocabulary + 1))[b.word][b.pair]
-            known = (count > 0)[b.word][b.pair]
-            at = 0
-            for number, n in zip(b.slices, b.sizes):
-                doc = b.doc[at:at + n]
-                part = slice(at, at + n)
-                at += n
-                distinct, place = np.unique(doc, return_inverse=True)
-                yield Row(slice=number, data=_packed(doc=distinct.astype("<u4"), score=np.bincount(place, own[part]),
-                                                     base=np.bincount(place, base[part]),
-                                                     known=np.bincount(place, known[part]).astype("<u4")))
+    def finish(rows: Iterator) -> Iterator[Row]:
+        sizes = [Sizes.unpacked(x) for x in shipped.value]
+        b, met, heads = bucket(rows, n_sweeps + 1)
+        yield from (Row(slice=s, data=x) for s, x in heads)
+        if b is None:
+            return
+        chance = np.zeros(len(b.keys))
+        b.meet(met[0])
+        for i in range(n_sweeps):
+            b.sweep(sizes[i], i)
+            b.meet(met[i + 1])
+            if i >= p.burn_in:
+                chance += b.chances(sizes[i + 1])[2] / p.sweeps
+        count = b.count.copy()
+        count[b.is_split] = counts[b.split[b.is_split]]
+        own = np.log10(chance)
+        base = np.log10((count + 1) / (n_tokens + vocabulary + 1))[b.word]
+        known = (count > 0)[b.word]
+        at = 0
+        for number, n in zip(b.slices, b.sizes):
+            part, times = b.pair[at:at + n], b.times[at:at + n]
+            distinct, place = np.unique(b.doc[at:at + n], return_inverse=True)
+            at += n
+            add = lambda x: np.bincount(place, x[part] * times)  # noqa: E731, B023
+            yield Row(slice=number, data=_packed(doc=distinct.astype("<u4"), score=add(own), base=add(base),
+                                                 known=add(known).astype("<u4")))
 
     def together(table: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in table.column("data").to_pylist()]
@@ -394,5 +475,5 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
                          pa.array(head["sizes"], pa.int64()), pa.array(known),
                          pa.array([n_tokens] * n, pa.int64()), pa.array(base), pa.array(score)], schema=_ARROW)
 
-    parts = spark.createDataFrame(dealt.mapPartitions(finish), "slice long, data binary")
+    parts = spark.createDataFrame(together_with_answers().mapPartitions(finish), "slice long, data binary")
     return parts.groupBy("slice").applyInArrow(together, RESULT)

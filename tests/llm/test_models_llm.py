@@ -46,29 +46,143 @@ def test_base_scores_and_gain_on_held_out_texts(small):
 
 def test_probabilities_sum_to_one():
     """The chances of all known words and of an unknown one sum to one in every restaurant."""
-    p = pitman_yor.PitmanYor(parents=4, children=4)
+    p = pitman_yor.PitmanYor(parents=4)
     rng = np.random.default_rng(0)
     forms = [b"w%d" % i for i in range(40)]
     # Every word is looked at once in each restaurant, outside training, and learned from at random.
-    n_contexts = p.parents * p.children
+    n_contexts = 16
     learned = np.sort(rng.zipf(1.4, 4000) % 40)
+    distinct, counts = np.unique(learned, return_counts=True)
+    looked = 40 * n_contexts
     parts = [{"slice": 0, "hashes": pitman_yor.word_hash(forms), "counts": np.full(40, n_contexts),
-              "context": np.tile(np.arange(n_contexts), 40), "doc": np.zeros(40 * n_contexts, np.int64), "train": np.array([False])},
-             {"slice": 1, "hashes": pitman_yor.word_hash([forms[i] for i in np.unique(learned)]), "counts": np.unique(learned, return_counts=True)[1],
-              "context": rng.integers(0, n_contexts, 4000), "doc": np.zeros(4000, np.int64), "train": np.array([True])}]
-    bucket, none = pitman_yor.Bucket(parts, 0, p), np.zeros(40, bool)
-    sizes = bucket.sums(none)
+              "context": np.tile(np.arange(n_contexts), 40), "doc": np.zeros(looked, np.int64),
+              "times": np.ones(looked, np.int64), "train": np.zeros(looked, bool)},
+             {"slice": 1, "hashes": pitman_yor.word_hash([forms[i] for i in distinct]), "counts": counts,
+              "context": rng.integers(0, n_contexts, 4000), "doc": np.zeros(4000, np.int64),
+              "times": rng.integers(1, 3, 4000), "train": np.ones(4000, bool)}]
+    bucket = pitman_yor.Bucket(parts, 0, p, np.zeros(0, np.uint64))
+    sizes = bucket.sums()
     for sweep in range(3):
         d2, d1, d0 = sizes.discounts()
-        known = np.bincount(bucket.context, bucket.chances(sizes, none)[2], n_contexts)
+        known = np.bincount(bucket.context, bucket.chances(sizes)[2], n_contexts)
         t1 = sizes.parent_tables
         u0 = (p.theta + d0 * sizes.root_tables) / (sizes.vocabulary + 1) / (p.theta + t1.sum())
-        u1 = (p.theta + d1 * t1) * u0 / (p.theta + sizes.tables.reshape(p.parents, -1).sum(axis=1))
-        u2 = (p.theta + d2 * sizes.tables) * u1.repeat(p.children) / (p.theta + sizes.customers)
+        u1 = (p.theta + d1 * t1) * u0 / (p.theta + sizes.parent_customers)
+        u2 = (p.theta + d2 * bucket.tables) * u1[bucket.contexts % p.parents] / (p.theta + bucket.customers)
         missing = 40 - sizes.vocabulary      # words of the forty that were not learned have the unknown one's chance
         assert known + (1 - missing) * u2 == pytest.approx(np.ones(n_contexts))
-        bucket.sweep(sizes, none, sweep)
-        sizes = bucket.sums(none)
+        bucket.sweep(sizes, sweep)
+        bucket.meet([])
+        sizes = bucket.sums()
+
+
+def plain_model(train, test, p, sweeps, seed=0):
+    """Chances of the test tokens, averaged over a Gibbs sampler that seats one customer after the other."""
+    rng = np.random.default_rng(seed)
+
+    def parent(u):
+        return int(pitman_yor.context_of([u], pitman_yor.word_hash([u]), p)[0] % p.parents)
+
+    def pairs(x):
+        return zip([b"\n", *x], x)
+
+    # Level by level: customers and tables of dishes, by restaurant.
+    c2 = Counter(pair for x in train for pair in pairs(x))
+    tables = [{k: 1 for k in c2}]
+    customers = [dict(c2)]
+    for name in (lambda k: (parent(k[0]), k[1]), lambda k: ("", k[1])):
+        customers.append(dict(Counter(name(k) for k in tables[-1])))
+        tables.append({k: 1 for k in customers[-1]})
+    up = [lambda k: (parent(k[0]), k[1]), lambda k: ("", k[1])]
+    v = len(customers[2])
+
+    def discounts():
+        out = []
+        for c in customers:
+            a, b = (sum(x == n for x in c.values()) for n in (1, 2))
+            out.append(min(max(a / max(a + 2 * b, 1), 0.1), 0.95))
+        return out
+
+    all_c, all_t = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+
+    def totals():
+        for level in range(3):
+            all_c[level].clear()
+            all_t[level].clear()
+            for k, n in customers[level].items():
+                all_c[level][k[0]] += n
+                all_t[level][k[0]] += tables[level][k]
+
+    def chance(level, k, d):
+        if level == 3:
+            return 1 / (v + 1)
+        r = k[0]
+        above = chance(level + 1, up[level](k) if level < 2 else k, d)
+        return ((customers[level].get(k, 0) - d[level] * tables[level].get(k, 0)
+                 + (p.theta + d[level] * all_t[level][r]) * above) / (p.theta + all_c[level][r]))
+
+    looked = [list(pairs(x)) for x in test]
+    mean = [np.zeros(len(x)) for x in looked]
+    for sweep in range(sweeps + sweeps // 4):
+        d = discounts()
+        for level in range(3):
+            totals()
+            for k, c in customers[level].items():
+                for _ in range(c if c > 1 else 0):
+                    t = tables[level][k]
+                    if t > 1 and rng.random() * c < t:
+                        t -= 1
+                        all_t[level][k[0]] -= 1
+                    t_left = min(t, c - 1)
+                    all_t[level][k[0]] -= t - t_left
+                    above = chance(level + 1, up[level](k) if level < 2 else k, d)
+                    new = (p.theta + d[level] * all_t[level][k[0]]) * above
+                    opens = rng.random() < new / (c - 1 - d[level] * t_left + new)
+                    tables[level][k] = t_left + opens
+                    all_t[level][k[0]] += opens
+            if level < 2:
+                sums = Counter()
+                for k, t in tables[level].items():
+                    sums[up[level](k)] += t
+                customers[level + 1] = dict(sums)
+                tables[level + 1] = {k: min(tables[level + 1][k], n) for k, n in sums.items()}
+        totals()
+        if sweep >= sweeps // 4:
+            d = discounts()
+            for x, m in zip(looked, mean):
+                m += [chance(0, k, d) / sweeps for k in x]
+    return [float(np.log10(m).sum()) for m in mean]
+
+
+def test_scores_near_those_of_a_plain_sampler(spark):
+    rng = np.random.default_rng(4)
+    forms = [f"{a}{b}" for a in ("do", "re", "mi", "fa", "sol") for b in ("lo", "ly", "ing", "er", "s", "ed")]
+    texts = []
+    for _ in range(150):
+        at, own = int(rng.integers(30)), []
+        for _ in range(int(rng.integers(3, 40))):
+            at = int((at * 7 + rng.zipf(1.7)) % 30)     # what follows depends on the word before
+            own.append(forms[at])
+        texts.append(" ".join(own))
+    p = pitman_yor.PitmanYor(parents=64, sweeps=12, burn_in=4, bucket_bytes=1_500)
+    rows = [(i, t, i % 5 > 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"),
+                                                       p).collect()}
+    train = [tokens(t) for _, t, learned in rows if learned]
+    test = [(i, tokens(t)) for i, t, learned in rows if not learned]
+    want = plain_model(train, [x for _, x in test], p, 60)
+    assert sum(got[i] for i, _ in test) == pytest.approx(sum(want), rel=0.01)
+    assert [got[i] for i, _ in test] == pytest.approx(want, rel=0.06)
+
+
+def test_contexts_meet_whatever_the_buckets(spark):
+    """What restaurants amount to does not depend on how many buckets hold them."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 500) for _ in range(80)]
+    rows = spark.createDataFrame([(i, t, i % 4 > 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    one, many = ({r.doc_id: r.score for r in pitman_yor.score(
+        rows, pitman_yor.PitmanYor(burn_in=0, sweeps=8, bucket_bytes=b)).collect()} for b in (10**9, 1_000))
+    assert [one[i] for i in range(80)] == pytest.approx([many[i] for i in range(80)], rel=0.02)
 
 
 def test_reseating_keeps_tables_possible():
