@@ -13,8 +13,10 @@ sampling seats customers against the sizes of the sweep before, as distributed s
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ class PitmanYor:
     sweeps: int = 2
     moves: int = 8
     theta: float = 1.0
-    bucket_bytes: int = 6_000_000
+    bucket_bytes: int = 16_000_000
     hot: float = 0.004
     most_hot: int = 20_000
     slice_bytes: int = 6_000_000
@@ -62,15 +64,32 @@ def word_hash(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+#: Of a context: bits of the previous word's hash within its parent. Two of a parent's n words share a
+#: restaurant with a chance of about n / 2**31 each, and nothing else comes of it.
+OWN = 31
+#: Bits of a context in all, with up to 1024 parents before.
+CONTEXT = OWN + 10
+
+
 def context_of(words: list[bytes], hashes: np.ndarray, p: PitmanYor) -> np.ndarray:
-    """The restaurant that a word opens for the next: 53 bits of its hash, then the number of its parent."""
+    """The restaurant that a word opens for the next: the number of its parent, then 31 bits of its hash."""
     ends = np.fromiter((xxhash.xxh32_intdigest(w[-2:]) for w in words), np.int64, len(words))
-    return (hashes >> np.uint64(11)).astype(np.int64) * p.parents + ends % p.parents
+    return (ends % p.parents << OWN) + (hashes >> np.uint64(64 - OWN)).astype(np.int64)
+
+
+def shard_of(contexts: np.ndarray, n: int) -> np.ndarray:
+    """Contexts dealt by hash, about equal in number."""
+    return (contexts & (1 << OWN) - 1) * n >> OWN
 
 
-def shard_of(contexts: np.ndarray, n: int, p: PitmanYor) -> np.ndarray:
-    """Ranges of contexts, about equal in number; those of ascending contexts ascend."""
-    return (contexts // p.parents >> 21) * n >> 32
+def distinct_pairs(place: np.ndarray, contexts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context of each distinct pair, ascending, and the pair of each entry."""
+    if n_words < 1 << 63 - CONTEXT:
+        keys, pair = np.unique((place << CONTEXT) + contexts, return_inverse=True)
+        return keys >> CONTEXT, keys & (1 << CONTEXT) - 1, pair
+    forms, at = np.unique(contexts, return_inverse=True)
+    keys, pair = np.unique(place * len(forms) + at, return_inverse=True)
+    return keys // len(forms), forms[keys % len(forms)], pair
 
 
 @dataclass
@@ -144,32 +163,34 @@ class Bucket:
     def __init__(self, parts: list[dict], number: int, p: PitmanYor, split: np.ndarray) -> None:
         self.p, self.number = p, number
         self.slices = [x["slice"] for x in parts]
-        self.sizes = [len(x["context"]) for x in parts]
+        self.sizes = [len(x["own"]) for x in parts]
         self.words, place = np.unique(np.concatenate([x["hashes"] for x in parts]), return_inverse=True)
-        self.contexts, context = np.unique(np.concatenate([x["context"] for x in parts]), return_inverse=True)
-        key = np.repeat(place, np.concatenate([x["counts"] for x in parts])) * len(self.contexts) + context
-        del context
+        place = np.repeat(place, np.concatenate([x["counts"] for x in parts]))
+        contexts = np.concatenate([x["parent"] for x in parts]).astype(np.int64) << OWN
+        contexts += np.concatenate([x["own"] for x in parts])
+        word, context, pair = distinct_pairs(place, contexts, len(self.words))
+        del place, contexts
         self.doc = np.concatenate([x["doc"] for x in parts])
         self.times = np.concatenate([x["times"] for x in parts])
         learned = np.concatenate([x["train"] for x in parts])
-        self.keys, pair = np.unique(key, return_inverse=True)
-        del key
-        self.pair = pair.astype(np.uint32)
+        self.pair, self.word = pair.astype(np.uint32), word.astype(np.uint32)
         del pair
-        word, self.context = self.keys // len(self.contexts), self.keys % len(self.contexts)
-        self.word = word.astype(np.uint32)
-        groups, self.group = np.unique(word * p.parents + self.contexts[self.context] % p.parents, return_inverse=True)
-        self.group_word, self.parent = groups // p.parents, groups % p.parents
+        self.contexts, self.context = np.unique(context, return_inverse=True)
+        # Pairs ascend by word, parent and context, so those of a word in a parent are neighbours.
+        parent = context >> OWN
+        new = np.r_[True, (word[1:] != word[:-1]) | (parent[1:] != parent[:-1])]
+        self.group, self.group_word, self.parent = np.cumsum(new) - 1, word[new], parent[new]
+        del word, context, parent
         self.split = np.searchsorted(split, self.words)
         self.n_split = len(split)
         self.is_split = np.isin(self.words, split)
         add = lambda index, weight, n: np.bincount(index, weights=weight, minlength=n).astype(np.int64)
-        self.c2 = add(self.pair[learned], self.times[learned], len(self.keys))
+        self.c2 = add(self.pair[learned], self.times[learned], len(self.word))
         self.t2 = np.minimum(self.c2, 1)
         self.count = add(self.word, self.c2, len(self.words))
         self.customers = self.held(self.c2)
         self.tables = self.held(self.t2)
-        self.shared = np.zeros(0, np.int64)
+        self.travels = np.arange(len(self.contexts))      # places of contexts, by shard
         self._upper()
         self.t1 = np.minimum(self.c1, 1)
         self._root()
@@ -185,26 +206,30 @@ class Bucket:
     def _root(self) -> None:
         self.c0 = np.bincount(self.group_word, weights=self.t1, minlength=len(self.words)).astype(np.int64)
 
-    def offered(self, first: bool, n_shards: int) -> Iterator[tuple[int, bytes]]:
+    def offered(self, n_shards: int, first: bool) -> Iterator[tuple[int, bytes]]:
         """This bucket's shares of sizes, for each shard of contexts: all at first, later those that travel."""
-        at = np.arange(len(self.contexts)) if first else self.shared
-        contexts, tables = self.contexts[at], self.held(self.t2)[at].astype("<u4")
-        shard = shard_of(contexts, n_shards, self.p)
-        cut = np.flatnonzero(np.r_[True, np.diff(shard) > 0, True]) if len(at) else [0]
+        self._by_shard(n_shards)
+        shard = shard_of(self.contexts[self.travels], n_shards)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else [0]
+        tables = self.held(self.t2)
         for a, e in zip(cut, cut[1:]):
-            more = {"customers": self.customers[at[a:e]].astype("<u4")} if first else {}
-            yield int(shard[a]), _packed(bucket=self.number, contexts=contexts[a:e], tables=tables[a:e], **more)
+            at = self.travels[a:e]
+            more = {"customers": self.customers[at].astype("<u4")} if first else {}
+            yield int(shard[a]), _packed(bucket=self.number, contexts=self.contexts[at], tables=tables[at].astype("<u4"), **more)
 
-    def meet(self, answers: list[dict]) -> None:
+    def _by_shard(self, n_shards: int) -> None:
+        shard = shard_of(self.contexts[self.travels], n_shards)
+        self.travels = self.travels[np.argsort(shard.astype("<u2" if n_shards < 1 << 16 else "<u4"), kind="stable")]
+
+    def meet(self, answers: list[dict], n_shards: int) -> None:
         """Takes the sums over all buckets, of shards in ascending order; the first ones tell which contexts travel."""
-        tables = np.concatenate([x["tables"] for x in answers]).astype(np.int64) if answers else np.zeros(0, np.int64)
-        if answers and "customers" in answers[0]:
-            self.customers = np.concatenate([x["customers"] for x in answers]).astype(np.int64)
-            self.shared = np.flatnonzero(np.concatenate([x["shared"] for x in answers]))
-            self.tables = tables
-        else:
-            self.tables = self.held(self.t2)
-            self.tables[self.shared] = tables
+        self._by_shard(n_shards)
+        self.tables = self.held(self.t2)
+        if answers:
+            self.tables[self.travels] = np.concatenate([x["tables"] for x in answers])
+            if "customers" in answers[0]:
+                self.customers[self.travels] = np.concatenate([x["customers"] for x in answers])
+                self.travels = np.sort(self.travels[np.concatenate([x["shared"] for x in answers])])
 
     def chances(self, s: Sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictive probabilities: of words, of words in parents, and of words in restaurants."""
@@ -252,12 +277,11 @@ def _deal(p: PitmanYor, n_buckets: int, split: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, limit=p.slice_bytes):
-            known: dict[bytes, int] = {END: 0}
+            known: dict[bytes, int] = defaultdict(count().__next__)     # numbers in the order of first sight
+            known[END]
             ids, sizes = [], []
             for text in batch.column("text").to_pylist():
                 own = words(text)
-                for w in set(own):
-                    known.setdefault(w, len(known))
                 own.append(END)
                 ids.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
                 sizes.append(len(own))
@@ -271,7 +295,7 @@ def _deal(p: PitmanYor, n_buckets: int, split: np.ndarray):
             forms = list(known)
             hashes = word_hash(forms)
             context = context_of(forms, hashes, p)[before]
-            part = np.where(np.isin(hashes, split)[word], context % p.parents, 0).astype(np.uint64)
+            part = np.where(np.isin(hashes, split)[word], context >> OWN, 0).astype(np.uint64)
             deal = hashes[word] + part * np.uint64(0x9E3779B97F4A7C15)
             bucket = (deal ^ deal >> np.uint64(32)) % np.uint64(n_buckets)
             order = np.argsort(bucket.astype("<u2" if n_buckets < 1 << 16 else "<u4"), kind="stable")
@@ -284,7 +308,8 @@ def _deal(p: PitmanYor, n_buckets: int, split: np.ndarray):
                 first = np.flatnonzero(np.r_[True, np.diff(word[a:e]) > 0])
                 rows.append((int(bucket[a]), _packed(
                     slice=number, hashes=hashes[word[a:e][first]], counts=np.diff(np.r_[first, e - a]).astype("<u4"),
-                    context=context[a:e], doc=doc[a:e].astype(kind), times=times[a:e].astype("<u4"), train=train[doc[a:e]])))
+                    parent=(context[a:e] >> OWN).astype("<u2"), own=(context[a:e] & (1 << OWN) - 1).astype("<u4"),
+                    doc=doc[a:e].astype(kind), times=times[a:e].astype("<u4"), train=train[doc[a:e]])))
             rows.append((number % n_buckets, _packed(slice=number, doc_ids=batch.column("doc_id").to_pylist(), sizes=sizes,
                                                      train=train)))
             yield pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())],
@@ -388,7 +413,7 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
                 met[of].append(x)
             elif "doc_ids" in x:
                 heads.append((x["slice"], data))
-            elif "context" in x:
+            elif "own" in x:
                 parts.append(x)
         parts.sort(key=lambda x: x["slice"])
         for m in met:
@@ -403,10 +428,10 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
             if b is None:
                 return
             for i, s in enumerate(shipped.value):
-                b.meet(met[i])
+                b.meet(met[i], n_buckets)
                 b.sweep(Sizes.unpacked(s), i)
             yield b.number, (n, b.sums().packed())
-            yield from ((shard, (n, data)) for shard, data in b.offered(n == 0, n_buckets))
+            yield from ((shard, (n, data)) for shard, data in b.offered(n_buckets, n == 0))
 
         answer = (together_with_answers().mapPartitions(run).partitionBy(n_buckets, _own_partition)
                   .mapPartitions(_met).partitionBy(n_buckets, _own_partition))
@@ -440,18 +465,18 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
         yield from (Row(slice=s, data=x) for s, x in heads)
         if b is None:
             return
-        chance = np.zeros(len(b.keys))
-        b.meet(met[0])
+        chance = np.zeros(len(b.word))
+        b.meet(met[0], n_buckets)
         for i in range(n_sweeps):
             b.sweep(sizes[i], i)
-            b.meet(met[i + 1])
+            b.meet(met[i + 1], n_buckets)
             if i >= p.burn_in:
                 chance += b.chances(sizes[i + 1])[2] / p.sweeps
-        count = b.count.copy()
-        count[b.is_split] = counts[b.split[b.is_split]]
+        seen = b.count.copy()
+        seen[b.is_split] = counts[b.split[b.is_split]]
         own = np.log10(chance)
-        base = np.log10((count + 1) / (n_tokens + vocabulary + 1))[b.word]
-        known = (count > 0)[b.word]
+        base = np.log10((seen + 1) / (n_tokens + vocabulary + 1))[b.word]
+        known = (seen > 0)[b.word]
         at = 0
         for number, n in zip(b.slices, b.sizes):
             part, times = b.pair[at:at + n], b.times[at:at + n]

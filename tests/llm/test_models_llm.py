@@ -51,14 +51,14 @@ def test_probabilities_sum_to_one():
     forms = [b"w%d" % i for i in range(40)]
     # Every word is looked at once in each restaurant, outside training, and learned from at random.
     n_contexts = 16
-    learned = np.sort(rng.zipf(1.4, 4000) % 40)
+    learned, after = np.sort(rng.zipf(1.4, 4000) % 40), rng.integers(0, n_contexts, 4000)
     distinct, counts = np.unique(learned, return_counts=True)
     looked = 40 * n_contexts
     parts = [{"slice": 0, "hashes": pitman_yor.word_hash(forms), "counts": np.full(40, n_contexts),
-              "context": np.tile(np.arange(n_contexts), 40), "doc": np.zeros(looked, np.int64),
+              "parent": np.tile(np.arange(n_contexts) % 4, 40), "own": np.tile(np.arange(n_contexts), 40), "doc": np.zeros(looked, np.int64),
               "times": np.ones(looked, np.int64), "train": np.zeros(looked, bool)},
              {"slice": 1, "hashes": pitman_yor.word_hash([forms[i] for i in distinct]), "counts": counts,
-              "context": rng.integers(0, n_contexts, 4000), "doc": np.zeros(4000, np.int64),
+              "parent": after % 4, "own": after, "doc": np.zeros(4000, np.int64),
               "times": rng.integers(1, 3, 4000), "train": np.ones(4000, bool)}]
     bucket = pitman_yor.Bucket(parts, 0, p, np.zeros(0, np.uint64))
     sizes = bucket.sums()
@@ -68,11 +68,11 @@ def test_probabilities_sum_to_one():
         t1 = sizes.parent_tables
         u0 = (p.theta + d0 * sizes.root_tables) / (sizes.vocabulary + 1) / (p.theta + t1.sum())
         u1 = (p.theta + d1 * t1) * u0 / (p.theta + sizes.parent_customers)
-        u2 = (p.theta + d2 * bucket.tables) * u1[bucket.contexts % p.parents] / (p.theta + bucket.customers)
+        u2 = (p.theta + d2 * bucket.tables) * u1[bucket.contexts >> pitman_yor.OWN] / (p.theta + bucket.customers)
         missing = 40 - sizes.vocabulary      # words of the forty that were not learned have the unknown one's chance
         assert known + (1 - missing) * u2 == pytest.approx(np.ones(n_contexts))
         bucket.sweep(sizes, sweep)
-        bucket.meet([])
+        bucket.meet([], 1)
         sizes = bucket.sums()
 
 
@@ -81,7 +81,7 @@ def plain_model(train, test, p, sweeps, seed=0):
     rng = np.random.default_rng(seed)
 
     def parent(u):
-        return int(pitman_yor.context_of([u], pitman_yor.word_hash([u]), p)[0] % p.parents)
+        return int(pitman_yor.context_of([u], pitman_yor.word_hash([u]), p)[0] >> pitman_yor.OWN)
 
     def pairs(x):
         return zip([b"\n", *x], x)
@@ -175,6 +175,13 @@ def test_scores_near_those_of_a_plain_sampler(spark):
     assert [got[i] for i, _ in test] == pytest.approx(want, rel=0.06)
 
 
+def test_pairs_of_very_many_words_are_told_apart():
+    rng = np.random.default_rng(6)
+    place, contexts = rng.integers(0, 30, 900), rng.integers(0, 50, 900) << 20
+    for few, many in zip(pitman_yor.distinct_pairs(place, contexts, 30), pitman_yor.distinct_pairs(place, contexts, 1 << 40)):
+        assert (few == many).all()
+
+
 def test_contexts_meet_whatever_the_buckets(spark):
     """What restaurants amount to does not depend on how many buckets hold them."""
     rng = np.random.default_rng(5)
