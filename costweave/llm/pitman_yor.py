@@ -401,7 +401,7 @@ def score(docs: DataFrame, p: PitmanYor = PitmanYor()) -> DataFrame:
         rows = dealt
         for a in answers:
             rows = rows.union(a)     # of one partitioner, so that nothing moves
-        assert rows.getNumPartitions() == n_buckets
+        assert rows.getNumPartitions() == dealt.getNumPartitions()
         return rows
 
     def bucket(rows: Iterator, n_passes: int) -> tuple[Bucket | None, list[list[dict]], list[tuple[int, bytes]]]:
