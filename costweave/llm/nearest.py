@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     x = F.col("vec")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     own = (vectors.select(F.col(vec_id).cast("long").alias("vec_id"),
-                          F.col(embedding).cast("array<float>").alias("vec"))
+                          F.col(embedding).cast("array<double>").alias("vec"))
            .where("vec_id IS NOT NULL AND vec IS NOT NULL").where(~bad)
            .where(F.exists(x, lambda v: v != 0)))
     length = (own.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("times"))
@@ -45,8 +46,14 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    return flat.reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def rough(x: np.ndarray) -> np.ndarray:
+    """Single precision of about unit length, which is enough to choose cells: the order of a query's cells and
+    the cell of a vector do not depend on the query's length, and huge or tiny vectors stay finite."""
+    scale = np.abs(x).max(axis=-1, keepdims=True)
+    return (x / np.where(scale > 0, scale, 1)).astype(np.float32)
 
 
 def nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -98,11 +105,11 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, rows
          k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k rows of largest exact inner product, ties to the smaller id, without ``own``."""
     rows = rows[ids[rows] != own]
-    rough = vectors[rows] @ query
+    near = vectors[rows] @ query
     if len(rows) > k:
-        slack = 1e-5 * (1 + float(np.abs(rough).max()))
-        rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
-    exact = (vectors[rows].astype(np.float64) * query.astype(np.float64)).sum(axis=1)
+        slack = 1e-9 * (1 + float(np.abs(near).max()))
+        rows = rows[near >= np.partition(near, len(near) - k)[len(near) - k] - slack]
+    exact = (vectors[rows] * query).sum(axis=1)
     order = np.lexsort((ids[rows], -exact))[:k]
     return ids[rows[order]], exact[order]
 
@@ -112,7 +119,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
     """The k nearest of each query found in the cells it visits: query_id, rank, vec_id, score.
 
     ``is_query`` is a condition on vec_id. Centroids come from a bounded sample, but every
-    vector is indexed and may be found. Cells are packed into shards of bounded size, and a
+    vector is indexed and may be found. Scores are in double precision on the original vectors. Cells are packed into shards of bounded size, and a
     cell larger than a shard is split over several. Vectors that cannot be compared (see
     ``usable``) take no part. Of a repeated vec_id every row is a candidate, except for the
     query of that id; as a query it counts once, with its smallest vector. An empty table or
@@ -123,7 +130,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("vec").toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.stack(sample["vec"].to_numpy()).astype(np.float32)
+    x = np.stack(sample["vec"].to_numpy())
+    length = float(np.median(np.abs(x).max(axis=1)))      # one scale for all, so that lengths keep their meaning
+
+    def scaled(v: np.ndarray) -> np.ndarray:
+        """What chooses a vector's cell: single precision is enough, and huge components stay finite."""
+        return np.clip(v / length, -1e9, 1e9).astype(np.float32)
+
+    x = scaled(x)
     half = x.shape[1] // 2
     c1, c2 = (fit(part, p.centroids, p.rounds, seed)
               for seed, part in enumerate((x[:, :half], x[:, half:])))
@@ -131,12 +145,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column("vec"))
+            v = scaled(matrix(batch.column("vec")))
             cell = nearest_centroid(v[:, :half], c1) * wide + nearest_centroid(v[:, half:], c2)
             yield pa.record_batch([batch.column("vec_id"), pa.array(cell, pa.int32()),
                                    batch.column("vec")], names=["vec_id", "cell", "vec"])
 
-    index = written(rows.mapInArrow(assign, "vec_id long, cell int, vec array<float>"), "cells")
+    index = written(rows.mapInArrow(assign, "vec_id long, cell int, vec array<double>"), "cells")
     count = np.zeros(n_cells, np.int64)
     for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect():   # at most n_cells rows
         count[r.cell] = r.n
@@ -150,7 +164,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
         held += int(count[cell])
         if parts[cell] > 1:
             shard, held = shard + int(parts[cell]), 0
-    enough = max(int(p.share * total), 50 * k)
+    enough = max(math.ceil(p.share * total), k + 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +178,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
         for batch in batches:
             out = []
             v = matrix(batch.column("vec"))
-            for q, qid in zip(v, batch.column("vec_id").to_pylist()):
-                cells = np.array(traverse(c1 @ q[:half], c2 @ q[half:], count, enough))
+            for q, r, qid in zip(v, rough(v), batch.column("vec_id").to_pylist()):
+                cells = np.array(traverse(c1 @ r[:half], c2 @ r[half:], count, enough))
                 cells = np.repeat(cells, parts[cells])
                 within = np.r_[True, cells[1:] != cells[:-1]]
                 run = np.arange(len(cells)) - np.maximum.accumulate(np.where(within, np.arange(len(cells)), 0))
@@ -176,7 +190,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
                         for s, e in zip(cut, cut[1:])]
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()),
                                    pa.array([o[1] for o in out], pa.int64()),
-                                   pa.array([o[2] for o in out], pa.list_(pa.float32())),
+                                   pa.array([o[2] for o in out], pa.list_(pa.float64())),
                                    pa.array([o[3] for o in out], pa.binary())],
                                   names=["shard", "query_id", "query", "cells"])
 
@@ -191,7 +205,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
                                        for c in ("query_id", "query", "cells"))):
                 cells = np.frombuffer(cells, "<i4")
                 visited[cells] = True
-                near, score = best(np.array(q, np.float32), qid, ids, v,
+                near, score = best(np.array(q, np.float64), qid, ids, v,
                                    np.flatnonzero(visited[cell]), k)
                 visited[cells] = False
                 found.append((np.full(len(near), qid), near, score))
@@ -204,11 +218,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, p: MultiIndex = Mu
     n_blocks = -(-queries.count() // p.queries)
     if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    probes = (queries.repartition(4 * n_blocks + 8, "vec_id")
-              .mapInArrow(probe, "shard long, query_id long, query array<float>, cells binary")
+    # Dealt by another key than the aggregate's, so that no earlier partitioning is taken for this one.
+    probes = (queries.repartition(4 * n_blocks + 8, F.xxhash64("vec_id", F.lit("probe")))
+              .mapInArrow(probe, "shard long, query_id long, query array<double>, cells binary")
               .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))))
     placed = (index.withColumn("spread", F.shiftrightunsigned(F.xxhash64("vec_id"), 1))
-              .mapInArrow(place, "shard long, vec_id long, cell int, vec array<float>")
+              .mapInArrow(place, "shard long, vec_id long, cell int, vec array<double>")
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
                           if n_blocks > 1 else F.lit(0)).withColumn("block", F.col("block").cast("long")))
     found = (placed.groupBy("shard", "block").cogroup(probes.groupBy("shard", "block"))

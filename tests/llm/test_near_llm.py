@@ -93,8 +93,45 @@ def test_connected_chain_and_ring(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
 
 
-def test_recall_and_order(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+def visited_share(monkeypatch, shares):
+    """Notes the part of all vectors in the cells that each query visits."""
+    own = nearest.traverse
+
+    def noted(first, second, count, enough):
+        cells = own(first, second, count, enough)
+        shares.append(count[cells].sum() / count.sum())
+        return cells
+
+    monkeypatch.setattr(nearest, "traverse", noted)
+
+
+def test_queries_visit_under_half_of_the_vectors(monkeypatch):
+    """The recall below is not that of a full scan, also in a small table."""
+    shares = []
+    visited_share(monkeypatch, shares)
+    rng = np.random.default_rng(3)
+    count = rng.integers(0, 3, 64 * 64)
+    for _ in range(20):
+        nearest.traverse(rng.normal(size=64), rng.normal(size=64), count, int(np.ceil(nearest.MultiIndex().share * count.sum())))
+    assert max(shares) < 0.5
+
+
+def test_scores_of_doubles_are_exact_at_any_length(spark):
+    rng = np.random.default_rng(8)
+    data = {i: rng.normal(size=6) * 10.0 ** (0 if i < 200 else rng.integers(-60, 60)) for i in range(260)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "vec_id long, embedding array<double>")
+    rows = nearest.search(table, F.expr("vec_id < 40"), k=5, p=nearest.MultiIndex(share=1.0)).collect()
+    assert len(rows) == 200
+    for q in range(40):
+        own = sorted((r for r in rows if r.query_id == q), key=lambda r: r.rank)
+        exact = {i: float((v * data[q]).sum()) for i, v in data.items() if i != q}
+        assert [r.vec_id for r in own] == sorted(exact, key=lambda i: (-exact[i], i))[:5]
+        assert all(r.score == pytest.approx(exact[r.vec_id], rel=1e-12) for r in own)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_order(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = nearest.search(table, F.expr("vec_id % 20 = 0")).collect()
     data = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
     ids = np.array(sorted(data))
