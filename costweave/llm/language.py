@@ -113,10 +113,18 @@ def learn(docs: DataFrame, p: LanguageId = LanguageId()) -> Model | None:
     Each gives its whole text and two short spans of it as examples. Four fifths train the
     model; the rest set the softmax's temperature and the rejection threshold.
     """
+    labelled = (docs.select(F.col("doc_id").cast("long"), "lang")
+                .where("doc_id IS NOT NULL AND lang IS NOT NULL")
+                .where(remainder_of_crc(F.col("doc_id"), 4) != 2)
+                .withColumn("range", F.shiftright(F.xxhash64("doc_id"), 52)))
+    # Counts over 4096 ranges of the hash tell how far a language's first rows reach, so that only these
+    # are sorted, not all rows of a language in one task.
+    ranges = labelled.groupBy("lang", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    reach = (ranges.withColumn("before", before).where(F.col("before") < p.rows)
+             .groupBy("lang").agg(F.max("range").alias("last")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (docs.select(F.col("doc_id").cast("long"), "lang")
-              .where("doc_id IS NOT NULL AND lang IS NOT NULL")
-              .where(remainder_of_crc(F.col("doc_id"), 4) != 2)
+    chosen = (labelled.join(reach, "lang").where("range <= last")
               .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= p.rows)
               .orderBy("nth", "lang").limit(p.rows).select("doc_id").distinct())
 
@@ -142,13 +150,12 @@ def learn(docs: DataFrame, p: LanguageId = LanguageId()) -> Model | None:
             .join(F.broadcast(chosen), "doc_id")
             .mapInArrow(examples, "doc_id long, lang string, bucket array<int>, weight array<float>"))
     # Bounded by p.rows; sorted so that the model does not depend on the order of tasks.
-    seen = written(rows, "examples").toPandas().sort_values(["doc_id", "lang"], kind="stable")
+    seen = written(rows, "examples").toArrow().to_pandas().sort_values(["doc_id", "lang"], kind="stable")
     if not len(seen):
         return None
     languages = sorted(set(seen["lang"]))
     code = {lang: i for i, lang in enumerate(languages)}
-    made = [(np.asarray(b, np.int64), np.asarray(w, np.float64), code[lang])
-            for b, w, lang in zip(seen["bucket"], seen["weight"], seen["lang"])]
+    made = [(b, w, code[lang]) for b, w, lang in zip(seen["bucket"], seen["weight"], seen["lang"])]   # 32-bit arrays
     fifth = (seen["doc_id"] % 5 == 0).to_numpy()
     fold_in = [m for m, f in zip(made, fifth) if not f] or made
     fold_out = [m for m, f in zip(made, fifth) if f] or made
