@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from costweave.schema import CONTRACT, PARTITION_COLUMNS, contract
+from costweave.session import compiled
 from costweave.sources.period import Period
 
 
@@ -83,21 +84,27 @@ def flatten_map(df: DataFrame, map_column: str, keys: Iterable[str], prefix: str
 
 
 def write_partitioned(df: DataFrame, root: str, sort_by: Iterable[str] = (),
-                      max_records_per_file: int = 20_000_000) -> None:
+                      max_records_per_file: int = 20_000_000,
+                      widened: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write ``year=/month=`` Parquet, replacing only the months present in ``df``.
 
     Re-delivering a month is idempotent. The REBALANCE hint lets AQE split a month that
     holds most of the rows over many writers and merge small ones, so one big month is
     never one task. Sorting inside each task makes row-group statistics useful for later
-    filters on the sort columns.
+    filters on the sort columns. ``widened`` works out further columns of rows that already lie in
+    their place, so that only what it works them out from is shuffled and sorted; it keeps rows,
+    their order and the partition columns.
     """
     out = df.hint("rebalance", *[F.col(c) for c in PARTITION_COLUMNS])
     out = out.sortWithinPartitions(*PARTITION_COLUMNS, *sort_by)
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*PARTITION_COLUMNS).parquet(root))
+    if widened is not None:
+        out = widened(out)
+    with compiled(df.sparkSession):
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", max_records_per_file)
+            .partitionBy(*PARTITION_COLUMNS).parquet(root))
 
 
-def write_billing(df: DataFrame, root: str) -> None:
+def write_billing(df: DataFrame, root: str, widened: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Write billing rows, clustered by product and time inside each month."""
-    write_partitioned(df, root, ("line_item_product_code", "line_item_usage_start_date"))
+    write_partitioned(df, root, ("line_item_product_code", "line_item_usage_start_date"), widened=widened)

@@ -7,6 +7,8 @@ which the two engines spell differently. Costs are whole units so that sums are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from costweave.sources.billing_table import conform
@@ -152,10 +154,29 @@ def _select(frame: DataFrame, mapping: list[tuple[str, str]]) -> DataFrame:
                               for name, sql in mapping])
 
 
+#: The mapped columns by which billing rows are told apart, dealt out and sorted.
+PLACED = ("line_item_usage_start_date", "year", "month", "line_item_product_code")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.selectExpr("*", f"{LINEITEM_T} AS t")
+
+
 def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billing rows with only the mapped columns."""
-    lines = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{sf_dir}/lineitem.parquet")
-    return _select(lines.selectExpr("*", f"{LINEITEM_T} AS t"), LINEITEM_MAP)
+    return _select(_lines(spark, sf_dir), LINEITEM_MAP)
+
+
+def lineitem_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's own columns beside those of PLACED: what ``lineitem_widened`` makes ``lineitem_rows`` of."""
+    used = [c for c in _lines(spark, sf_dir).columns if any(re.search(rf"\b{c}\b", sql) for _, sql in LINEITEM_MAP)]
+    return _select(_lines(spark, sf_dir), [(c, c) for c in used] + [m for m in LINEITEM_MAP if m[0] in PLACED])
+
+
+def lineitem_widened(placed: DataFrame) -> DataFrame:
+    """The rows of ``lineitem_rows``, made of those of ``lineitem_placed`` wherever they lie by then."""
+    return _select(placed, [(n, n if n in PLACED else sql) for n, sql in LINEITEM_MAP])
 
 
 def lineitem_billing(spark: SparkSession, sf_dir: str) -> DataFrame:

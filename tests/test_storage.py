@@ -1,5 +1,6 @@
 """Reading and writing the partitioned table, legacy deliveries, rollups."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -294,3 +295,31 @@ def test_sketches_merge_within_their_error(spark, tmp_path):
     (one,) = R.distinct_from(stored, months).collect()
     assert abs(one.distinct_accounts / 40_000 - 1) < 0.05 and one.distinct_resources == 7
     assert stored.count() == 2                                    # a row a month, whatever the number of accounts
+
+
+def test_billing_rows_are_shuffled_and_sorted_before_they_are_widened(spark, tmp_path):
+    from costweave.session import HUGE_METHOD
+    from costweave.sources import sample
+    from costweave.sources.billing_table import write_billing
+
+    (spark.createDataFrame([(k, 7 * k, 3 * k, 1 + k % 7, float(k), 10.5 * k, 0.0, 0.0, "A", "F",
+                             None if k == 5 else dt.datetime(1998, 1 + k % 3, 1 + k % 28)) for k in range(90)],
+                           sample.LINEITEM_SCHEMA).write.parquet(f"{tmp_path}/lineitem.parquet"))
+    rows, placed, plans = sample.lineitem_rows(spark, tmp_path), sample.lineitem_placed(spark, tmp_path), []
+    assert sample.lineitem_widened(placed).schema == rows.schema
+    assert sorted(map(str, sample.lineitem_widened(placed).collect())) == sorted(map(str, rows.collect()))
+
+    def widened(lying):
+        plans.append((lying._jdf.queryExecution().optimizedPlan().toString(), lying.columns))
+        return sample.lineitem_widened(lying)
+
+    own = spark.conf.get(HUGE_METHOD)
+    write_billing(placed, f"{tmp_path}/narrow", widened)
+    write_billing(rows, f"{tmp_path}/wide")
+    assert spark.conf.get(HUGE_METHOD) == own
+    (plan, columns), = plans
+    assert "Sort [" in plan and "RebalancePartitions" in plan and "pricing_public_on_demand_cost" not in columns
+    assert len(columns) < len(rows.columns) / 2
+    narrow, wide = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("narrow", "wide"))
+    assert sorted(narrow.columns) == sorted(wide.columns) == sorted(rows.columns)
+    assert sorted(map(str, narrow.select(rows.columns).collect())) == sorted(map(str, wide.select(rows.columns).collect()))
