@@ -19,9 +19,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of smallest doc_id: texts that share
-    four fifths of their five-word shingles. (4 words and 4 bits are those of op10 alone.)"""
-    return simhash.one_of_each(docs, minhash.near_duplicates, least=0.8, width=5, empty_alike=True)
+    """One document of each group of near-duplicates, the one of smallest doc_id. Documents are linked by op10's
+    fingerprints (4-word shingles, 4 bits), and where at least four fifths of their five-word shingles are shared,
+    which a radius of 4 does not reach."""
+    def similar(texts: DataFrame) -> DataFrame:
+        return minhash.near_duplicates(texts, least=0.8, width=5, empty_alike=True)
+
+    return simhash.one_of_each(docs, lambda texts: simhash.alike_by_any(texts, simhash.near_duplicates, similar))
 
 
 @shipped

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -202,6 +203,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")))
 
 
+def alike_by_any(docs: DataFrame, *finds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id and component_id by the links of all ``finds`` together, each giving doc_id and component_id.
+
+    A doc_id stands for one text here. A component is linked to its smallest doc_id, so these links join the
+    components of one find that share a document in another's.
+    """
+    spark, found = docs.sparkSession, []
+    for find in finds:
+        with passing_tables(spark):
+            found.append(written(find(docs).select("doc_id", "component_id"), "found", kept=True))
+    every = found[0].select("doc_id")
+    links = reduce(DataFrame.union, found).where("doc_id <> component_id").toDF("a", "b").distinct()
+    with passing_tables(spark):
+        roots = written(connected(links), "roots", kept=True)
+    return every.join(roots, every.doc_id == roots.node, "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
 def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates, **settings) -> DataFrame:
     """The documents without near-duplicates: of each component that ``find`` gives, the one of
     smallest doc_id.

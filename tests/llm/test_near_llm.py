@@ -250,6 +250,27 @@ def test_pipeline_stage_links_what_shares_four_fifths_of_five_word_shingles(spar
     assert kept == {d for d in own if want[d] == d}
 
 
+def test_pipeline_stage_links_by_fingerprints_too(spark):
+    """Texts of few different shingles: their fingerprints are within 4 bits, their sets below four fifths."""
+    common = " ".join(["one"] * 200)
+    rows = [(1, f"{common} alpha beta gamma delta"), (2, f"{common} red green blue grey"),
+            (3, " ".join(f"q{i}" for i in range(60))), (4, " ".join(f"r{i}" for i in range(60)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    own = plain_sets(frame.collect())
+    assert 5 * len(own[1] & own[2]) < 4 * len(own[1] | own[2])
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(frame).collect()}
+    assert ((fps[1] ^ fps[2]) % 2**64).bit_count() <= 4
+    assert {r.doc_id for r in corpus_pipeline.without_copies(spark, frame, None).collect()} == {1, 3, 4}
+
+
+def test_components_by_any_link(spark):
+    frame = spark.createDataFrame([(i, "") for i in range(1, 8)], "doc_id long, text string")
+    given = lambda pairs: lambda docs: spark.createDataFrame(pairs, "doc_id long, component_id long")
+    rows = simhash.alike_by_any(frame, given([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)]),
+                                given([(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (7, 7)])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
+
+
 def test_pipeline_stage_on_odd_documents(spark, odd_docs, no_docs):
     once = corpus_pipeline.without_copies(spark, odd_docs, None)
     assert once.columns == odd_docs.columns
