@@ -7,11 +7,12 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from costweave.llm.shared import columns_of, fold, fresh_name, remainder_of_crc, slices, written
@@ -30,12 +31,12 @@ EDGE = ".,;:!?\"'()[]{}<>…«»“”"
 
 @dataclass(frozen=True)
 class Toxicity:
-    """rows: the most labelled documents learned from. order: letters the language model looks
-    at, one of them predicted. beam: partial readings kept. vocabulary: word forms the
-    language model learns from. least: documents a feature must be seen in. odds: least log
-    odds of a feature. threshold: of the score, for a document to count as toxic."""
+    """order: letters the language model looks at, one of them predicted. beam: partial readings
+    kept. vocabulary: the most word forms in the language model, features: the most features with
+    a weight, both chosen by counts over all labelled documents. least: documents a feature must
+    be seen in. odds: least log odds of a feature. threshold: of the score, for a document to
+    count as toxic."""
 
-    rows: int = 20_000
     order: int = 4
     beam: int = 48
     vocabulary: int = 30_000
@@ -138,6 +139,8 @@ class Reader:
 
     #: Written forms kept between texts.
     KEPT = 400_000
+    #: The evidence of a text in which nothing is found.
+    NOTHING = (0.0, 0.0, 0.0)
 
     def __init__(self, weights: dict[str, float], letters: Letters, beam: int) -> None:
         self.weights, self.letters, self.beam = weights, letters, beam
@@ -186,16 +189,33 @@ def _sketch(tokens: list[bytes]) -> list[int]:
     return [min(xxhash.xxh64_intdigest(t, seed) for t in triples) - 2**63 for seed in range(4)]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, p: Toxicity) -> DataFrame:
-    """doc_id, text and toxic of at most ``rows`` labelled documents outside the held-out
-    quarter (chosen by a hash of doc_id), one of each group of near copies."""
+#: Places of the filter that tells most documents without a label before their texts are shuffled.
+FILTER_BITS = 1 << 26
+
+
+def maybe_labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The documents outside the held-out quarter whose doc_id may be one of ``chosen``; none of those is
+    lost. The filter is a bitmap over a hash, of 8 MB at most however many labels there are."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = (chosen.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(bits, int(position div 8) + 1, 1)")), 16, 10).cast("int")
+    return (docs.where(remainder_of_crc(F.col("doc_id"), 4) != 2).withColumn("position", position)
+            .withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
+            .where(F.call_function("shiftright", byte, F.expr("int(position % 8)")) % 2 == 1)
+            .drop("bucket", "position", "bits"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of all labelled documents outside the held-out quarter (chosen by a
+    hash of doc_id), one of each group of near copies."""
     chosen = (labels.select(F.col("doc_id").cast("long"), "toxic")
               .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
               .where(remainder_of_crc(F.col("doc_id"), 4) != 2)
-              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.rows))
-    rows = written(docs.select(F.col("doc_id").cast("long"), "text")
-                   .join(F.broadcast(chosen), "doc_id"), "labelled")
+              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    rows = written(maybe_labelled(docs.select(F.col("doc_id").cast("long"), "text"), chosen)
+                   .join(chosen, "doc_id"), "labelled")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -206,8 +226,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Toxicity) -> DataFrame:
     bands = (rows.mapInArrow(sketches, "doc_id long, sketch array<bigint>")
              .select("doc_id", F.posexplode("sketch").alias("band", "value")))
     firsts = bands.groupBy("band", "value").agg(F.min("doc_id").alias("doc_id"))
-    own = firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 4")
-    return rows.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
+    own = written(firsts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 4").select("doc_id"), "own")
+    return rows.join(own, "doc_id", "left_semi")
 
 
 @dataclass
@@ -228,42 +248,64 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> list[float]:
-    """Weights, the constant first, by Newton's method with a small ridge on all but it."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-    ridge = penalty * np.eye(x.shape[1])
+def logistic(seen: DataFrame, penalty: float = 0.05) -> list[float]:
+    """Weights, the constant first, by Newton's method with a small ridge on all but it.
+
+    ``seen`` holds toxic and evidence of each row. A round adds up slopes and curvature in the tasks, so the
+    driver gets a row of sums however many rows there are.
+    """
+    size = 1 + len(Reader.NOTHING)
+    ridge = penalty * np.eye(size)
     ridge[0, 0] = 1e-3
+    w = np.zeros(size)
+    x = [F.lit(1.0), *(F.col("evidence")[i] for i in range(size - 1))]
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (y - p) - ridge @ w)
+        z = reduce(Column.__add__, [F.lit(float(a)) * b for a, b in zip(w, x)])
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        rows = seen.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"),
+                           F.expr("double(toxic > 0)").alias("y"))
+        slopes = [F.expr(f"sum((y - p) * x{i})") for i in range(size)]
+        bends = [F.expr(f"sum(p * (1 - p) * x{i} * x{j})") for i in range(size) for j in range(size)]
+        total = np.array(rows.agg(*slopes, *bends).first())
+        step = np.linalg.solve(total[size:].reshape(size, size) + ridge, total[:size] - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
 
 
+#: Features that a task counts before it hands its counts on, which bounds its memory.
+COUNTED = 400_000
+
+
 def learn(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model:
-    """Learns from at most ``p.rows`` labelled documents; what the driver gets is bounded by the
-    numbers of word forms and features in ``p``.
+    """Learns from all labelled documents outside the held-out quarter; what the driver gets is bounded
+    by the numbers of word forms and features in ``p``.
 
     Three quarters give the features (words and beginnings of words seen far more often in
     toxic documents) and the letter counts, the rest calibrates the score. Without toxic
     documents among them every score is near zero.
     """
-    rows = written(training_rows(docs, labels, p), "training")
+    rows = training_rows(docs, labels)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            names = list(seen[0].keys() | seen[1].keys())
+            return pa.record_batch([pa.array(names, pa.string()),
+                                    pa.array([seen[1][n] for n in names], pa.int64()),
+                                    pa.array([seen[0][n] for n in names], pa.int64())],
+                                   names=["feature", "toxic", "clean"])
+
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 plain = {w.decode("utf-8", "replace").strip(EDGE) for w in fold(text).split()}
                 seen[toxic > 0].update({f for w in plain if w for f in features(w)})
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.record_batch([pa.array(names, pa.string()),
-                               pa.array([seen[1][n] for n in names], pa.int64()),
-                               pa.array([seen[0][n] for n in names], pa.int64())],
-                              names=["feature", "toxic", "clean"])
+            if len(seen[0]) + len(seen[1]) > COUNTED:
+                yield counts()
+                seen = (Counter(), Counter())
+        yield counts()
 
     calibrates = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
     n = rows.where(~calibrates).agg(F.sum(F.expr("int(toxic > 0)")), F.count("*")).first()
@@ -286,11 +328,10 @@ def learn(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Model
         vocabulary[word] = vocabulary.get(word, 0.0) + weight * share
     model = Model(weights, Letters.of(vocabulary, p.order), [-12.0, 0.0, 0.0, 0.0], p)
     if weights:
-        seen = (scored(rows.where(calibrates), model, evidence=True)
-                .select("toxic", "evidence").toPandas())
-        y = (seen["toxic"] > 0).to_numpy(float)
-        if 0 < y.sum() < len(y):
-            model.fit = logistic(np.stack(seen["evidence"]), y)
+        seen = written(scored(rows.where(calibrates), model, evidence=True).select("toxic", "evidence"), "evidence")
+        of = seen.agg(F.sum(F.expr("int(toxic > 0)")), F.count("*")).first()
+        if 0 < (of[0] or 0) < of[1]:
+            model.fit = logistic(seen)
         else:
             model.fit = [-4.0, 0.5, 0.0, 0.0]
     return model

@@ -268,6 +268,31 @@ def test_nothing_to_learn_toxicity_from(spark, odd_docs, no_docs):
     toxicity.learn(no_docs, labels.limit(0))
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    # Two words in 21,000 documents; the third lies in few, which any 20,000 of the documents may lack.
+    rows = [(i, f"w{i} x{i} y{i} " + ("scumword" if i % 3 == 0 else "river") + (" rareword" if i % 900 == 0 else ""),
+             int(i % 3 == 0)) for i in range(28_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    learned = toxicity.training_rows(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    want = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(want) > 20_000 and {r.doc_id for r in learned.select("doc_id").collect()} == want
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 6)      # places shared by many ids lose none
+    assert toxicity.training_rows(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).count() == len(want)
+
+
+def test_logistic_over_tasks_agrees_with_plain_newton(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    y = rng.random(500) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] - 1)))
+    seen = spark.createDataFrame([(int(b), a.tolist()) for a, b in zip(x, y)], "toxic int, evidence array<double>")
+    full, w = np.c_[np.ones(500), x], np.zeros(4)
+    ridge = np.diag([1e-3, 0.05, 0.05, 0.05])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-full @ w))
+        w += np.linalg.solve((full.T * (p * (1 - p))) @ full + ridge, full.T @ (y - p) - ridge @ w)
+    assert np.allclose(toxicity.logistic(seen.repartition(5)), w, atol=1e-8)
+
+
 def test_language_on_held_out_texts(small):
     docs = held_out(small, 4)
     rows = language.predict(docs, language.learn(docs)).join(docs, "doc_id").where("NOT train").collect()
