@@ -89,6 +89,25 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: Places of the bitmap that tells most rows that are not among the chosen ones before their texts are shuffled.
+FILTER_BITS = 1 << 26
+
+
+def with_maybe(df: DataFrame, key: str, chosen: DataFrame, name: str, places: int = FILTER_BITS) -> DataFrame:
+    """The rows with a boolean column ``name``, which is true where ``key`` is that of a row of ``chosen`` and seldom
+    elsewhere. It is told by a bitmap over a hash, of 8 MB at most however many rows are chosen, so nothing of
+    ``df`` is shuffled; an exact join of the rows with true may follow."""
+    place = F.pmod(F.xxhash64(key), F.lit(places))
+    bucket, bits = fresh_name(df, "bucket"), fresh_name(df, "bits")
+    maps = (chosen.groupBy(F.bitmap_bucket_number(place).alias(bucket))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(bits)))
+    position = F.bitmap_bit_position(place)
+    byte = F.substring(F.col(bits), F.floor(position / 8).cast("int") + 1, F.lit(1))
+    hit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), (position % 8).cast("int")) % 2 == 1
+    return (df.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col(bucket), "left")
+            .select(*columns_of(df), F.coalesce(hit, F.lit(False)).alias(name)))
+
+
 def no_letter_case(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

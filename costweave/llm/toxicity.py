@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from costweave.llm.shared import columns_of, fold, fresh_name, remainder_of_crc, slices, written
+from costweave.llm.shared import (FILTER_BITS, columns_of, fold, fresh_name, remainder_of_crc, slices, with_maybe,
+                                  written)
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -189,24 +190,6 @@ def _sketch(tokens: list[bytes]) -> list[int]:
     return [min(xxhash.xxh64_intdigest(t, seed) for t in triples) - 2**63 for seed in range(4)]
 
 
-#: Places of the filter that tells most documents without a label before their texts are shuffled.
-FILTER_BITS = 1 << 26
-
-
-def maybe_labelled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The documents outside the held-out quarter whose doc_id may be one of ``chosen``; none of those is
-    lost. The filter is a bitmap over a hash, of 8 MB at most however many labels there are."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = (chosen.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
-    position = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.expr("substring(bits, int(position div 8) + 1, 1)")), 16, 10).cast("int")
-    return (docs.where(remainder_of_crc(F.col("doc_id"), 4) != 2).withColumn("position", position)
-            .withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "bucket")
-            .where(F.call_function("shiftright", byte, F.expr("int(position % 8)")) % 2 == 1)
-            .drop("bucket", "position", "bits"))
-
-
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and toxic of all labelled documents outside the held-out quarter (chosen by a
     hash of doc_id), one of each group of near copies."""
@@ -214,8 +197,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
               .where("doc_id IS NOT NULL AND toxic IS NOT NULL")
               .where(remainder_of_crc(F.col("doc_id"), 4) != 2)
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = written(maybe_labelled(docs.select(F.col("doc_id").cast("long"), "text"), chosen)
-                   .join(chosen, "doc_id"), "labelled")
+    own = docs.select(F.col("doc_id").cast("long"), "text").where(remainder_of_crc(F.col("doc_id"), 4) != 2)
+    rows = written(with_maybe(own, "doc_id", chosen, "maybe", FILTER_BITS).where("maybe").drop("maybe")
+                   .join(chosen.hint("shuffle_merge"), "doc_id"), "labelled")      # alike at every size
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -280,6 +280,16 @@ def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
     assert toxicity.training_rows(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).count() == len(want)
 
 
+def test_labels_meet_texts_alike_at_every_size(spark, monkeypatch):
+    plans, write = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: (plans.append(df), write(df, name))[1])
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(100)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3) AS toxic").where("doc_id < 90")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert {(r.doc_id, r.toxic) for r in rows} == {(i, i % 3) for i in range(90) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert "SortMergeJoin" in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_logistic_over_tasks_agrees_with_plain_newton(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 3))
