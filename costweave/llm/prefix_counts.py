@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,38 @@ KEPT, LONGEST = 350_000, 48
 BATCH, WIDE = 20_000, 48
 
 
+class Table:
+    """From numbers of 0 and above to others, -1 where there is none: open addressing in arrays, a quarter full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = (4 * len(keys)).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        at = self._place(keys)
+        while len(keys):                      # one of those that want a free place gets it, the others go on
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            put = self.keys[at] == keys
+            self.values[at[put]] = values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
 class Merges:
     """What merging needs of a vocabulary, as arrays: a trie of the tokens, merges by pair, and the
     rank at which each token comes to be (-1 for single bytes)."""
@@ -45,8 +78,8 @@ class Merges:
             if self.rank[whole] < 0:
                 self.rank[whole], self.left[whole], self.right[whole] = r, vocab[a], vocab[b]
         keys = pairs[:, 0] << 32 | pairs[:, 1]
-        order = np.argsort(keys, kind="stable")
-        self.pair_keys, self.pair_ranks = keys[order], order
+        keys, first = np.unique(keys, return_index=True)
+        self.pairs = Table(keys, first)
         nodes, next_node, token = {}, 1, [-1]
         for i, data in enumerate(token_bytes(path)):
             node = 0
@@ -59,15 +92,12 @@ class Merges:
                 node = nodes[step]
             if data:
                 token[node] = i
-        self.steps = np.array(sorted(nodes), np.int64)
-        self.to = np.array([nodes[s] for s in self.steps.tolist()], np.int64)
+        self.to = Table(np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes)))
         self.token = np.array(token, np.int64)
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, -1 where there is none."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        return self.pairs[a << 32 | b]
 
     def side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the bytes of a and then b are encoded as just these two tokens.
@@ -126,10 +156,9 @@ class Merges:
         node, end = np.zeros(len(row), np.int64), start.copy()
         edges: list[tuple] = []
         while len(row):                       # every token that lies in a piece
-            step = node << 8 | text[row, end]
-            hit = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
-            go = self.steps[hit] == step
-            row, start, end, node = row[go], start[go], end[go] + 1, self.to[hit[go]]
+            node = self.to[node << 8 | text[row, end]]
+            go = node >= 0
+            row, start, end, node = row[go], start[go], end[go] + 1, node[go]
             token = self.token[node]
             real = token >= 0
             edges.append((row[real], start[real], end[real], token[real]))
@@ -150,7 +179,10 @@ class Merges:
             good = self.side_by_side(last[r, s], t)
             r, s, t = r[good], s[good], t[good]
             last[r, i], count[r, i] = t, count[r, s] + 1
-        change = np.diff(count, axis=1).astype(np.int8)
+        change = np.diff(count, axis=1)
+        if np.abs(change, where=np.arange(wide) < size[:, None], out=np.zeros_like(change)).max() > 127:
+            raise OverflowError("a step of the count does not fit a signed byte")
+        change = change.astype(np.int8)
         total = count[np.arange(len(pieces)), size].tolist()
         return [(total[k], change[k, :n].tobytes()) for k, n in enumerate(size.tolist())]
 
@@ -158,16 +190,18 @@ class Merges:
 class PrefixCounter:
     """Prefix counts of whole texts; each distinct chunk is worked on once while memory lasts.
 
-    A chunk's entry has its token count and, for each of its bytes, how the count of the prefix
-    that ends there differs from that of the one before (one signed byte; the count can fall).
+    A chunk's entry has, for each of its bytes, how the token count of the prefix that ends there
+    differs from that of the one before (one signed byte; the count can fall). Their sum is the chunk's count.
     """
 
     def __init__(self, path: str) -> None:
         self.merges = Merges(path)
         self.special = (regex.compile("|".join(map(regex.escape, self.merges.special)))
                         if self.merges.special else None)
-        self.known: dict[str, tuple[int, bytes]] = {}
-        self.old: dict[str, tuple[int, bytes]] = {}
+        #: Chunks whose prefixes need a look at their parts.
+        self.odd = re.compile("|".join([r"(?s:'|<\||(?<=.)\s)", *map(re.escape, self.merges.special)]))
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, bytes]] = {s: (1, b"") for s in self.merges.special}
         self.old_pieces: dict[str, tuple[int, bytes]] = {}
 
@@ -236,8 +270,8 @@ class PrefixCounter:
                 for _, pieces in rest[1]:
                     yield from pieces
 
-    def _steps(self, parts: list[tuple]) -> tuple[int, bytes]:
-        """Count and steps of the text: ``settled`` is the count of the whole's pieces so far, and
+    def _steps(self, parts: list[tuple]) -> bytes:
+        """The steps of the text: ``settled`` is the count of the whole's pieces so far, and
         ``now`` that of the prefix so far."""
         known, out = self.pieces, bytearray()
         settled = now = skip = 0
@@ -264,21 +298,24 @@ class PrefixCounter:
                 now = settled + count
                 settled += sum(known[p][0] for p in rest[1])
                 skip = len(rest[0].encode()) - sum(len(p.encode()) for p in rest[1])
-        return now, bytes(out)
+        return bytes(out)
 
-    def _learn(self, need: list[str], prefix: str, into: dict) -> None:
-        views: dict[str, list[str] | list[tuple]] = {}
-        odd: set[str] = set()
+    def _learn(self, need: list[str], prefix: str, into: dict[str, bytes]) -> None:
+        single: dict[str, str] = {}
+        views: dict[str, list[str]] = {}
+        odd: dict[str, list[tuple]] = {}
         wanted: set[str] = set()
         for chunk in need:
             text = prefix + chunk
-            if "'" in text or "<|" in text or any(map(str.isspace, text[1:])):
-                odd.add(chunk)
-                views[chunk] = self._parts(text)
-                wanted.update(self._wanted(views[chunk]))
+            if chunk.isascii() and chunk.isalpha():      # letters and the space before them are one piece
+                single[chunk] = text
+            elif self.odd.search(text):
+                odd[chunk] = self._parts(text)
+                wanted.update(self._wanted(odd[chunk]))
             else:
-                views[chunk] = self._pieces(text)
-                wanted.update(views[chunk])
+                views[chunk] = own = PIECES.findall(text)
+                wanted.update(own)
+        wanted.update(single.values())
         if len(self.pieces) > KEPT:
             self.old_pieces = self.pieces
             self.pieces = {s: (1, b"") for s in self.merges.special}
@@ -288,12 +325,12 @@ class PrefixCounter:
         known.update((p, self.old_pieces[p]) for p in again)
         new = list(wanted - again)
         known.update(zip(new, self.merges.changes([p.encode() for p in new])))
+        for chunk, piece in single.items():
+            into[chunk] = known[piece][1]
         for chunk, own in views.items():
-            if chunk in odd:
-                into[chunk] = self._steps(own)
-            else:
-                got = [known[p] for p in own]
-                into[chunk] = (sum(n for n, _ in got), b"".join([s for _, s in got]))
+            into[chunk] = b"".join([known[p][1] for p in own])
+        for chunk, parts in odd.items():
+            into[chunk] = self._steps(parts)
         for p in new:
             if len(p) > LONGEST:
                 del known[p]
@@ -302,11 +339,11 @@ class PrefixCounter:
         """Token count and prefix steps of each text."""
         cut = [chunks(t) if t else None for t in texts]
         need: set[str] = set()
-        first: dict[str, tuple[int, bytes]] = {}
+        first: dict[str, bytes] = {}
         for c in cut:
             if c:
+                first[c[0]] = b""
                 need.update(c[1:])
-                first[c[0]] = (0, b"")
         if len(self.known) > KEPT:
             self.known, self.old = {}, self.known
         need.difference_update(self.known)
@@ -317,11 +354,8 @@ class PrefixCounter:
         self._learn(list(first), "", first)
         out = []
         for c in cut:
-            if not c:
-                out.append((0, b""))
-                continue
-            got = [first[c[0]], *map(self.known.__getitem__, c[1:])]
-            out.append((sum(g[0] for g in got), b"".join([g[1] for g in got])))
+            steps = b"" if not c else first[c[0]] + b"".join(map(self.known.__getitem__, c[1:]))
+            out.append((tokens_before(steps, len(steps)) if steps else 0, steps))
         for c in need:
             if len(c) > LONGEST:
                 del self.known[c]
