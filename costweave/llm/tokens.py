@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import sys
@@ -16,8 +17,8 @@ from costweave.llm.shared import chunks
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
 
-#: Chunks of a generation and the longest one kept; they bound a worker's memory.
-KEPT, LONGEST = 400_000, 48
+#: Chunks of a generation, lines' first words and the longest one kept; they bound a worker's memory.
+KEPT, TAILS, LONGEST = 400_000, 200_000, 48
 #: Chunks that the library gets as one text, which costs it less than as many texts.
 JOINED = 200
 
@@ -42,30 +43,79 @@ class ChunkEncoder:
         unjoined = [r"\s", *map(re.escape, added)]
         #: What a chunk that is encoded beside others must not hold; all match if a token may reach over chunks.
         self.apart = re.compile("" if any(" " in t for t in added) else "|".join(unjoined))
-
-    def _learn_joined(self, need: list[str], into: dict[str, bytes]) -> list[str]:
-        """Learns chunks that follow a space, many as one text; returns those it did not learn.
-
-        A piece of the pre-tokenizer begins at each of their spaces, and there is no other space in them, so a
-        chunk's ids go from one token that begins with a space to the next. A text whose tokens do not
+        #: Whether chunks of letters alone need no look at ``apart``.
+        self.letters = not any(" " in t or t.isalpha() for t in added)
+        stored = json.loads(self.tokenizer.to_str())
+        pieces = stored.get("pre_tokenizer") or {}
+        #: Whether a single line end between visible signs is a piece of its own, as the byte-level expression has it.
+        self.lines = (pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not stored.get("normalizer")
+                      and not any(re.search(r"\s", t) for t in added))
+        self.begins_line = np.array([t == b"\n" for t in token_bytes(path)])
+        self.tails: dict[str, bytes] = {}
+
+    def _learn_after(self, need: list[str], into: dict[str, bytes], sign: str, begins: np.ndarray) -> list[str]:
+        """Learns chunks that follow ``sign``, many as one text; returns those it did not learn.
+
+        A piece of the pre-tokenizer begins at each of these signs, and there is no other in them, so a
+        chunk's ids go from one token that ``begins`` with the sign to the next. A text whose tokens do not
         show that is left to be encoded chunk by chunk.
         """
-        left = [c for c in need if not c or self.apart.search(c)]
-        plain = [c for c in need if c and not self.apart.search(c)]
-        texts = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        left: list[str] = []
+        texts = [need[i:i + JOINED] for i in range(0, len(need), JOINED)]
         for start in range(0, len(texts), 100):
             part = texts[start:start + 100]
-            coded = self.tokenizer.encode_batch_fast([" " + " ".join(t) for t in part], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([sign + sign.join(t) for t in part], add_special_tokens=False)
             for text, e in zip(part, coded):
                 ids = np.array(e.ids, "<u4")
-                begins = np.flatnonzero(self.spaced[np.minimum(ids, len(self.spaced) - 1)])
-                if len(begins) != len(text) or begins[0] != 0 or ids.max() >= len(self.spaced):
+                starts = np.flatnonzero(begins[np.minimum(ids, len(begins) - 1)])
+                if len(starts) != len(text) or starts[0] != 0 or ids.max() >= len(begins):
                     left += text
                     continue
-                raw, at = ids.tobytes(), [*(4 * begins).tolist(), 4 * len(ids)]
+                raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
                 into.update(zip(text, [raw[a:b] for a, b in zip(at, at[1:])]))
         return left
 
+    def _learn_joined(self, need: list[str], into: dict[str, bytes]) -> list[str]:
+        """Learns chunks that follow a space; returns those it did not learn.
+
+        Words with line ends between them are put together of the first, which follows the space, and of the
+        others, which each follow a line end: few words begin lines in so many ways as they are met beside others.
+        """
+        left, plain, cut = [], [], {}
+        for c in need:
+            if self.letters and c.isalpha():
+                plain.append(c)
+            elif self.lines and "\n" in c:
+                parts = c.split("\n")
+                if all(parts) and not self.apart.search("".join(parts)):
+                    cut[c] = parts
+                else:
+                    left.append(c)
+            elif c and not self.apart.search(c):
+                plain.append(c)
+            else:
+                left.append(c)
+        heads = {parts[0] for parts in cut.values()}.difference(into, plain)
+        own: dict[str, bytes] = {}
+        again = heads & self.old.keys()
+        own.update(zip(again, map(self.old.__getitem__, again)))
+        left += self._learn_after(plain, into, " ", self.spaced)
+        self._learn_after(list(heads - again), own, " ", self.spaced)
+        if len(self.tails) > TAILS:
+            self.tails = {}
+        tails = {t for parts in cut.values() for t in parts[1:]}.difference(self.tails)
+        self._learn_after(list(tails), self.tails, "\n", self.begins_line)
+        for c, (head, *rest) in cut.items():
+            first = into.get(head) or own.get(head)
+            found = [self.tails.get(t) for t in rest]
+            if first is None or None in found:
+                left.append(c)
+            else:
+                into[c] = b"".join([first, *found])
+        for t in [t for t in tails if len(t) > LONGEST]:
+            self.tails.pop(t, None)
+        return left
+
     def _learn(self, need: list[str], prefix: str, into: dict[str, bytes]) -> None:
         if prefix:
             need = self._learn_joined(need, into)

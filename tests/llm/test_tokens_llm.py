@@ -192,3 +192,34 @@ def test_a_spoilt_index_is_noticed(spark):
         spoilt[places[section]] ^= 1
         with pytest.raises((ValueError, IndexError)):
             id_store.Shard(bytes(spoilt)).reached()
+
+
+def test_words_around_line_ends_are_learned_from_their_parts(tokenizer_path):
+    words = ["alpha.", "Beta", "gamma!!", "it's", "ñandú", "x" * 60, "<|endoftext|>", "1,5", "'s", "日本"]
+    texts = [f"start {a}\n{b} {b}\n{a}\n{c} {a}\n\n{b} {c}\r\n{a} {b}\n　{a} end\n" for a in words for b in words for c in words]
+    plain = Tokenizer.from_file(tokenizer_path)
+    own, sent = ChunkEncoder(tokenizer_path), []
+    library = own.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, part, **settings):
+            sent.extend(part)
+            return library.encode_batch_fast(part, **settings)
+
+    own.tokenizer = Counted()
+    for part in (texts[:300], texts[300:]):
+        for text, ids in zip(part, own.encode(part)):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    sent.clear()
+    own.encode([f"go {a}\n{b}" for a in words[:4] for b in words[:4]])      # met beside each other, but not after "go"
+    own.encode([f"go {a}\n{b}\n{c}\n{a}" for a in words[:4] for b in words[:4] for c in words[:4]])
+    assert "go" in sent and not any("\n" in text for text in sent)
+
+
+def test_table_of_numbers():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(np.r_[rng.integers(0, 1 << 40, n), np.arange(n)])
+        table, asked = prefix_counts.Table(keys, np.arange(len(keys))), np.r_[keys, rng.integers(0, 1 << 40, 2000)]
+        at = dict(zip(keys.tolist(), range(len(keys))))
+        assert table[asked].tolist() == [at.get(k, -1) for k in asked.tolist()]
