@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import passing_tables, slices, words, written
+from costweave.llm.shared import passing_tables, slices, with_maybe, words, written
 
 #: Coordinates of a sketch, of which bands take ROWS each, and bits of a coordinate that order it within its round.
 SIZE, ROWS, FRACTION = 512, 4, 48
@@ -227,7 +227,8 @@ def _alike(least: float, direct: int) -> Callable:
 def _members(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """``wanted`` (first_doc, digest, node, ...) with the set of each node, made anew from the documents' texts."""
     names = [c for c in wanted.columns if c not in ("first_doc", "digest")]
-    texts = (docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("text").cast("string"))
+    texts = (with_maybe(texts, "first_doc", wanted, "maybe").where("maybe").drop("maybe")
              .join(wanted.hint("shuffle_merge"), "first_doc"))     # alike at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +316,7 @@ def links(docs: DataFrame, firsts: DataFrame, sketched: DataFrame, least: float,
         firsts.select("digest", "first_doc"), "digest")
     groups = written(groups, "groups")
     blocks = groups.groupBy("root").agg(F.ceil(F.sum("size") / AT_ONCE).cast("int").alias("blocks"))
-    wanted = groups.join(blocks, "root").select("first_doc", "digest", "root", "blocks", "node")
+    wanted = written(groups.join(blocks, "root").select("first_doc", "digest", "root", "blocks", "node"), "wanted")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = (_members(docs, width, wanted).withColumn("z", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
                .withColumn("other", other)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import columns_of, fresh_name, passing_tables, slices, words, written
+from costweave.llm.shared import columns_of, fresh_name, passing_tables, slices, with_maybe, words, written
 
 #: Fingerprints of one bucket that are compared with each other directly.
 DIRECT = 512
@@ -228,20 +228,27 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
     Rows are told apart by doc_id and text: a doc_id that is repeated beside other texts stays for each
     text of which it is the smallest. Of rows that repeat both one stays. Rows with a null doc_id all stay.
     """
-    row, own = fresh_name(docs, "row"), F.col("doc_id").cast("long")
+    row, own, maybe = fresh_name(docs, "row"), F.col("doc_id").cast("long"), fresh_name(docs, "maybe")
     told = docs.withColumn(row, F.when(own.isNotNull(), F.xxhash64(own, F.col("text").cast("string"))))
     real = told.where(F.col(row).isNotNull())
     with passing_tables(docs.sparkSession):
         found = find(real.select(F.col(row).alias("doc_id"), "text"), **settings)
-        rows = found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times"))
-        first = (rows.join(real.select(row, own.alias("own")).distinct(), row).groupBy("component_id")
-                 .agg(F.min(F.struct("own", row, "times")).alias("first")).select("first.*"))
-        kept = written(first.select(row, "times"), "kept", kept=True)
-
-    def semi(which: DataFrame) -> DataFrame:
-        return told.join(which.select(row), row, "left_semi")
-
-    out = semi(kept.where("times = 1")).select(columns_of(docs))
-    if not kept.where("times > 1").isEmpty():
-        out = out.unionByName(semi(kept.where("times > 1")).dropDuplicates([row]).select(columns_of(docs)))
+        rows = written(found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times"))
+                       .join(real.select(row, own.alias("own")).distinct(), row), "rows")
+        first = written(rows.groupBy("component_id").agg(F.min(F.struct("own", row, "times")).alias("first"))
+                        .select("first.*"), "first")
+        dropped = rows.join(first, row, "left_anti").select(row, F.lit(False).alias("again"))
+        again = first.where("times > 1").select(row, F.lit(True).alias("again"))
+        others = written(dropped.union(again), "others", kept=True)
+
+    # Most documents stay as they are; only those that may be among the others travel.
+    told = with_maybe(real, row, others, maybe)
+    near = told.where(F.col(maybe))
+
+    def joined(which: DataFrame, how: str) -> DataFrame:
+        return near.join(which.select(row).hint("shuffle_merge"), row, how)      # alike at every size
+
+    out = told.where(~F.col(maybe)).select(columns_of(docs)).unionByName(joined(others, "left_anti").select(columns_of(docs)))
+    if not others.where("again").isEmpty():
+        out = out.unionByName(joined(others.where("again"), "left_semi").dropDuplicates([row]).select(columns_of(docs)))
     return out.unionByName(docs.where(own.isNull()))

@@ -1,11 +1,15 @@
 """Near-duplicates by sketches against all pairs of sets."""
 
 import itertools
+import random
 import re
 
 import numpy as np
 import pytest
 from costweave.llm import minhash, queries, simhash
+from costweave.llm.shared import with_maybe
+from costweave.plans.scans import shuffled
+from pyspark.sql import functions as F
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -148,3 +152,40 @@ def test_one_of_each_decides_by_row(spark, find):
     assert kept((5, a), (5, b)) == want((5, a), (5, b))
     assert kept((3, a), (5, a), (5, b)) == want((3, a), (5, b))
     assert kept((3, a), (3, a), (2, a), (2, a), (None, a), (None, a), (9, c)) == want((2, a), (None, a), (None, a), (9, c))
+
+
+@pytest.fixture
+def many_texts(spark):
+    """1,000 texts of some 2 KB, of which every 20th has a copy under another doc_id; joins do not broadcast."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(180)) for _ in range(1000)]
+    rows = [*enumerate(texts), *((2000 + i, texts[i]) for i in range(0, 1000, 20)), (None, texts[1])]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    yield spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set(limit, before)
+
+
+def test_only_texts_that_may_go_are_shuffled(many_texts):
+    out = simhash.one_of_each(many_texts)
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == list(range(1000))
+    assert shuffled(out) < 500_000
+
+
+def test_only_texts_of_candidates_are_shuffled(many_texts):
+    wanted = many_texts.where("doc_id < 40").select(
+        F.col("doc_id").alias("first_doc"), F.lit(b"").alias("digest"), F.col("doc_id").alias("node"))
+    members = minhash._members(many_texts, 5, wanted)
+    members.collect()
+    assert shuffled(members) < 500_000
+
+
+@pytest.mark.parametrize("places", [1, 64, 1 << 26])
+def test_no_chosen_key_is_missed(spark, places):
+    rows = spark.createDataFrame([(None if i == 7 else i, "x") for i in range(500)], "k long, `bits` string")
+    told = with_maybe(rows, "k", rows.where("k % 50 = 0").select("k"), "maybe", places)
+    assert told.columns == ["k", "bits", "maybe"]
+    found = {r.k for r in told.where("maybe").collect()}
+    assert told.count() == 500 and found >= set(range(0, 500, 50)) and (places < 1 << 26 or len(found) == 10)
+    assert with_maybe(rows, "k", rows.limit(0), "maybe").where("maybe").isEmpty()
