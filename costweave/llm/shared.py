@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from costweave.sources.scratch import scratch_path
@@ -76,6 +77,23 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
             removed(spark, path)
 
 
+#: Rows of a batch on its way between Spark and Python, where steps that hold whole texts or sets follow each other.
+BATCH_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written within passes between Spark and Python in batches of BATCH_ROWS rows at most, which bounds what
+    both hold outside Spark's memory; the session's own limit counts again at the end."""
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns by name, whatever signs the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -127,8 +145,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text column of each holds about ``limit`` bytes (one row at least)."""
     for batch in batches:
-        sizes = [len(v) if v is not None else 0
-                 for v in batch.column(column).cast(pa.large_binary()).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > limit:

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import columns_of, fresh_name, passing_tables, slices, with_maybe, words, written
+from costweave.llm.shared import (columns_of, fresh_name, passing_tables, slices, small_batches, with_maybe, words,
+                                  written)
 
 #: Fingerprints of one bucket that are compared with each other directly.
 DIRECT = 512
@@ -231,7 +232,7 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
     row, own, maybe = fresh_name(docs, "row"), F.col("doc_id").cast("long"), fresh_name(docs, "maybe")
     told = docs.withColumn(row, F.when(own.isNotNull(), F.xxhash64(own, F.col("text").cast("string"))))
     real = told.where(F.col(row).isNotNull())
-    with passing_tables(docs.sparkSession):
+    with passing_tables(docs.sparkSession), small_batches(docs.sparkSession):
         found = find(real.select(F.col(row).alias("doc_id"), "text"), **settings)
         rows = written(found.groupBy(F.col("doc_id").alias(row), "component_id").agg(F.count("*").alias("times"))
                        .join(real.select(row, own.alias("own")).distinct(), row), "rows")
@@ -241,14 +242,20 @@ def one_of_each(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicate
         again = first.where("times > 1").select(row, F.lit(True).alias("again"))
         others = written(dropped.union(again), "others", kept=True)
 
-    # Most documents stay as they are; only those that may be among the others travel.
+    # Most documents stay as they are, and those that go are told by their numbers alone. Texts travel only where one of
+    # several equal rows stays, or where the bitmap took a row for another.
     told = with_maybe(real, row, others, maybe)
-    near = told.where(F.col(maybe))
-
-    def joined(which: DataFrame, how: str) -> DataFrame:
-        return near.join(which.select(row).hint("shuffle_merge"), row, how)      # alike at every size
-
-    out = told.where(~F.col(maybe)).select(columns_of(docs)).unionByName(joined(others, "left_anti").select(columns_of(docs)))
-    if not others.where("again").isEmpty():
-        out = out.unionByName(joined(others.where("again"), "left_semi").dropDuplicates([row]).select(columns_of(docs)))
+    near = told.where(F.col(maybe)).drop(maybe)
+    spared = written(near.select(row).distinct().join(others.select(row), row, "left_anti"), "spared", kept=True)
+
+    def exactly(which: DataFrame) -> DataFrame:
+        return (with_maybe(near, row, which, maybe).where(F.col(maybe))
+                .join(which.select(row).hint("shuffle_merge"), row, "left_semi"))      # alike at every size
+
+    out = told.where(~F.col(maybe)).select(columns_of(docs))
+    if not spared.isEmpty():
+        out = out.unionByName(exactly(spared).select(columns_of(docs)))
+    again = others.where("again")
+    if not again.isEmpty():
+        out = out.unionByName(exactly(again).dropDuplicates([row]).select(columns_of(docs)))
     return out.unionByName(docs.where(own.isNull()))

@@ -173,6 +173,35 @@ def test_only_texts_that_may_go_are_shuffled(many_texts):
     assert shuffled(out) < 500_000
 
 
+def test_texts_that_go_are_not_shuffled(many_texts):
+    copies = many_texts.where("doc_id < 1000").withColumn("doc_id", F.col("doc_id") + 5000)
+    out = simhash.one_of_each(many_texts.union(copies))
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == list(range(1000))
+    assert shuffled(out) < 500_000
+
+
+@pytest.mark.parametrize("places", [1, 64])
+def test_texts_that_the_bitmap_takes_for_others_stay(many_texts, monkeypatch, places):
+    monkeypatch.setattr(simhash, "with_maybe", lambda *a: with_maybe(*a, places))
+    twice = many_texts.where("doc_id < 3")
+    out = simhash.one_of_each(many_texts.union(twice))
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == list(range(1000))
+    assert out.where("doc_id IS NULL").count() == 1
+
+
+def test_batches_are_small_while_texts_are_compared(many_texts):
+    limit, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    spark = many_texts.sparkSession
+    before = spark.conf.get(limit)
+
+    def find(texts):
+        seen.append(spark.conf.get(limit))
+        return texts.select("doc_id", F.col("doc_id").alias("component_id"))
+
+    simhash.one_of_each(many_texts, find)
+    assert int(seen[0]) <= 2000 and spark.conf.get(limit) == before
+
+
 def test_only_texts_of_candidates_are_shuffled(many_texts):
     wanted = many_texts.where("doc_id < 40").select(
         F.col("doc_id").alias("first_doc"), F.lit(b"").alias("digest"), F.col("doc_id").alias("node"))
