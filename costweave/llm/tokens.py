@@ -9,6 +9,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 
@@ -21,6 +22,10 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 KEPT, TAILS, LONGEST = 400_000, 200_000, 48
 #: Chunks that the library gets as one text, which costs it less than as many texts.
 JOINED = 200
+#: Letters and then signs: two pieces of every byte-level pre-tokenizer, as the signs hold no apostrophe. All signs of
+#: these ranges were letters, or neither letters, digits nor white space, in every version of Unicode.
+ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ʯ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+NO_MATCH = re.compile(r"(?!)").match
 
 
 class ChunkEncoder:
@@ -51,7 +56,12 @@ class ChunkEncoder:
         self.lines = (pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not stored.get("normalizer")
                       and not any(re.search(r"\s", t) for t in added))
         self.begins_line = np.array([t == b"\n" for t in token_bytes(path)])
+        self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        #: Whether signs after letters are a piece of their own, the signs that no such piece may hold, and ids of pieces.
+        self.splits = self.lines and self.letters and not pieces.get("add_prefix_space")
+        self.unsafe = set("".join(added))
+        self.ends: dict[str, bytes] = {}
 
     def _learn_after(self, need: list[str], into: dict[str, bytes], sign: str, begins: np.ndarray) -> list[str]:
         """Learns chunks that follow ``sign``, many as one text; returns those it did not learn.
@@ -75,43 +85,88 @@ class ChunkEncoder:
                 into.update(zip(text, [raw[a:b] for a, b in zip(at, at[1:])]))
         return left
 
+    def _end(self, signs: str) -> bytes:
+        """The ids of signs after letters, none if they have to stay with the letters."""
+        if signs not in self.ends:
+            if not signs or len(signs) > LONGEST or not self.unsafe.isdisjoint(signs):
+                return b""
+            if len(self.ends) > TAILS:
+                self.ends.clear()
+            coded, = self.tokenizer.encode_batch_fast([signs], add_special_tokens=False)
+            self.ends[signs] = array("I", coded.ids).tobytes()
+        return self.ends[signs]
+
+    def _cut(self, word: str) -> tuple[str, bytes] | None:
+        """A word without the signs at its end, and their ids; None if it can't be encoded beside others."""
+        if self.letters and word.isalpha():
+            return word, b""
+        found = ENDED.match(word) if self.splits else None
+        if found:
+            end = self._end(found[2])
+            if end:
+                return found[1], end
+        return (word, b"") if word and not self.apart.search(word) else None
+
     def _learn_joined(self, need: list[str], into: dict[str, bytes]) -> list[str]:
         """Learns chunks that follow a space; returns those it did not learn.
 
-        Words with line ends between them are put together of the first, which follows the space, and of the
-        others, which each follow a line end: few words begin lines in so many ways as they are met beside others.
+        Words with signs after them or line ends between them are put together of the first word, which follows the
+        space, of the others, which each follow a line end, and of the signs: few words are met in so many ways as
+        they stand beside signs and others.
         """
         left, plain, cut = [], [], {}
+        ended: list[str] = []
+        words: list[str] = []
+        signs: list[bytes] = []
+        match, ends = ENDED.match if self.splits else NO_MATCH, self.ends
         for c in need:
             if self.letters and c.isalpha():
                 plain.append(c)
+            elif (found := match(c)) and (end := ends.get(found[2]) or self._end(found[2])):
+                ended.append(c)
+                words.append(found[1])
+                signs.append(end)
             elif self.lines and "\n" in c:
-                parts = c.split("\n")
-                if all(parts) and not self.apart.search("".join(parts)):
-                    cut[c] = parts
-                else:
+                parts = [self._cut(p) for p in c.split("\n")]
+                if None in parts:
                     left.append(c)
+                else:
+                    cut[c] = parts
             elif c and not self.apart.search(c):
                 plain.append(c)
             else:
                 left.append(c)
-        heads = {parts[0] for parts in cut.values()}.difference(into, plain)
-        own: dict[str, bytes] = {}
-        again = heads & self.old.keys()
-        own.update(zip(again, map(self.old.__getitem__, again)))
+        heads = set(words)
+        heads.update(parts[0][0] for parts in cut.values())
         left += self._learn_after(plain, into, " ", self.spaced)
-        self._learn_after(list(heads - again), own, " ", self.spaced)
+        if len(self.heads) > TAILS:
+            self.heads = {}
+        own: dict[str, bytes] = {}
+        new = set(heads)
+        for met in (into, self.old, self.heads):
+            found = new & met.keys()
+            own.update(zip(found, map(met.__getitem__, found)))
+            new -= found
+        lost = set(self._learn_after(list(new), self.heads, " ", self.spaced))
+        new -= lost
+        own.update(zip(new, map(self.heads.__getitem__, new)))
+        if lost.isdisjoint(words):
+            into.update(zip(ended, map(add, map(own.__getitem__, words), signs)))
+        else:
+            left += [c for c, w in zip(ended, words) if w in lost]
+            into.update((c, own[w] + e) for c, w, e in zip(ended, words, signs) if w not in lost)
         if len(self.tails) > TAILS:
             self.tails = {}
-        tails = {t for parts in cut.values() for t in parts[1:]}.difference(self.tails)
+        tails = {w for parts in cut.values() for w, _ in parts[1:]}.difference(self.tails)
         self._learn_after(list(tails), self.tails, "\n", self.begins_line)
-        for c, (head, *rest) in cut.items():
-            first = into.get(head) or own.get(head)
-            found = [self.tails.get(t) for t in rest]
-            if first is None or None in found:
+        for c, ((head, end), *rest) in cut.items():
+            found = [self.tails.get(w) for w, _ in rest]
+            if head in lost or None in found:
                 left.append(c)
             else:
-                into[c] = b"".join([first, *found])
+                into[c] = b"".join([own[head], end, *(x for (_, e), f in zip(rest, found) for x in (f, e))])
+        for w in [w for w in new if len(w) > LONGEST]:
+            self.heads.pop(w, None)
         for t in [t for t in tails if len(t) > LONGEST]:
             self.tails.pop(t, None)
         return left
