@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from costweave.llm.shared import chunks, slices
-from costweave.llm.tokens import token_bytes
+from costweave.llm.tokens import ENDED, token_bytes
 
 #: How the byte-level vocabulary's library cuts a text into pieces before it merges.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -200,6 +200,10 @@ class PrefixCounter:
                         if self.merges.special else None)
         #: Chunks whose prefixes need a look at their parts.
         self.odd = re.compile("|".join([r"(?s:'|<\||(?<=.)\s)", *map(re.escape, self.merges.special)]))
+        #: Whether words with signs after them and line ends between them are cut without a look at special strings, but
+        #: for the signs that these hold.
+        self.simple = not any(t.isalpha() or WHITE.search(t) for t in self.merges.special)
+        self.unsafe = set("".join(self.merges.special))
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, tuple[int, bytes]] = {s: (1, b"") for s in self.merges.special}
@@ -215,6 +219,21 @@ class PrefixCounter:
             at = m.end()
         return out + PIECES.findall(text[at:])
 
+    def _words(self, prefix: str, chunk: str) -> list[str] | None:
+        """The pieces of words with signs after them and single line ends between them, of which every prefix is cut
+        like the whole; None for other chunks."""
+        out: list[str] = []
+        for part in chunk.split("\n") if self.simple else ("",):
+            found = ENDED.match(part)
+            if not found or not self.unsafe.isdisjoint(found[2]):
+                return None
+            out.append(prefix + found[1])
+            if found[2]:
+                out.append(found[2])
+            out.append("\n")
+            prefix = ""
+        return out[:-1]
+
     def _parts(self, text: str) -> list[tuple]:
         """The text cut once, as parts of which ``_steps`` puts the prefixes together.
 
@@ -309,6 +328,9 @@ class PrefixCounter:
             text = prefix + chunk
             if chunk.isascii() and chunk.isalpha():      # letters and the space before them are one piece
                 single[chunk] = text
+            elif (own := self._words(prefix, chunk)) is not None:
+                views[chunk] = own
+                wanted.update(own)
             elif self.odd.search(text):
                 odd[chunk] = self._parts(text)
                 wanted.update(self._wanted(odd[chunk]))

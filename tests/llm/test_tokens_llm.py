@@ -223,3 +223,37 @@ def test_table_of_numbers():
         table, asked = prefix_counts.Table(keys, np.arange(len(keys))), np.r_[keys, rng.integers(0, 1 << 40, 2000)]
         at = dict(zip(keys.tolist(), range(len(keys))))
         assert table[asked].tolist() == [at.get(k, -1) for k in asked.tolist()]
+
+
+SIGNED = ["word." * 3, "a.\nb!, c? d", "x's. it's\nfoo.'s a'. a.'", "end.\n", "\nend.", "a\n\nb.", " .a a. .b", "a.<|endoftext|> b<| c|>",
+          "×a ÷. ª. µ. ºx ʯ. ʰ. ǅ. ƻ!", "b\x1c. c\x85d.", "a.\tb a.\r\nb.", "a" * 60 + ". " + "b" + "." * 60, "a1. 1a. a_b_ _c"]
+
+
+def test_words_and_the_signs_after_them_give_the_librarys_ids(tokenizer_path, library):
+    code, counts = ChunkEncoder(tokenizer_path), prefix_counts.PrefixCounter(tokenizer_path)
+    texts = [f"start {t} middle {t}" for t in SIGNED] + SIGNED
+    for _ in range(2):
+        ids = [ids_of(library, t) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in code.encode(texts)] == ids
+    for t, (n, steps) in zip(texts, counts.count(texts)):
+        assert n == len(ids_of(library, t))
+        if t.isascii() and "<|" not in t:
+            assert np.cumsum(np.frombuffer(steps, np.int8)).tolist() == [
+                len(ids_of(library, t[:i])) for i in range(1, len(t) + 1)]
+
+
+def test_a_word_is_encoded_once_whatever_signs_follow_it(tokenizer_path, monkeypatch):
+    code = ChunkEncoder(tokenizer_path)
+    met: list[str] = []
+    learn = code._learn_after
+    monkeypatch.setattr(code, "_learn_after", lambda need, *rest: met.extend(need) or learn(need, *rest))
+    code.encode(["x " + " ".join("word" + a + b for a in ".,;!?" for b in ["", ".", "\nnext."])])
+    assert sorted(met) == ["next", "word"]
+
+
+def test_signs_after_words_need_no_look_at_their_parts(tokenizer_path):
+    counts = prefix_counts.PrefixCounter(tokenizer_path)
+    assert counts._words(" ", "end.\nNext,") == [" end", ".", "\n", "Next", ","]
+    assert counts._words("", "end") == ["end"]
+    for odd in ("it's.", "a\n\nb", "a\n", "a.\tb", "a1.", ""):
+        assert counts._words(" ", odd) is None
