@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from costweave.llm import decontamination, minhash, packing, pseudonyms, simhash, toxicity
 from costweave.llm.queries import BYTE_BPE, KEY_SETTING, SAMPLE_KEY
-from costweave.llm.shared import read, shipped, written
+from costweave.llm.shared import read, shipped, small_batches, written
 
 
 @shipped
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, fitted on the labels of ``sf_dir``, does not reject."""
-    model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    with small_batches(spark):
+        model = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
@@ -43,7 +44,8 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path(BYTE_BPE), end_id=1)
+    with small_batches(spark):
+        return written(packing.pack(docs, public_tokenizers.path(BYTE_BPE), end_id=1), "pieces")
 
 
 STAGES = [("toxicity", without_toxic), ("near-dedup", without_copies),

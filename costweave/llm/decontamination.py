@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from costweave.llm.shared import columns_of, fold, fresh_name, slices, written
+from costweave.llm.shared import columns_of, fold, forget_others, fresh_name, slices, small_batches, without_keys, written
 
 RESULT = ("doc_id long, item_id long, score double, question_overlap double, answer_overlap double, "
           "passage long")
@@ -257,6 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination = Dec
         index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own], p, whole))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            forget_others()
             for batch in slices(batches):
                 out = [(doc_id, *m) for doc_id, text in zip(batch.column("doc_id").to_pylist(),
                                                             batch.column("text").to_pylist())
@@ -280,6 +281,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, p: Decontamination = De
     by their text like others."""
     key = fresh_name(docs, "row")
     marked = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    found = written(contaminated(marked.select(F.col(key).alias("doc_id"), "text"), benchmark, p)
-                    .select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return marked.join(found, key, "left_anti").select(columns_of(docs))
+    with small_batches(docs.sparkSession):
+        found = written(contaminated(marked.select(F.col(key).alias("doc_id"), "text"), benchmark, p)
+                        .select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return without_keys(marked, key, found)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import passing_tables, slices, with_maybe, words, written
+from costweave.llm.shared import forget_others, passing_tables, slices, with_maybe, words, written
 
 #: Coordinates of a sketch, of which bands take ROWS each, and bits of a coordinate that order it within its round.
 SIZE, ROWS, FRACTION = 512, 4, 48
@@ -109,6 +109,7 @@ def _sketched(docs: DataFrame, width: int, least: float) -> DataFrame:
     bands = n_bands(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         shingles = shingler(width)
         for batch in slices(batches, limit=SLICE):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -232,6 +233,7 @@ def _members(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
              .join(wanted.hint("shuffle_merge"), "first_doc"))     # alike at every size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         shingles = shingler(width)
         for batch in slices(batches, limit=SLICE):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]

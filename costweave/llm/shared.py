@@ -8,8 +8,9 @@ import os
 import re
 import shutil
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,6 +95,28 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_ARROW_ROWS, before)
 
 
+#: What this worker process remembers from one task to the next, by the work that it is for.
+_REMEMBERED: dict[Hashable, Any] = {}
+
+
+def remembered(work: Hashable, make: Callable[[], Any]) -> Any:
+    """What this process remembers for ``work``, made by the first task that asks for it, and nothing for other work."""
+    forget_others(work)
+    if work not in _REMEMBERED:
+        _REMEMBERED[work] = make()
+    return _REMEMBERED[work]
+
+
+def forget_others(work: Hashable = None) -> None:
+    """Lets go of what earlier tasks of this process remember for other work. Spark gives a worker to one step after
+    the other, so what a step needs would otherwise come on top of what those before it left."""
+    others = [w for w in _REMEMBERED if w != work]
+    for other in others:
+        del _REMEMBERED[other]
+    if others:
+        pa.default_memory_pool().release_unused()
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns by name, whatever signs the names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -126,6 +149,16 @@ def with_maybe(df: DataFrame, key: str, chosen: DataFrame, name: str, places: in
             .select(*columns_of(df), F.coalesce(hit, F.lit(False)).alias(name)))
 
 
+def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among those of ``gone``, without that column; a null stays. Rows that the bitmap does
+    not take for any of ``gone`` stay where they are, the others meet ``gone`` in one kind of join at every size."""
+    maybe = fresh_name(df, "maybe")
+    told = with_maybe(df, key, gone, maybe)
+    kept = columns_of(df.drop(key))
+    near = told.where(F.col(maybe)).join(gone.select(key).hint("shuffle_merge"), key, "left_anti")
+    return told.where(~F.col(maybe)).select(kept).unionByName(near.select(kept))
+
+
 def no_letter_case(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.components import connected
-from costweave.llm.shared import (columns_of, fresh_name, passing_tables, slices, small_batches, with_maybe, words,
-                                  written)
+from costweave.llm.shared import (columns_of, forget_others, fresh_name, passing_tables, slices, small_batches, with_maybe,
+                                  words, written)
 
 #: Fingerprints of one bucket that are compared with each other directly.
 DIRECT = 512
@@ -43,6 +43,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             fp = np.array([fingerprint(words(t), width, seed)
                            for t in batch.column("text").to_pylist()], np.uint64)

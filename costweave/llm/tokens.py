@@ -8,12 +8,11 @@ import os
 import re
 import sys
 from array import array
-from functools import lru_cache
 from operator import add
 
 import numpy as np
 
-from costweave.llm.shared import chunks
+from costweave.llm.shared import chunks, remembered
 
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as the machine's own 32-bit integers, which must be little-endian")
@@ -213,10 +212,9 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process, so that tasks share what it knows."""
-    return ChunkEncoder(path)
+    return remembered(("ids", path), lambda: ChunkEncoder(path))
 
 
 def token_bytes(path: str) -> list[bytes]:

@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from costweave.llm.shared import (FILTER_BITS, columns_of, fold, fresh_name, remainder_of_crc, slices, with_maybe,
-                                  written)
+from costweave.llm.shared import (FILTER_BITS, columns_of, fold, forget_others, fresh_name, remainder_of_crc, slices,
+                                  small_batches, with_maybe, without_keys, written)
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
@@ -202,6 +202,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
                    .join(chosen.hint("shuffle_merge"), "doc_id"), "labelled")      # alike at every size
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in slices(batches):
             s = [_sketch(fold(t).split()) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(s, pa.list_(pa.int64()))],
@@ -335,6 +336,7 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity", evidence: bool
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(kind).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         own = shipped.value.reader()
         for batch in slices(batches, plain[place]):
             found = [own.evidence(t) for t in batch.column(place).to_pylist()]
@@ -347,6 +349,13 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity", evidence: bool
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose score stays under the threshold, with the columns they had."""
-    name = fresh_name(docs, "toxicity")
-    return scored(docs, model, name).where(F.col(name) < model.settings.threshold).select(columns_of(docs))
+    """The documents whose score stays under the threshold, with the columns they had.
+
+    Texts go to Python for their scores and don't come back: a hash of each text that is rejected does.
+    """
+    key = fresh_name(docs, "row")
+    told = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    with small_batches(docs.sparkSession):
+        rejected = written(scored(told.select(key, "text"), model).where(F.col("toxicity") >= model.settings.threshold)
+                           .select(key).distinct(), "rejected")
+    return without_keys(told, key, rejected)

@@ -34,3 +34,36 @@ def test_empty_documents(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES[1:]:
         rows = stage(spark, rows, SF)
     assert rows.count() == 0
+
+
+def test_a_worker_remembers_one_kind_of_work(tokenizer_path):
+    from costweave.llm.shared import forget_others
+    from costweave.llm.tokens import encoder
+
+    first = encoder(tokenizer_path)
+    assert encoder(tokenizer_path) is first
+    forget_others()
+    assert encoder(tokenizer_path) is not first
+
+
+def test_texts_do_not_come_back_from_python(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text", "lang")
+    weights, letters = {"fox!": 6.0, "fox": 6.0}, corpus_pipeline.toxicity.Letters.of({"fox": 1.0}, 4)
+    model = corpus_pipeline.toxicity.Model(weights, letters, [-4.0, 2.0, 0.0, 0.0], corpus_pipeline.toxicity.Toxicity())
+    kept = corpus_pipeline.toxicity.without_toxic(docs, model)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    rows = sorted(map(str, docs.collect()))
+    assert sorted(map(str, kept.collect())) == [r for r in rows if "fox" not in r]
+
+
+def test_only_given_keys_go(spark):
+    from costweave.llm.shared import without_keys
+
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "b", "x"), (None, "c", "x"), (2, "d", None), (3, "e", "y")],
+                                 "k long, `te.xt` string, maybe string")
+    gone = spark.createDataFrame([(1,), (3,), (9,)], "k long")
+    left = without_keys(rows, "k", gone)
+    assert left.columns == ["te.xt", "maybe"]
+    assert sorted(r["te.xt"] for r in left.collect()) == ["c", "d"]
+    assert without_keys(rows, "k", gone.limit(0)).count() == 5
