@@ -31,8 +31,10 @@ QUOTED = r"\"[^\"]*[^a-z0-9_\"][^\"]*\"|`[^`]*[^a-z0-9_`][^`]*`"
 WORD = r"[a-z_][a-z0-9_]*+"
 QUALIFIER = rf"(?:{WORD}\s*+\.\s*+)"
 STAR = rf"(?:\bselect\s+(?:distinct\s+|all\s+)?|,\s*){QUALIFIER}*\*"
-WHERE_PART = (r"(?s)\bwhere\b(.*?)"
-              r"(?:\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bunion\b|;|\z)")
+# A plain word first, what stands before it after that: such a word is searched for as a whole, where a word boundary
+# would be looked for at every letter. For the same reason a letter is looked at before a boundary or a choice of words.
+WHERE_PART = (r"(?s)where(?<=\bwhere)\b(.*?)"
+              r"(?![^ghlou;])(?:\b(?:group\s+by|order\s+by|having|limit|union)\b|;|\z)")
 COMPARED = r"\b{0}\b(?:\s+as\s+[a-z]+)?[\s)]*(?:=|<|>|!=|\bnot\s+in\b|\bin\b|\bbetween\b|\blike\b)"
 FIRST_OF_MANY = rf"\(\s*{QUALIFIER}*{{0}}\s*,"
 WRAPPED = rf"\b({WORD})\s*+\(\s*+{QUALIFIER}*(?:{{0}})\b"
@@ -43,18 +45,19 @@ NO_VALUE = ("distinct|all|and|or|not|when|then|else|case|like|ilike|rlike|in|is|
 # What a scope reads: the list after FROM, and each joined table, with its alias.
 CLAUSE = (r"where|group|order|having|limit|union|intersect|except|window|qualify|fetch|offset|tablesample|"
           r"join|inner|left|right|full|cross|natural|lateral|on|using|semi|anti|sort|cluster|distribute")
-FROM_LIST = rf"(?s)\bfrom\b(.*?)(?:\b(?:{CLAUSE})\b|;|\z)"
-JOINED = rf"\bjoin\s+((?:{QUALIFIER}*{WORD}|\(\s*\))(?:\s+(?:as\s+)?(?!(?:{CLAUSE})\b){WORD})?)"
+CLAUSE_LETTERS = "".join(sorted({word[0] for word in CLAUSE.split("|")}))
+FROM_LIST = rf"(?s)from(?<=\bfrom)\b(.*?)(?![^{CLAUSE_LETTERS};])(?:\b(?:{CLAUSE})\b|;|\z)"
+JOINED = rf"join(?<=\bjoin)\s+((?:{QUALIFIER}*{WORD}|\(\s*\))(?:\s+(?:as\s+)?(?!(?:{CLAUSE})\b){WORD})?)"
 SOURCE_TABLE = rf"^{QUALIFIER}*({WORD})"
 SOURCE_ALIAS = rf"^(?:{QUALIFIER}*{WORD}|\(.*\))\s+(?:as\s+)?({WORD})"
 QUALIFIED = rf"\b{QUALIFIER}+{WORD}\b(?!\s*[.(])"
 # Words that name functions, qualified columns, tables or table aliases by where they stand.
-NO_COLUMN = (rf"\b{QUALIFIER}+(?:{WORD}|\*)|\b{WORD}\s*\(|\b(?:from|join)\s+{QUALIFIER}*{WORD}"
-             rf"(?:\s+(?:as\s+)?{WORD})?")
+NO_COLUMN = (rf"(?=[a-z_])\b(?:{QUALIFIER}+(?:{WORD}|\*)|{WORD}\s*\(|(?:from|join)\s+{QUALIFIER}*{WORD}"
+             rf"(?:\s+(?:as\s+)?{WORD})?)")
 # Names a text introduces itself: aliases, common table expressions and named windows.
-INTRODUCED = (rf"\bas\s+({WORD})\b", rf"\)\s*({WORD})\b",
-              rf"(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(",
-              rf"(?:\b(?!(?:{NO_VALUE})\b){WORD}|')\s+({WORD})\s*(?:,|\bfrom\b)")
+INTRODUCED = (rf"as(?<=\bas)\s+({WORD})\b", rf"\)\s*({WORD})\b",
+              rf"(?=[w,])(?:\bwith(?:\s+recursive)?|\bwindow|,)\s*({WORD})\s+as\s*\(",
+              rf"(?=[a-z_'])(?:\b(?!(?:{NO_VALUE})\b){WORD}|')\s+({WORD})\s*(?:,|\bfrom\b)")
 TIME_COLUMNS = ("line_item_usage_start_date", "line_item_usage_end_date",
                 "bill_billing_period_start_date", "bill_billing_period_end_date")
 # What counts as a left-over placeholder, and below how many bytes a text is tiny.
@@ -113,7 +116,7 @@ def _literals(words: Iterable[str]) -> Column:
 def table_reference(table: str) -> str:
     """The table after FROM or JOIN, or after a comma with an alias or clause behind it."""
     name = rf"{QUALIFIER}*{re.escape(table.lower())}"
-    return rf"\b(?:from|join)\s+{name}\b|,\s*{name}\s+(?:as\s+)?{WORD}"
+    return rf"(?=[fj,])(?:\b(?:from|join)\s+{name}\b|,\s*{name}\s+(?:as\s+)?{WORD})"
 
 
 def predicate(column: str) -> str:
@@ -149,7 +152,8 @@ def scopes_of(bare: Column) -> Column:
     names the scope number times two, an odd one tells that a bracket was opened in it. FROM inside such a
     bracket is a function's and made a comma.
     """
-    marked = F.regexp_replace(F.regexp_replace(bare, r"\bdistinct\s+from\b", "<>"), r"\bselect\b", "\x01")
+    compared = F.when(F.contains(bare, F.lit("distinct")), F.regexp_replace(bare, r"\bdistinct\s+from\b", "<>"))
+    marked = F.regexp_replace(F.coalesce(compared, bare), r"select(?<=\bselect)\b", "\x01")
 
     def added(scopes: Column, to: Column, text: Column) -> Column:
         return F.transform(scopes, lambda c, k: F.when(k == to, F.concat(c, text)).otherwise(c))
@@ -239,6 +243,11 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         """Skips a regular expression where a plain substring test already rules it out."""
         return F.when(_contains_any(text, tuple(parts)), then).otherwise(otherwise)
 
+    def unexplained(found: Column) -> Column:
+        """The words that the text does not introduce, which is looked for where there are any."""
+        introduced = F.flatten(F.array(*[_words(bare, p) for p in INTRODUCED]))
+        return F.when(F.size(found) > 0, F.array_sort(F.array_except(found, introduced))).otherwise(nothing)
+
     where = F.col("_where")
     wrapped = F.array_except(_words(where, WRAPPED.format("|".join(PARTITION_COLUMNS))),
                              clause_words)
@@ -256,11 +265,10 @@ def _measures(table: str, allowed: tuple[str, ...]) -> dict[str, Column]:
         "_stars": if_any(bare, "*", _times(bare, STAR), F.lit(0)),
         "_wrapped": if_any(where, PARTITION_COLUMNS, wrapped, nothing),
         "_timed": if_any(where, TIME_COLUMNS, timed, nothing),
-        "_words": words,
+        "_strange": _let(words, unexplained),
         "_absent": absent,
         "_headless": ~F.ltrim("_raw").startswith("--"),
         "_left": if_any(F.col("_raw"), ("<", "REPLACE_ME_"), left, nothing),
-        "_introduced": F.when(F.size("_parts") > 0, F.flatten(F.array(*[_words(bare, p) for p in INTRODUCED]))),
         "_size": F.coalesce(F.octet_length("_raw"), F.lit(0)),
         "_unreadable": F.col("_raw").isNull(),
         "_warned": F.contains("_raw", F.lit("BYTES SCANNED")),
@@ -339,9 +347,7 @@ def audit(queries: DataFrame, query_id: str = "query_id", text: str = "sql_text"
                  "_where": F.concat_ws(" ", _words(bare, WHERE_PART)),
                  "_parts": F.when(named, parts_of(bare, table)).otherwise(F.array().cast(f"array<{SCOPE}>"))})
              .select(F.col(query_id).alias("query_id"),
-                     *[c.alias(n) for n, c in _measures(table, allowed).items()])
-             .withColumn("_strange", F.array_sort(F.array_except(
-                 "_words", F.coalesce("_introduced", F.array().cast("array<string>"))))))
+                     *[c.alias(n) for n, c in _measures(table, allowed).items()]))
     # A literal array under inline() keeps Spark from adding a filter that would work the
     # whole array out a second time.
     return (texts.select("query_id", F.inline(F.array(*cells))).where("hit")

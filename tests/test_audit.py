@@ -219,3 +219,28 @@ def test_scopes_of_a_text(spark):
 def test_other_tables_on_request_and_odd_characters(spark):
     assert "star" in _rules_of(spark, "SELECT * FROM web_logs", readers_only=False)
     assert set(_rules_of(spark, "-- caf�\nSELECT * FROM billing")) == {"star", "partition_filter"}
+
+
+def test_patterns_look_for_words_before_boundaries(spark):
+    """The patterns that take the most time begin with a sign, not a word boundary, and find what plain ones do."""
+    from pyspark.sql import functions as F
+    from costweave.audit import rules as R
+
+    ends = r"(?:\bgroup\s+by\b|\border\s+by\b|\bhaving\b|\blimit\b|\bunion\b|;|\z)"
+    pairs = [(R.WHERE_PART, rf"(?s)\bwhere\b(.*?){ends}", 1),
+             (R.FROM_LIST, rf"(?s)\bfrom\b(.*?)(?:\b(?:{R.CLAUSE})\b|;|\z)", 1),
+             (R.table_reference("t"), r"\b(?:from|join)\s+t\b|,\s*t\s+(?:as\s+)?[a-z_][a-z0-9_]*+", 0)]
+    texts = ["select a from t where x = 1 group  by y having z", "nowhere where ghost where;limit1 where a limit 1",
+             "éwhere b union select wherex from t, t as u;", "where", "from", "a from t", "where x\nunion", "where x orders",
+             "from s, t b join t on x fromé where_ y where z union_ all"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for new, plain, group in pairs:
+        assert not new.removeprefix("(?s)").startswith(r"\b")
+        both = df.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(group)) for p in (new, plain)]).collect()
+        assert all(a == b for a, b in both), new
+
+
+def test_names_are_looked_for_where_a_word_needs_one(spark):
+    df = spark.createDataFrame([(1, "SELECT 1")], "query_id long, sql_text string")
+    plan = audit(df, rules=["unknown_column"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_introduced" not in plan
