@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from costweave.llm.shared import columns_of, fresh_name
@@ -12,24 +14,39 @@ HEX = "0123456789abcdef"
 #: Days from this one on, 270 * 271 of them (into the year 2100), are permuted among themselves.
 FIRST_DAY, DATE_HALVES = "1900-01-01", (270, 271)
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# Java keeps a stack frame for each round of a group that may be given back, and an executor whose stack overflows is
+# lost: groups and signs that repeat without limit are possessive (++, *+, {n,}+), which takes the same text in a loop.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = (r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
          r"|(?<![\d(+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)")
-#: A run of digit groups of any length, up to a date or another number that has a form of its own; the
-#: cards in it are found by their check digits.
-CARD = (r"(?<![\d.-])\d(?:(?:[ -](?!\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])|\d{3}-\d{2}-\d{4}(?![\d-])"
-        r"|(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)))?\d){12,}(?![\d-])")
-SECRET = (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"']{4,}"
-          r"|(?<=token = \")[^\s\"]{8,}(?=\")|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
+#: What a sign between digit groups must not stand before: a date or another number that has a form of its own.
+FORM = (r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])|\d{3}-\d{2}-\d{4}(?![\d-])"
+        r"|(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)")
+#: A digit with the sign before it, a space before a further group, and groups tied on by hyphens.
+DIGIT, SPACE, TIED = rf"(?:(?:[ -](?!{FORM}))?\d)", rf" (?!{FORM})", rf"(?:-(?!{FORM})\d++)*+"
+#: A run of digit groups of any length, up to a number of another form; the cards in it are found by their
+#: check digits. A run that a hyphen follows ends before its last space instead.
+CARD = (rf"(?<![\d.-])\d(?:{DIGIT}{{12,}}+(?![\d-])"
+        rf"|{DIGIT}{{12}}\d*+{TIED}(?={SPACE}\d)(?:{SPACE}\d++{TIED}(?={SPACE}\d))*+)")
+SECRET = (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"']{4,}+"
+          r"|(?<=token = \")[^\s\"]{8,}+(?=\")|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
 #: What only CARD matches, but for passwords, tokens and keys of digits.
-RUN = r"^(?!\d{20})\d(?:[ -]?\d){12,}$"
+RUN = r"^(?!\d{20})\d(?:[ -]?\d){12,}+$"
 ANY = "|".join((EMAIL, SECRET, DATE, SOCIAL, ADDRESS, PHONE, CARD))
 #: Holds for every text with a match of ANY, and is much cheaper to test.
 MAYBE = r"[0-9@]|password=|token = \"|AKIA|[a-f]{32}"
 
+#: Groups of a run of digits that are gone through before what they gave is put away.
+BLOCK = 256
+
+
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once and written once into the plan."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
 
 def _hash(key: str, kind: str, i: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half.cast("string")), 256)
@@ -67,7 +84,7 @@ def letters(text: Column, alphabets: tuple[str, ...], key: str, kind: str) -> Co
     """A string permuted among those with the same alphabet at each place; signs that are in no
     alphabet stay. Halves of more than 32 signs use their hash again from the start."""
     def shifted(half: Column, digest: Column) -> Column:
-        def one(c: Column, j: Column) -> Column:
+        def one(c: Column, j: Column, digest: Column) -> Column:
             by = F.conv(digest.substr(F.pmod(j, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
             out = None
             for alphabet in alphabets:
@@ -76,7 +93,8 @@ def letters(text: Column, alphabets: tuple[str, ...], key: str, kind: str) -> Co
                 out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
             return out.otherwise(c)
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+        return bound(digest, lambda own: F.array_join(
+            F.transform(F.split(half, ""), lambda c, j: one(c, j, own)), ""))
 
     def turn(s: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 1, shifted(s.a, _hash(key, kind, i, s.b))).otherwise(s.a).alias("a"),
@@ -94,11 +112,8 @@ def only_digits(text: Column) -> Column:
 
 def filled(shape: Column, d: Column) -> Column:
     """The shape with its digits replaced by those of ``d``, in order."""
-    def one(c: Column, i: Column) -> Column:
-        nth = F.length(only_digits(shape.substr(F.lit(1), i + 1)))
-        return F.when(c.rlike("^[0-9]$"), d.substr(nth, F.lit(1))).otherwise(c)
-
-    return F.array_join(F.transform(F.split(shape, ""), one), "")
+    return F.array_join(F.zip_with(F.split(shape, "[0-9]", -1), F.split(d, ""), lambda gap, c: F.concat(
+        gap, F.coalesce(c, F.lit("")))), "")
 
 
 def check_sum(d: Column) -> Column:
@@ -127,7 +142,11 @@ def cards(run: Column, key: str) -> Column:
     (four of four, or else the most) that have so many together; its check digit must hold. If
     there is none, the run as a whole is tried, however it is grouped.
     """
-    groups, gaps = F.split(run, "[ -]"), F.split(run, "[0-9]+")
+    return bound(F.struct(F.split(run, "[ -]").alias("groups"), F.split(run, "[0-9]+").alias("gaps")),
+                 lambda cut: _cards(run, cut.groups, cut.gaps, key))
+
+
+def _cards(run: Column, groups: Column, gaps: Column, key: str) -> Column:
     n = F.size(groups)
 
     def written(i: Column, size: Column) -> Column:
@@ -135,10 +154,6 @@ def cards(run: Column, key: str) -> Column:
         return F.array_join(F.transform(F.sequence(i, i + size - 1), lambda j: F.concat(
             F.when(j > i, F.get(gaps, j)).otherwise(F.lit("")), F.get(groups, j))), "")
 
-    def bound(x: Column, use) -> Column:
-        """``use`` of a value that is computed once and written once into the plan."""
-        return F.element_at(F.transform(F.array(x), use), 1)
-
     def is_card(own: Column, d: Column) -> Column:
         formed = (F.size(own) == 1) | F.forall(own, lambda g: F.length(g).between(3, 12))
         return F.when(F.length(d).between(13, 19) & formed, F.pmod(check_sum(d), F.lit(10)) == 0).otherwise(F.lit(False))
@@ -156,8 +171,14 @@ def cards(run: Column, key: str) -> Column:
             (i + F.greatest(size, F.lit(1))).alias("after"),
             F.concat(s.parts, F.array(F.struct(i.alias("at"), size.alias("size")))).alias("parts"))))
 
-    start = F.struct(F.lit(0).alias("after"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
-    found = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s.parts)
+    def block(s: Column, first: Column) -> Column:
+        """A list that grows is copied with each part, so that of a block stands beside those before it."""
+        own = F.struct(s.after.alias("after"), F.array().cast("array<struct<at:int,size:int>>").alias("parts"))
+        return bound(F.aggregate(F.sequence(first, F.least(first + BLOCK, n) - 1), own, step), lambda b: F.struct(
+            b.after.alias("after"), F.concat(s.blocks, F.array(b.parts)).alias("blocks")))
+
+    start = F.struct(F.lit(0).alias("after"), F.array().cast("array<array<struct<at:int,size:int>>>").alias("blocks"))
+    found = F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), start, block, lambda s: F.flatten(s.blocks))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.when(F.length(only_digits(run)) <= 19, n).otherwise(0).alias("size")))
     parts = bound(found, lambda x: F.when(F.exists(x, lambda p: p["size"] > 0) | (F.get(whole, 0)["size"] == 0), x)
                   .otherwise(whole))
@@ -242,20 +263,23 @@ def pseudonymised(docs: DataFrame, key: str, count: str | None = None) -> DataFr
     A null text stays null; texts without such values, empty texts and other columns stay as they are.
     """
     text = F.col("text")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    gaps = F.slice(F.split(text, ANY, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, gaps, lambda v, gap: F.when(
-        v.rlike(RUN) & ~gap.rlike(r"(?:password=|token = \")$"), cards(v, key)).otherwise(
-        F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new")))))
-    pairs_name = fresh_name(docs, "pairs")
-    marked = docs.withColumn(pairs_name, F.when(text.rlike(MAYBE), pairs))
-    new = F.array_join(F.flatten(F.zip_with(
-        F.split(text, ANY, -1), F.col(pairs_name),
-        lambda gap, parts: F.array(gap, F.coalesce(F.array_join(parts.new, ""), F.lit(""))))), "")
-    changed = F.coalesce(F.size(F.filter(F.flatten(pairs_name), lambda p: p.old != p.new)), F.lit(0))
+
+    def replaced(gap: Column, v: Column) -> Column:
+        """A match and what stands before it, the match replaced, and how many values changed; what follows the last
+        match stands before none."""
+        parts = F.when(v.rlike(RUN) & ~gap.rlike(r"(?:password=|token = \")$"), cards(v, key)).otherwise(
+            F.array(F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))
+        return F.when(v.isNull(), F.struct(gap.alias("text"), F.lit(0).alias("n"))).otherwise(bound(
+            parts, lambda p: F.struct(F.concat(gap, F.array_join(p.new, "")).alias("text"),
+                                      F.size(F.filter(p, lambda x: x.old != x.new)).alias("n"))))
+
+    pieces = F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)
+    new = fresh_name(docs, "new")
+    marked = docs.withColumn(new, F.when(text.rlike(MAYBE), bound(pieces, lambda p: F.struct(
+        F.array_join(p.text, "").alias("text"), F.aggregate(p.n, F.lit(0), lambda a, n: a + n).alias("n")))))
     out = {count if count and name.lower() == count.lower() else name: column
            for name, column in zip(docs.columns, columns_of(docs))}
-    out["text"] = F.when(F.size(pairs_name) > 0, new).otherwise(text)
+    out["text"] = F.coalesce(F.col(new).text, text)
     if count:
-        out[count] = changed
+        out[count] = F.coalesce(F.col(new).n, F.lit(0))
     return marked.select(*[column.alias(name) for name, column in out.items()])

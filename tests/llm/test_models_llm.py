@@ -405,3 +405,55 @@ def test_cards_beside_other_numbers_are_found(spark):
     assert changed(spark, same) == same
     digits = ["0123456789" * 4, "password=" + "1234-" * 5 + "6"]
     assert all(a != b for a, b in zip(changed(spark, digits), digits))
+
+
+def test_long_numbers_and_mails_do_not_fill_the_stack(spark):
+    """A match that Java followed with a stack frame for each digit or label ended the executor."""
+    plain, grouped = "4614953556326981", "4614 9535 5632 6981"
+    texts = ["1 " * 20_000, "7" * 20_000, "12-" * 20_000, "a@" + "b." * 20_000 + "c", "password=" + "é😀" * 20_000,
+             'token = "' + "12" * 20_000 + '"', f"{'7 ' * 9_000}{plain}{' 8' * 9_000} and {grouped} 12 3-4-"]
+    compiled = {p: spark._jvm.java.util.regex.Pattern.compile(p) for p in (pseudonyms.ANY, pseudonyms.RUN)}
+    for text in texts:
+        assert compiled[pseudonyms.ANY].matcher(text).find() == (text != texts[2])
+    assert compiled[pseudonyms.RUN].matcher("1 " * 20_000 + "1").find()
+    new, new_grouped, *after = changed(spark, [plain, grouped, *texts])
+    assert after[0] == texts[0] and after[2] == texts[2]
+    assert re.fullmatch("[0-9]{20000}", after[1]) and after[1] != texts[1]
+    assert after[3] != texts[3] and after[3].partition("@")[2] == texts[3].partition("@")[2]
+    assert after[5] != texts[5] and re.fullmatch(r'token = "[0-9]{40000}"', after[5])
+    assert after[6] == f"{'7 ' * 9_000}{new}{' 8' * 9_000} and {new_grouped} 12 3-4-"
+
+
+def test_a_run_ends_as_a_pattern_that_gives_digits_back_ends_it(spark):
+    """Java's answers of the possessive pattern against those of Python for the one that says it plainly."""
+    gap = rf"[ -](?!{pseudonyms.FORM})"
+    plain = re.compile(rf"(?<![\d.-])\d(?:(?:{gap})?\d){{12,}}(?![\d-])", re.ASCII)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("0123456789123456789  --./a"), rng.integers(13, 60))) for _ in range(3000)]
+    texts += ["1 2 3 4 5 6 7 8 9 1 2 3 4 5-6 7-", "1-2-3-4-5-6-7-8-9-1-2-3-4-5-", "1 2345678901234-", "1234567890123 4-",
+              "1 2 3 4 5 6 7 8 9 1 2 3 4 2021-03-04", "12345678901234-2021-03-04", "1234567890123 4 5-2021-03-04"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = frame.select("text", F.regexp_extract_all("text", F.lit(pseudonyms.CARD), F.lit(0)).alias("runs")).collect()
+    assert all(r.runs == plain.findall(r.text) for r in found)
+    assert 500 < sum(len(r.runs) for r in found)
+
+
+def test_long_secrets_are_replaced_as_short_ones(spark):
+    def letters(text, key, classes):
+        """As pseudonyms.letters, halves in plain Python."""
+        def shifted(half, i, other):
+            digest = bytes.fromhex(hashlib.sha256(f"{key}|secret|{i}|{other}".encode()).hexdigest())
+            out = ""
+            for j, c in enumerate(half):
+                alphabet = next((a for a in classes if c in a), None)
+                out += alphabet[(alphabet.index(c) + digest[j % 32]) % len(alphabet)] if alphabet else c
+            return out
+
+        a, b = text[:len(text) // 2], text[len(text) // 2:]
+        for i in range(1, 9):
+            a, b = (shifted(a, i, b), b) if i % 2 else (a, shifted(b, i, a))
+        return a + b
+
+    classes = (pseudonyms.DIGITS, pseudonyms.LOWER, pseudonyms.UPPER)
+    values = ["aB3+" * 5, "aB3+" * 5_000]
+    assert changed(spark, [f"password={v}" for v in values]) == [f"password={letters(v, 'k', classes)}" for v in values]
