@@ -35,6 +35,8 @@ SECRET = (r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"
           r"|(?<=token = \")[^\s\"]{8,}+(?=\")|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])")
 #: What only CARD matches, but for passwords, tokens and keys of digits.
 RUN = r"^(?!\d{20})\d(?:[ -]?\d){12,}+$"
+#: What a number is written with, two digits at least.
+NUMBER = r"(?=(?:\D*+\d){2})\+?[\d(][\d ().-]*"
 ANY = "|".join((EMAIL, SECRET, DATE, SOCIAL, ADDRESS, PHONE, CARD))
 #: Holds for every text with a match of ANY, and is much cheaper to test.
 MAYBE = r"[0-9@]|password=|token = \"|AKIA|[a-f]{32}"
@@ -247,7 +249,7 @@ def pseudonym(value: Column, key: str) -> Column:
             .when(is_(r"\d{2}/\d{2}/\d{4}"), date(value, "dd/MM/yyyy", key))
             .when(is_(r"\d{3}-\d{2}-\d{4}"), social(value, key))
             .when(is_(r"(?:\d{1,3}\.){3}\d{1,3}"), address(value, key))
-            .when(is_(r"\+?[\d(][\d ().-]*"), phone(value, key))
+            .when(is_(NUMBER), phone(value, key))
             .when(is_(r"[0-9a-f]+"), letters(value, (HEX,), key, "secret"))
             .otherwise(letters(value, classes, key, "secret")))
 

@@ -1,5 +1,9 @@
+import os
+
 import pytest
 
+#: As in tests/conftest.py, in whose place this module is found when both folders are collected.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 
 

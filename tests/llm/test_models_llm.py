@@ -457,3 +457,9 @@ def test_long_secrets_are_replaced_as_short_ones(spark):
     classes = (pseudonyms.DIGITS, pseudonyms.LOWER, pseudonyms.UPPER)
     values = ["aB3+" * 5, "aB3+" * 5_000]
     assert changed(spark, [f"password={v}" for v in values]) == [f"password={letters(v, 'k', classes)}" for v in values]
+
+
+def test_secrets_of_a_single_digit(spark):
+    new = changed(spark, ["password=(...)", "password=1...", "password=(.-9 end"])
+    assert new[0] == "password=(...)"
+    assert re.fullmatch(r"password=\d\.\.\.", new[1]) and re.fullmatch(r"password=\(\.-\d end", new[2])

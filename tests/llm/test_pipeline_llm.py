@@ -67,3 +67,14 @@ def test_only_given_keys_go(spark):
     assert left.columns == ["te.xt", "maybe"]
     assert sorted(r["te.xt"] for r in left.collect()) == ["c", "d"]
     assert without_keys(rows, "k", gone.limit(0)).count() == 5
+
+
+def test_pseudonyms_stage_takes_odd_values(spark):
+    """A secret of one digit ended the stage by a failed cast, a long list of numbers by a full stack."""
+    texts = ["password=1...", "password=(((9", "1 " * 5_000 + "bob.17@a.example.com", "no value"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    stage = dict(corpus_pipeline.STAGES)["pseudonyms"]
+    after = [r.text for r in stage(spark, docs, SF).orderBy("doc_id").collect()]
+    assert list(map(len, after)) == list(map(len, texts)) and after[3] == texts[3]
+    assert after[0].startswith("password=") and after[0].endswith("...") and after[1].startswith("password=(((")
+    assert after[2].startswith(texts[2][:10_000]) and after[2].endswith("@a.example.com") and after[2] != texts[2]
